@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.canonical_text import canonical_texts
 from evidentia.llm.chunk_split import split_oversized
+from evidentia.llm.language import document_languages
 from evidentia.llm.leakage import leaked_items
+from evidentia.llm.split_overlap import cross_split_pairs
 from evidentia.llm.tokenise import token_ids
 from evidentia.session import first_of_each, table
 
@@ -28,6 +30,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "examples", "example_id", "question", "question_id", "split")
+    return cross_split_pairs(rows)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select(F.least("id_e", "id_t").alias("id_lo"), F.greatest("id_e", "id_t").alias("id_hi"))
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and held-out examples concerned, by split and source."""
+    rows = table(spark, sf_dir, "examples", "example_id", "split", "source")
+    pairs = _overlaps(spark, sf_dir)
+    named = pairs.join(rows.withColumnRenamed("example_id", "id_e"), "id_e")
+    each = named.groupBy("split", "source", "id_e").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("split", "source").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("examples"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -38,5 +58,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, items).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = document_languages(docs).where("mislabelled").select("doc_id", F.explode("segments").alias("s"))
+    return found.select("doc_id", F.col("s.seg_no").alias("seg_no"), F.col("s.lang").alias("lang"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p7_counts": p7_counts,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+}
 ORACLES: dict[str, str] = {}
