@@ -9,6 +9,7 @@ from evidentia.llm.canonical_text import canonical_texts
 from evidentia.llm.chunk_split import split_oversized
 from evidentia.llm.language import document_languages
 from evidentia.llm.leakage import leaked_items
+from evidentia.llm.pair_defects import pair_defects
 from evidentia.llm.split_overlap import cross_split_pairs
 from evidentia.llm.tokenise import token_ids
 from evidentia.session import first_of_each, table
@@ -30,6 +31,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw")
+    pairs = table(spark, sf_dir, "sft_pairs", "pair_id", "messages", "target")
+    turns = table(spark, sf_dir, "agent_turns", "turn_id", "subquestion", "action")
+    asked = F.get(F.filter("messages", lambda m: m["role"] == "user"), F.lit(0))["content"]
+    return pair_defects(
+        {
+            "trajectories": (runs, "result_id", F.col("question"), F.col("pred_answer_raw")),
+            "sft_pairs": (pairs, "pair_id", asked, F.col("target")),
+            "agent_turns": (turns, "turn_id", F.col("subquestion"), F.col("action.reason")),
+        },
+        actions=frozenset({"sft_pairs"}),
+    )
+
+
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "examples", "example_id", "question", "question_id", "split")
     return cross_split_pairs(rows)
@@ -67,6 +83,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_counts": p7_counts,
     "p8_ids": p8_ids,
