@@ -139,7 +139,7 @@ def claims_of(text: Column | str) -> Column:
     items = F.from_json(body, "array<string>")
     claims = F.transform(items, lambda x: F.coalesce(F.get_json_object(x, "$.claim"), x))
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", "")))
-    kept = lambda xs: F.filter(F.transform(xs, F.trim), lambda x: x != "")
+    kept = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
     return F.when(items.isNotNull(), kept(claims)).otherwise(kept(lines))
 
 

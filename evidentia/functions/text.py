@@ -96,7 +96,7 @@ def sampling_form(text: Column | str) -> Column:
 
 def split_aliases(text: Column | str) -> Column:
     """Alternatives parted by bars, trimmed, empty ones dropped; null gives none."""
-    parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\|"), F.trim)
+    parts = F.transform(F.split(F.coalesce(col(text), F.lit("")), r"\|"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

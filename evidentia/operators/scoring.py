@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import (
     compatible_form,
+    nfkc,
     official_form,
     official_words,
     overlap,
@@ -40,7 +41,8 @@ def exact_official(prediction: Column, gold: Column) -> Column:
 def exact_alias(prediction: Column, gold: Column) -> Column:
     """1.0 where the prediction equals an alternative; an empty prediction never does."""
     p = compatible_form(prediction)
-    return F.when(p == "", F.lit(0.0)).otherwise(F.exists(split_aliases(gold), lambda a: official_form(a) == p).cast("double"))
+    forms = F.transform(split_aliases(nfkc(gold)), lambda a: official_form(a))
+    return F.when(p == "", F.lit(0.0)).otherwise(F.array_contains(forms, p).cast("double"))
 
 
 def f1_any(prediction: Column, golds: Column) -> Column:
