@@ -1,14 +1,15 @@
 """Same or nearly the same questions on both sides of a train / evaluation split.
 
 An exact prefix-filter join on rare shingles. Questions are reduced to letters and digits;
-questions equal in that form make one class, joined as a whole. A class's shingles are the
-character 5-grams of its words; a shingle weighs ln(1 + N/df), and nothing where no other class
-has it, since it can tell no pair. With its shingles in order of frequency, a class of weight W
-can only have the weight ``threshold`` * W in common with another if they share a shingle among
-the rarest ones, beyond which less than that weight remains. These prefixes of the evaluation
-classes are the index; the training classes' prefixes probe it, a hit must pass the length
-filter (neither weight under ``threshold`` of the other) and the position filter (the weight from
-the hit on must suffice on both sides), and the pairs that are left are verified on their texts.
+questions equal in that form make one class, joined as a whole. As the same question may come in
+any word order, a class's shingles are its single words. A shingle weighs ln(1 + N/df) squared,
+so that names count for most, and nothing where no other class has it, since it can tell no pair.
+With its shingles in order of frequency, a class of weight W can only have the weight
+``threshold`` * W in common with another if they share a shingle among the rarest ones, beyond
+which less than that weight remains. These prefixes of the evaluation classes are the index; the
+training classes' prefixes probe it, a hit must pass the length filter (neither weight under
+``threshold`` of the other) and the position filter (the weight from the hit on must suffice on
+both sides), and the pairs that are left are verified on their texts.
 
 The verification matches words exactly, then within an edit distance, in any order. Names and
 years must all be matched, as must the noun asked for ("in which *year*"); otherwise one content
@@ -37,8 +38,7 @@ from pyspark.sql.window import Window
 
 from evidentia.session import durable, ship_package, spread
 
-THRESHOLD = 0.55
-SHINGLE = 5
+THRESHOLD = 0.5
 FREQUENT = 0.002
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -54,16 +54,8 @@ def plain_question(question: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(question), r"[^\p{L}\p{N}]+", " "))
 
 
-def shingles(plain: Column, n: int = SHINGLE) -> Column:
-    words = F.split(plain, " ")
-    grams = F.transform(
-        words,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 3), F.lit(1))),
-            lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(n)),
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+def shingles(plain: Column) -> Column:
+    return F.array_distinct(F.split(plain, " "))
 
 
 @lru_cache(200_000)
@@ -164,7 +156,7 @@ def prefixes(classes: DataFrame, threshold: float, frequent: float = FREQUENT) -
     seldom = counts.where(F.col("df") < bound)
     rare = grams.join(often, "gram", "left_anti").join(seldom, "gram")
     known = grams.join(often, "gram").unionByName(rare)
-    weighted = known.withColumn("w", F.log(1 + F.lit(float(n)) / F.col("df")))
+    weighted = known.withColumn("w", F.pow(F.log(1 + F.lit(float(n)) / F.col("df")), 2))
     own = Window.partitionBy("cid")
     rarest = own.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = weighted.withColumn("total", F.sum("w").over(own)).withColumn("rest", F.col("total") - F.sum("w").over(rarest) + F.col("w"))
