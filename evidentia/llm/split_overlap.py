@@ -3,7 +3,8 @@
 An exact prefix-filter join on rare shingles. Questions are reduced to letters and digits;
 questions equal in that form make one class, joined as a whole. As the same question may come in
 any word order, a class's shingles are its single words. A shingle weighs ln(1 + N/df) squared,
-so that names count for most, and nothing where no other class has it, since it can tell no pair.
+so that names count for most; one that no other class has, which may be a slip, weighs two thirds
+of the rarest that can be shared, and is left out of the index, as it joins nothing.
 With its shingles in order of frequency, a class of weight W can only have the weight
 ``threshold`` * W in common with another if they share a shingle among the rarest ones, beyond
 which less than that weight remains. These prefixes of the evaluation classes are the index; the
@@ -39,6 +40,8 @@ from pyspark.sql.window import Window
 from evidentia.session import durable, ship_package, spread
 
 THRESHOLD = 0.5
+#: Weight of a shingle of one class only, as a share of one that two classes have.
+LONE = 2 / 3
 FREQUENT = 0.002
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -149,18 +152,19 @@ def prefixes(classes: DataFrame, threshold: float, frequent: float = FREQUENT) -
     """``cid, train, eval, gram, rest, total``: the shingles of each class's prefix."""
     n = classes.count()
     grams = classes.select("cid", "train", "eval", F.explode(shingles(F.col("plain"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     bound = max(50, int(frequent * n))
     # At most (shingles of all classes) / bound shingles are frequent, whatever the number of classes.
     often = F.broadcast(counts.where(F.col("df") >= bound))
     seldom = counts.where(F.col("df") < bound)
     rare = grams.join(often, "gram", "left_anti").join(seldom, "gram")
     known = grams.join(often, "gram").unionByName(rare)
-    weighted = known.withColumn("w", F.pow(F.log(1 + F.lit(float(n)) / F.col("df")), 2))
+    weight = F.pow(F.log(1 + F.lit(float(n)) / F.greatest("df", F.lit(2))), 2)
+    weighted = known.withColumn("w", F.when(F.col("df") == 1, weight * LONE).otherwise(weight))
     own = Window.partitionBy("cid")
     rarest = own.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = weighted.withColumn("total", F.sum("w").over(own)).withColumn("rest", F.col("total") - F.sum("w").over(rarest) + F.col("w"))
-    return placed.where(F.col("rest") >= threshold * F.col("total") - 1e-9).select("cid", "train", "eval", "gram", "rest", "total")
+    return placed.where((F.col("df") > 1) & (F.col("rest") >= threshold * F.col("total") - 1e-9)).select("cid", "train", "eval", "gram", "rest", "total")
 
 
 def same_question_classes(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
