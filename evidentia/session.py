@@ -81,6 +81,21 @@ def first_of_each(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).dropDuplicates([key])
 
 
+def bounded_sample(df: DataFrame, key: str, most: int, *by: str) -> DataFrame:
+    """About ``most`` rows (of each group), up to twice as many, chosen by a hash of the key.
+
+    Rows are thinned where they are read, by a share from the exact counts, so no task ever
+    holds or sends more than its part of the sample.
+    """
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    if not by:
+        n = df.count()
+        return df if n <= most else df.where(drawn < 1.5 * most / n)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    joined = df.join(F.broadcast(sizes), list(by))  # one row a group; groups are few
+    return joined.where(drawn < F.lit(1.5 * most) / F.col("_size")).drop("_size")
+
+
 def has_columns(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 
