@@ -7,8 +7,8 @@ score in a sentence is the number of its set bits over all n-grams, less the fal
 that its filter's fill makes likely. Names tell no language: words with a capital inside a
 sentence and quoted titles are left out, unless the whole sentence is written in capitals.
 
-The filters are fitted on a bounded sample: at most ``sample_docs`` documents of each recognised
-label, those of the least hash of their key, each read whole. Wrong labels are outvoted: an
+The filters are fitted on a bounded sample: about ``sample_docs`` documents of each recognised
+label, chosen by a hash of their key, each read whole. Wrong labels are outvoted: an
 n-gram enters a filter where its rate in that language is within ``share`` of its highest rate.
 Everything else covers all documents, in a map-only pass over the whole texts.
 
@@ -33,9 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from evidentia.session import ship_package, spread
+from evidentia.session import bounded_sample, ship_package, spread
 
 LANGS = ("en", "de", "fr", "es", "it", "pt", "nl")
 #: Spellings of a label besides the two-letter code: three-letter codes and names.
@@ -204,8 +203,7 @@ def label_of(label: Column) -> Column:
 def fit_filters(documents: DataFrame, key: str, text: str, lang: str, sample_docs: int = 400, share: float = 0.2, bits: int = 1 << 18) -> LanguageFilters:
     """Filters from a bounded sample of labelled documents."""
     labelled = documents.select(key, text, label_of(F.col(lang)).alias("_lang")).where(F.col("_lang").isNotNull() & F.col(text).isNotNull())
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64(key), key)
-    sample = labelled.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs).select("_lang", text).collect()
+    sample = bounded_sample(labelled, key, sample_docs, "_lang").select("_lang", text).collect()
     return fit_on([(r[0], r[1]) for r in sample], share, bits)
 
 

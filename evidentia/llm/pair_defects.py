@@ -2,8 +2,8 @@
 
 Five defects are told apart: ``empty``, ``truncated``, ``refusal``, ``copy`` of the question and
 ``other_language``. The classifier is trained where it is used: a bounded sample of the pairs
-(``sample_rows`` of each table, those of the least hash of their key) is taken as sound and spoilt
-on purpose: cut at a random place, replaced by the question in a frame, by a refusal, by another
+(about ``sample_rows`` of each table, by a hash of their key) is taken as sound and spoilt on
+purpose: cut at a random place, replaced by the question in a frame, by a refusal, by another
 language, or by nothing; sound examples are also varied (small letters, no final stop, question
 repeated before the answer, and swapped between pairs, which is none of the five). As the sample
 has true defects in it, a first model drops those it finds and a second one is fitted without
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.language import LANGS, SEED
-from evidentia.session import first_of_each, ship_package, spread
+from evidentia.session import bounded_sample, first_of_each, ship_package, spread
 
 LABELS = ("empty", "truncated", "refusal", "copy", "other_language")
 BITS = 15
@@ -470,7 +470,7 @@ def pair_defects(sources: dict[str, tuple[DataFrame, str, Column, Column]], samp
 
     sample: list[tuple[str | None, str | None]] = []
     for name, rows in prepared.items():
-        taken = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(sample_rows).collect()
+        taken = sorted(bounded_sample(rows, "row_id", sample_rows).collect(), key=lambda r: str(r[0]))
         sample += [(asked_question(r[1]) if name in actions else r[1], read(name, r[2])) for r in taken]
     model = train(sample)
     held = spark.sparkContext.broadcast(model)
