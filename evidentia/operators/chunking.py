@@ -37,30 +37,31 @@ def windows(tokens: Column, most: int = 120, shared: int = 40) -> Column:
     )
 
 
-def chunks(text: Column | str, most: int = 120, shared: int = 40, by_paragraph: bool = True) -> Column:
-    """Short paragraphs whole, long ones in windows, with word offsets over the whole text."""
-    if not by_paragraph:
-        return windows(words(col(text)), most, shared)
-    parts = F.transform(paragraphs(text), words)
-    # A running offset needs no window function: the paragraphs before are folded in place.
-    before = lambda i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + F.size(p))
-
-    def of(part: Column, i: Column) -> Column:
-        kind = F.when((F.size(parts) > 1) & (F.size(part) <= most), "paragraph").otherwise("sliding_window")
-        return F.transform(
-            windows(part, most, shared),
-            lambda w: F.struct(
-                w["text"].alias("text"),
-                (w["start_word"] + before(i)).cast("int").alias("start_word"),
-                (w["end_word"] + before(i)).cast("int").alias("end_word"),
-                w["word_count"].alias("word_count"),
-                kind.alias("split_type"),
-            ),
-        )
-
-    return F.flatten(F.transform(parts, of))
-
-
-def chunk_rows(docs: DataFrame, text: str, *keep: str, **how) -> DataFrame:
-    """One row for each chunk, with its index in the document."""
-    return docs.select(*keep, F.posexplode(chunks(text, **how)).alias("chunk_index", "_c")).select(*keep, "chunk_index", "_c.*")
+def chunk_rows(docs: DataFrame, text: str, *keep: str, most: int = 120, shared: int = 40, by_paragraph: bool = True) -> DataFrame:
+    """One row for each chunk: short paragraphs whole, long ones in windows, with word offsets over
+    the whole text. Offsets and chunk numbers of the paragraphs are folded within the row, so there
+    is neither a window function nor a shuffle."""
+    parts = F.transform(paragraphs(text), lambda p: words(p)) if by_paragraph else F.array(words(text))
+    step = max(1, most - max(0, shared))
+    count = lambda p: F.when(F.size(p) == 0, F.lit(0)).when(F.size(p) <= most, F.lit(1)).otherwise(F.ceil((F.size(p) - most) / step).cast("int") + 1)
+    start = F.array(F.struct(F.lit(0).alias("word"), F.lit(0).alias("chunk")))
+    folded = F.aggregate(
+        F.col("_parts"),
+        start,
+        lambda acc, p: F.concat(
+            acc, F.array(F.struct((F.element_at(acc, -1)["word"] + F.size(p)).alias("word"), (F.element_at(acc, -1)["chunk"] + count(p)).alias("chunk")))
+        ),
+    )
+    staged = docs.where(F.col(text).isNotNull()).select(*keep, parts.alias("_parts"))
+    placed = staged.select(*keep, F.size("_parts").alias("_n"), F.inline(F.arrays_zip(F.col("_parts").alias("_p"), F.slice(folded, F.lit(1), F.size("_parts")).alias("_o"))))
+    cut = placed.select(*keep, "_n", "_o", F.size("_p").alias("_m"), F.posexplode(windows(F.col("_p"), most, shared)).alias("_j", "_w"))
+    kind = F.when((F.col("_n") > 1) & (F.col("_m") <= most), "paragraph").otherwise("sliding_window")
+    return cut.select(
+        *keep,
+        (F.col("_o.chunk") + F.col("_j")).cast("int").alias("chunk_index"),
+        F.col("_w.text").alias("text"),
+        (F.col("_w.start_word") + F.col("_o.word")).cast("int").alias("start_word"),
+        (F.col("_w.end_word") + F.col("_o.word")).cast("int").alias("end_word"),
+        F.col("_w.word_count").alias("word_count"),
+        kind.alias("split_type"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.text import official_form, words
-from evidentia.operators.chunking import chunks
+from evidentia.operators.chunking import chunk_rows
 
 # Fixed value: the size of a chunk and what it shares with the one before.
 CHUNK, SHARED = 120, 40
@@ -92,19 +92,19 @@ def document_rows(examples: DataFrame, key: str) -> DataFrame:
 
 def chunk_table(documents: DataFrame, key: str, collection: str) -> DataFrame:
     """Chunks with a composite id, their span, and the text under its title."""
-    each = documents.where("context_text <> ''").select("*", F.posexplode(chunks("context_text", CHUNK, SHARED)).alias("chunk_index", "c"))
+    each = chunk_rows(documents.where("context_text <> ''"), "context_text", key, "doc_id", "doc_index", "title", most=CHUNK, shared=SHARED)
     return each.select(
         F.concat_ws(":", key, F.lit(collection), F.col("doc_index").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         key,
         "doc_id",
         "title",
         "chunk_index",
-        F.col("c.start_word").alias("chunk_start"),
-        F.col("c.end_word").alias("chunk_end"),
-        F.col("c.word_count").alias("chunk_word_count"),
-        F.col("c.split_type").alias("chunk_split_type"),
-        F.concat(F.col("title"), F.lit("\n"), F.col("c.text")).alias("chunk_text"),
-        F.col("c.text").alias("chunk_body_text"),
+        F.col("start_word").alias("chunk_start"),
+        F.col("end_word").alias("chunk_end"),
+        F.col("word_count").alias("chunk_word_count"),
+        F.col("split_type").alias("chunk_split_type"),
+        F.concat(F.col("title"), F.lit("\n"), F.col("text")).alias("chunk_text"),
+        F.col("text").alias("chunk_body_text"),
     )
 
 
