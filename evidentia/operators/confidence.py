@@ -44,7 +44,7 @@ def ptrue_of_logits(yes: Column, no: Column) -> Column:
 
 
 def symmetric_pairs(nli: DataFrame, example: str = "ex") -> DataFrame:
-    """Means of both directions of every ordered pair, computed once for each unordered pair."""
+    """Means of both directions of every ordered pair."""
     other = nli.select(example, F.col("i").alias("j"), F.col("j").alias("i"), F.col("entail").alias("_e"), F.col("contra").alias("_c"))
     both = nli.join(other, [example, "i", "j"])
     return both.select(example, "i", "j", ((F.col("entail") + F.col("_e")) / 2).alias("entail"), ((F.col("contra") + F.col("_c")) / 2).alias("contra"))
@@ -53,13 +53,13 @@ def symmetric_pairs(nli: DataFrame, example: str = "ex") -> DataFrame:
 def nvc(candidates: DataFrame, nli: DataFrame, eps: float = 1e-9, example: str = "ex") -> DataFrame:
     """``ex, nvc`` from ``ex, j, ptrue`` (the answer at j = 0) and ``ex, i, j, entail, contra``.
 
-    Each distractor counts by its contradiction of the answer over its degree (1 and its
-    entailments by others, the answer aside); scores that are null or negative do not count.
+    Each distractor counts by its contradiction of the answer, the mean of both directions, over
+    its degree (1 and its entailments by others, the answer aside); scores that are null or
+    negative do not count.
     """
-    sym = symmetric_pairs(nli, example)
     entailed = F.greatest(F.lit(0.0), F.col("entail"))
-    degree = sym.groupBy(example, "j").agg((F.lit(1.0) + F.sum(entailed)).alias("degree"))
-    to_answer = sym.where("i = 0").select(example, "j", F.col("contra").alias("c0"), F.col("entail").alias("e0"))
+    degree = nli.groupBy(example, "j").agg((F.lit(1.0) + F.sum(entailed)).alias("degree"), F.max(F.when(F.col("i") == 0, F.col("entail"))).alias("e0"))
+    to_answer = symmetric_pairs(nli, example).where("i = 0").select(example, "j", F.col("contra").alias("c0"))
     p0 = candidates.where("j = 0").select(example, F.col("ptrue").alias("p0"))
     others = candidates.where((F.col("j") > 0) & F.col("ptrue").isNotNull() & ~F.isnan("ptrue") & (F.col("ptrue") >= 0))
     share = F.col("ptrue") * F.col("c0") / (F.col("degree") - F.col("e0") + eps)

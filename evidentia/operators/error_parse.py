@@ -240,7 +240,7 @@ def loaded_rows(parsed: DataFrame, key: str, form: LineFormat = WITQA_LINE, inte
     for i, name in enumerate(form.fields):
         cell = F.col("parsed.fields")[i]
         if name in integers:
-            cell = F.expr("try_cast(trim(_c) AS INT)".replace("_c", f"parsed.fields[{i}]"))
+            cell = F.trim(cell).try_cast("int")
         cells.append(cell.alias(name))
     return parsed.where("parsed.reason IS NULL").select(key, *cells)
 

@@ -48,7 +48,7 @@ _CHILD_ARROW = pa.list_(
 
 _OPEN, _CLOSE = (b"{", b"["), (b"}", b"]")
 _SCALAR = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
-_BAD_STRING = re.compile(rb"[\x00-\x1f]|\\(?:[^\"\\/bfnrtu]|u(?![0-9a-fA-F]{4}))")
+_STRING = re.compile(rb'(?:[^\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,10 @@ class StructuralIndex:
         odd_inside = back | (buf < 0x20)
         odd = np.concatenate(([0], np.cumsum(odd_inside)))
         for s in np.flatnonzero(text & (odd[np.minimum(self.v_to, size)] > odd[safe])):
-            if valid[owner[s]] and _BAD_STRING.search(self.data, self.v_from[s] + 1, self.v_to[s] - 1):
+            if valid[owner[s]] and not _STRING.fullmatch(self.data, self.v_from[s] + 1, self.v_to[s] - 1):
+                valid[owner[s]] = False
+        for s in keyed[odd[k1] > odd[k0]]:
+            if valid[owner[s]] and not _STRING.fullmatch(self.data, self.k_from[s] + 1, self.k_to[s] - 1):
                 valid[owner[s]] = False
         for s in np.flatnonzero(~composite & ~text):
             if valid[owner[s]] and not _SCALAR.fullmatch(self.data, self.v_from[s], self.v_to[s]):

@@ -143,7 +143,7 @@ def _nli(spark, sf_dir):
     candidates = v.select("ex", "j", (F.pmod(F.col("vec_id") * 37, F.lit(100)) / 100.0).alias("ptrue"))
     a, b = v.select("ex", F.col("j").alias("i"), F.col("embedding").alias("_a")), v.select("ex", "j", F.col("embedding").alias("_b"))
     pairs = a.join(b, "ex").where("i <> j").select("ex", "i", "j", cosine(F.col("_a"), F.col("_b")).alias("c"))
-    # A direction of its own: the entailment of i by j fades with their distance in the block.
+    # A direction of its own: an entailment fades with the distance in the block.
     fade = 1.0 - (F.col("i") - F.col("j")) / 20.0
     return candidates, pairs.select("ex", "i", "j", (F.greatest(F.col("c"), F.lit(0.0)) * fade).alias("entail"), (F.greatest(-F.col("c"), F.lit(0.0)) * fade).alias("contra"))
 
@@ -181,7 +181,7 @@ _SUPPORTS = "list_filter(coalesce(claim_supports, []), lambda x: x IS NOT NULL A
 _NVC = """WITH v AS (SELECT vec_id // 5 AS ex, vec_id % 5 AS j, vec_id, embedding::DOUBLE[] AS e FROM embeddings), c AS (SELECT ex, j, ((vec_id * 37) % 100) / 100.0 AS p FROM v),
     n0 AS (SELECT a.ex, a.j AS i, b.j AS j, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM v a JOIN v b ON a.ex = b.ex AND a.j <> b.j),
     n AS (SELECT ex, i, j, greatest(c, 0.0) * (1.0 - (i - j) / 20.0) AS e, greatest(-c, 0.0) * (1.0 - (i - j) / 20.0) AS k FROM n0),
-    s AS (SELECT x.ex, x.i, x.j, (x.e + y.e) / 2 AS e, (x.k + y.k) / 2 AS k FROM n x JOIN n y ON x.ex = y.ex AND x.i = y.j AND x.j = y.i),
+    s AS (SELECT x.ex, x.i, x.j, x.e, (x.k + y.k) / 2 AS k FROM n x JOIN n y ON x.ex = y.ex AND x.i = y.j AND x.j = y.i),
     g AS (SELECT ex, j, 1.0 + sum(greatest(0.0, e)) AS deg FROM s GROUP BY ALL),
     t AS (SELECT c.ex, sum(c.p * s.k / (g.deg - s.e + {eps})) AS added FROM c JOIN s ON s.ex = c.ex AND s.j = c.j AND s.i = 0 JOIN g ON g.ex = c.ex AND g.j = c.j WHERE c.j > 0 GROUP BY c.ex)
     SELECT c.ex, round(CASE WHEN p + coalesce(added, 0) > 1 THEN p / (p + coalesce(added, 0)) ELSE p END, 6) AS nvc FROM c LEFT JOIN t USING (ex) WHERE c.j = 0"""
