@@ -31,7 +31,7 @@ from evidentia.session import first_of_each, ship_package, spread
 CHARACTER, WORD, SENTENCE, PARAGRAPH, SECTION = range(5)
 
 _WORD = re.compile(r"[^ \t\r\n]+")
-_BLANK_LINE = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)")
+_BLANK_LINE = re.compile(r"(?:\r\n|\n|\r(?!\n))[ \t]*[\r\n]")
 _HEADING = re.compile(r"(?:#{1,6} |={2,} ?\S|\S[^\r\n]*[\r\n]+[=-]{3,}[ \t]*(?:[\r\n]|$))")
 _CLOSERS = "\"')]»”"
 
