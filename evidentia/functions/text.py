@@ -255,7 +255,10 @@ def score_bin(score: Column) -> Column:
 
 
 # Words that carry no content in a question's signature.
-SIGNATURE_STOP_WORDS = "a an the of in on at to for by with from and or is are was were be did do does what which who whom whose when where why how that this it its as".split()
+SIGNATURE_STOP_WORDS = (
+    "a an and are be by did do does for from had has have how in is it its of on or that the their them there these this those to "
+    "was were what when where which who whom whose why with"
+).split()
 
 
 def signature(question: Column | str) -> Column:

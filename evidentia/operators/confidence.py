@@ -132,3 +132,21 @@ def semantic_distractors(candidates: DataFrame, example: str, text: str, place:
 
     schema = candidates.select(example, text, place).schema
     return candidates.groupBy(example).applyInPandas(keep, schema)
+
+
+def entailments(candidates: DataFrame, example: str, place: str, text: str, scorer) -> DataFrame:
+    """``ex, i, j, entail, neutral, contra`` of all ordered pairs of an example's few candidates."""
+    a = candidates.select(F.col(example).alias("ex"), F.col(place).alias("i"), F.col(text).alias("_a"))
+    b = candidates.select(F.col(example).alias("ex"), F.col(place).alias("j"), F.col(text).alias("_b"))
+    e = scorer(F.col("_a"), F.col("_b"))
+    return a.join(b, "ex").where("i <> j").select("ex", "i", "j", e.alias("entail"), F.lit(0.0).alias("neutral"), (1 - e).alias("contra"))
+
+
+def end_to_end(candidates: DataFrame, example: str, place: str, text: str, ptrue_score: str, scorer, eps: float = 1e-9) -> DataFrame:
+    """``ex, nvc, sc_conf, dinco`` of distinct candidates numbered from 0, the answer first."""
+    nli = entailments(candidates, example, place, text, scorer)
+    scored = candidates.select(F.col(example).alias("ex"), F.col(place).alias("j"), F.col(ptrue_score).alias("ptrue"))
+    by_nvc = nvc(scored, nli, eps)
+    to_answer = nli.where("j = 0").groupBy("ex").agg(F.collect_list("entail").alias("_e"))  # as many as an example has candidates
+    both = by_nvc.join(to_answer, "ex", "left").withColumn("sc_conf", self_consistency(F.col("_e")))
+    return both.select("ex", "nvc", "sc_conf", blend(F.col("nvc"), F.col("sc_conf")).alias("dinco"))

@@ -122,3 +122,46 @@ def run_agent(questions: DataFrame, key: str, policy: Callable[[str, list[dict]]
             yield pd.DataFrame(rows, columns=[key, "turn", "action", "answer"])
 
     return questions.select(key).mapInPandas(play, f"`{key}` {kind}, turn int, action string, answer string")
+
+
+def condition_records(rows: DataFrame, branches: dict[str, tuple[Column, dict[str, Column]]], base: list[str]) -> DataFrame:
+    """One record for each row and condition it runs under; fields of other conditions are null."""
+    out = None
+    for name, (runs, fields) in branches.items():
+        part = rows.where(runs).select(*base, F.lit(name).alias("condition"), *[c.alias(k) for k, c in fields.items()])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def advisory_flags(nvc: Column, kind_agrees: Column, coverage: Column, least_grounding: Column) -> Column:
+    """Names of the guards that speak against a commit; they advise and never veto."""
+    flag = lambda when, name: F.when(F.coalesce(when, F.lit(False)), F.lit(name))
+    return F.filter(
+        F.array(flag(nvc <= NVC_GATE, "low_nvc"), flag(~kind_agrees, "kind_mismatch"), flag(coverage < 1, "missing_entities"), flag(least_grounding < LEAST_SUPPORT, "weak_relevant_claim")),
+        lambda x: x.isNotNull(),
+    )
+
+
+def second_pass(rows: DataFrame, weak: Column, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows whose claims are weak go through another pass, the others stay as they are."""
+    return rows.where(~F.coalesce(weak, F.lit(False))).unionByName(again(rows.where(weak)), allowMissingColumns=True)
+
+
+def with_error_rows(rows: DataFrame, key: str, work: Callable[[object], str], value: str, attempts: int = 1) -> DataFrame:
+    """``key, result, error, error_type``: a row that fails after its attempts yields an error, the others go on."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key], batch[value], strict=True):
+                for attempt in range(attempts):
+                    try:
+                        out.append((k, str(work(v)), None, None))
+                        break
+                    except Exception as e:  # noqa: BLE001
+                        if attempt == attempts - 1:
+                            out.append((k, None, str(e), type(e).__name__))
+            yield pd.DataFrame(out, columns=[key, "result", "error", "error_type"])
+
+    return rows.select(key, value).mapInPandas(run, f"`{key}` {kind}, result string, error string, error_type string")

@@ -65,15 +65,27 @@ class Bm25Index:
 
     def search(self, queries: DataFrame, query: str, text: str, k: int, group: str | None = None) -> DataFrame:
         """``query, doc, score, rank``: the best ``k``. Within a group, documents without a match
-        follow with score 0 while fewer than ``k`` match."""
+        follow with score 0 while fewer than ``k`` match. Without a positive ``k``, and for unknown
+        groups, nothing is found."""
         if k <= 0:
-            raise ValueError("k must be positive")
+            queries = queries.limit(0)
         found = self.scores(queries, query, text, group)
         if group:
             every = queries.select(F.col(query).alias("query"), F.col(group).alias("grp")).join(self.docs, "grp")
             found = every.join(found.select("query", "doc", "score"), ["query", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         return top_k(found, ["query"], "score", "doc", k).select("query", "doc", "score", "rank")
 
+    def overfetched(self, queries: DataFrame, query: str, text: str, k: int, score, passages: DataFrame, doc: str, body: str) -> DataFrame:
+        """Search for ``max(25, 5k)``, then the best ``k`` by ``score(passage, query text)``."""
+        wide = self.search(queries, query, text, max(25, 5 * k)).select("query", "doc")
+        both = wide.join(passages.select(F.col(doc).alias("doc"), F.col(body).alias("_body")), "doc").join(queries.select(F.col(query).alias("query"), F.col(text).alias("_q")), "query")
+        return reranked(both, ["query"], F.round(score(F.col("_body"), F.col("_q")), 9), "doc", k).select("query", "doc", "rank")
+
+    def probe(self, queries: DataFrame, query: str, text: str) -> None:
+        """Raise before anything costly where the first question finds nothing."""
+        if not self.search(queries.orderBy(query).limit(1), query, text, 1).where("score > 0").take(1):
+            raise ValueError("the index finds nothing for the first question")
+
     def summary(self) -> DataFrame:
         """Documents, terms, postings and mean length."""
         d = self.lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_length"), F.countDistinct("grp").alias("n_groups"))
@@ -143,3 +155,16 @@ def tfidf_ranking(passages: DataFrame, group: str, doc: str, text: str, question
     every = passages.select(F.col(group).alias("g"), F.col(doc).cast("string").alias("d")).join(questions.select(F.col(group).alias("g")), "g").join(n_docs, "g")
     full = every.join(scored, ["g", "d"], "left")
     return full.select(F.col("g").alias(group), F.col("d").alias(doc), F.when(F.col("n") == 2, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+def pair_cosine(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """``key, cosine`` of the TF-IDF vectors of two texts, fitted on the pair; 0 without common terms."""
+    terms = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+    side = lambda c, d: rows.select(F.col(key), F.lit(d).alias("d"), F.explode(terms(c)).alias("term"))
+    tf = side(a, 0).unionByName(side(b, 1)).groupBy(key, "term").agg(F.count(F.when(F.col("d") == 0, 1)).alias("x"), F.count(F.when(F.col("d") == 1, 1)).alias("y"))
+    both = (F.col("x") > 0) & (F.col("y") > 0)
+    idf = F.when(both, F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1)  # of two texts a term is in one or both
+    parts = tf.select(key, (F.col("x") * idf).alias("x"), (F.col("y") * idf).alias("y")).groupBy(key)
+    sums = parts.agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    scored = sums.select(key, F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("dot") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(0.0).alias("cosine"))
+    return rows.select(key).join(scored, key, "left").select(key, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import (
@@ -106,3 +106,24 @@ def skipped_support() -> Column:
     """The support of a step that was not scored: nulls, not zeros."""
     none = F.lit(None).cast("double")
     return F.struct(none.alias("g_mean"), none.alias("g_min"), F.array().cast("array<double>").alias("claim_supports"))
+
+
+def grounded_claims(claims: DataFrame, passages: DataFrame, by: list[str], claim: str, passage: str, scorer) -> DataFrame:
+    """``by, claims, g_mean, g_min``: every claim against the passages of its group, the best passage of
+    each claim, mean and least over claims; without passages zeros. Partial maxima are taken before
+    the shuffle, so a group with many passages does not meet in one task."""
+    each = claims.select(*by, F.col(claim).alias("_c")).where("_c IS NOT NULL").distinct()
+    pairs = each.join(passages.select(*by, F.col(passage).alias("_p")), by)
+    best_of = pairs.groupBy(*by, "_c").agg(F.max(scorer(F.col("_p"), F.col("_c"))).alias("s"))
+    full = each.join(best_of, [*by, "_c"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    return full.groupBy(*by).agg(F.count(F.lit(1)).alias("claims"), F.avg("s").alias("g_mean"), F.min("s").alias("g_min"))
+
+
+def whole_evidence_support(claim: Column, passages: Column, scorer) -> Column:
+    """A claim against all passages joined to one text."""
+    return scorer(F.array_join(passages, "\n"), claim)
+
+
+def single_claim(question: Column, answer: Column) -> Column:
+    """Question and answer as the one claim to be scored."""
+    return F.concat_ws(" ", F.nullif(F.trim(question), F.lit("")), F.nullif(F.trim(answer), F.lit("")))

@@ -490,3 +490,175 @@ def X_windowed_counts(spark, sf_dir):
 def X_sessions(spark, sf_dir):
     rows = sessions(table(spark, sf_dir, "events", "ts", "user_id"), "ts", "user_id")
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+# ---- compositions ----------------------------------------------------------------------------
+
+_COVER = lambda h, p: f"CASE WHEN len({h}) = 0 THEN 0.0 ELSE {sql.overlap(h, p)} / len({h}) END"
+_EVID = f"(SELECT question_id, context_text FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'context_text')} WHERE question_id IS NOT NULL AND context_text IS NOT NULL)"
+
+
+def _evidence(spark, sf_dir):
+    rows = first_of_each(table(spark, sf_dir, "evidence_docs", "evid_id", "question_id", "context_text"), "evid_id")
+    return rows.where("question_id IS NOT NULL AND context_text IS NOT NULL")
+
+
+@query(f"""WITH c AS (SELECT DISTINCT question_id, unnest(claims) AS c FROM {_ANY('agent_turns', 'turn_id', 'question_id', 'claims')} WHERE question_id IS NOT NULL), e AS (SELECT question_id, {sql.official_words('context_text')} AS p FROM {_EVID}),
+    w AS (SELECT question_id, c, {sql.official_words('c')} AS h FROM c WHERE c IS NOT NULL), s AS (SELECT w.question_id, w.c, max(CASE WHEN p IS NULL THEN 0.0 ELSE {_COVER('h', 'p')} END) AS s FROM w LEFT JOIN e ON e.question_id = w.question_id GROUP BY ALL)
+    SELECT question_id, count(*) AS claims, round(avg(coalesce(s, 0.0)), 6) AS g_mean, round(min(coalesce(s, 0.0)), 6) AS g_min FROM s GROUP BY 1""")
+def E5_scored_claims(spark, sf_dir):
+    from evidentia.functions.scorers import scorer
+    from evidentia.operators.scoring import grounded_claims
+
+    claims = turns(spark, sf_dir, "question_id", "claims").where("question_id IS NOT NULL").select("question_id", F.explode("claims").alias("claim"))
+    got = grounded_claims(claims, _evidence(spark, sf_dir), ["question_id"], "claim", "context_text", scorer("coverage"))
+    return got.select("question_id", "claims", r6("g_mean").alias("g_mean"), r6("g_min").alias("g_min"))
+
+
+@query(f"""WITH t AS (SELECT result_id, question_id, {sql.official_words("concat_ws(' ', nullif(trim(question, ' '), ''), nullif(trim(pred_answer, ' '), ''))")} AS h FROM {_R('question_id', 'question', 'pred_answer')}),
+    e AS (SELECT question_id, {sql.official_words('context_text')} AS p FROM {_EVID}) SELECT result_id, round(max({_COVER('h', 'p')}), 6) AS support FROM t JOIN e USING (question_id) GROUP BY 1""")
+def E9_single_claims(spark, sf_dir):
+    from evidentia.functions.scorers import scorer
+    from evidentia.operators.scoring import single_claim
+
+    rows = runs(spark, sf_dir, "question_id", "question", "pred_answer").join(_evidence(spark, sf_dir), "question_id")
+    support = scorer("coverage")(F.col("context_text"), single_claim(F.col("question"), F.col("pred_answer")))
+    return rows.groupBy("result_id").agg(r6(F.max(support)).alias("support"))
+
+
+@query()
+def C15_end_to_end(spark, sf_dir):
+    """Distinct answers of a run's question, the first turn's at 0, their coverage as entailment."""
+    from evidentia.functions.scorers import scorer
+    from evidentia.operators import confidence
+
+    rows = turns(spark, sf_dir, "run_id", "question_id", "turn", "answer", "nvc").where("run_id IS NOT NULL AND question_id IS NOT NULL AND answer IS NOT NULL")
+    task = rows.select(F.concat_ws("/", "run_id", "question_id").alias("task"), "turn_id", "answer", F.coalesce(number("nvc"), F.lit(0.0)).alias("p"), F.coalesce(F.col("turn") == 0, F.lit(False)).alias("greedy"))
+    kept = confidence.greedy_first(task, "task", "answer", "greedy", "turn_id")
+    got = confidence.end_to_end(kept, "task", "place", "answer", "p", scorer("coverage"))
+    return got.select(F.col("ex").alias("task"), r6("nvc").alias("nvc"), r6("sc_conf").alias("sc_conf"), r6("dinco").alias("dinco"))
+
+
+@query(f"""WITH r AS {_ANY('trajectories', 'result_id', 'question_id', 'nvc', 'em')}, d AS (SELECT DISTINCT question_id FROM r WHERE nvc IS NULL OR isnan(nvc)) SELECT result_id, em FROM r WHERE question_id IS NULL OR question_id NOT IN (SELECT question_id FROM d WHERE question_id IS NOT NULL)""")
+def C17_complete_examples(spark, sf_dir):
+    """Runs of questions of which no run lacks a confidence."""
+    from evidentia.operators.confidence import without_dropped
+
+    rows = runs(spark, sf_dir, "question_id", "nvc", "em")
+    reasons = rows.where("nvc IS NULL OR isnan(nvc)").select("question_id", F.lit("no confidence").alias("reason"))
+    return without_dropped(rows, reasons, "question_id").select("result_id", "em")
+
+
+@query()
+def C19_semantic_distractors(spark, sf_dir):
+    from evidentia.operators.confidence import semantic_distractors
+
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
+        F.expr("vec_id div 5").alias("ex"), "vec_id", F.expr("CAST(vec_id % 5 AS INT)").alias("place"), (F.col("label") / 10.0).alias("entail"), "embedding"
+    )
+    return semantic_distractors(rows, "ex", "vec_id", "place", "entail", "embedding").select("ex", "vec_id")
+
+
+@query(f"""SELECT result_id, 'closed_book' AS condition, CAST(NULL AS VARCHAR) AS route, em FROM {_ANY('trajectories', 'result_id', 'em', 'nvc')} UNION ALL
+    SELECT result_id, 'gated', CASE WHEN coalesce({_NUM('nvc')}, 0) < 0.8 THEN 'retrieve' ELSE 'memory' END, NULL FROM {_ANY('trajectories', 'result_id', 'nvc')} WHERE nvc IS NOT NULL""")
+def L5_condition_records(spark, sf_dir):
+    rows = runs(spark, sf_dir, "em", "nvc")
+    branches = {"closed_book": (F.lit(True), {"em": F.col("em")}), "gated": (F.col("nvc").isNotNull(), {"route": policy.route(number("nvc"))})}
+    return policy.condition_records(rows, branches, ["result_id"]).select("result_id", "condition", "route", "em")
+
+
+@query()
+def L8_advisory_flags(spark, sf_dir):
+    from evidentia.functions import hints
+
+    rows = turns(spark, sf_dir, "subquestion", "answer", "claims", "claim_supports", "nvc")
+    d = hints.diagnostics(F.col("subquestion"), F.coalesce("answer", F.lit("")), F.col("claims"), F.col("claim_supports"))
+    flags = policy.advisory_flags(number("nvc"), F.col("d.kind_agrees"), F.col("d.entity_coverage"), F.col("d.least_grounding"))
+    named = rows.withColumn("d", d).select(F.explode(flags).alias("flag"))
+    return named.groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def L9_agent_loop(spark, sf_dir):
+    """The loop with a rule as policy: retrieve twice, then commit."""
+    asked = table(spark, sf_dir, "controls", "question_id").where("question_id IS NOT NULL")
+    return policy.run_agent(asked, "question_id", lambda key, history: {"action": "commit", "answer": key} if len(history) >= 2 else {"action": "retrieve"})
+
+
+@query()
+def L15_error_rows(spark, sf_dir):
+    """Targets that are no JSON become error rows."""
+    import json
+
+    rows = first_of_each(table(spark, sf_dir, "sft_pairs", "pair_id", "target"), "pair_id")
+    return policy.with_error_rows(rows, "pair_id", lambda v: len(json.loads(v)), "target").select("pair_id", "result", "error_type")
+
+
+@query()
+def G14_node_counters(spark, sf_dir):
+    """Planned nodes, hits and events of each run, from its planning trace."""
+    from evidentia.operators.nested_json import trajectory_tables
+
+    rows = table(spark, sf_dir, "trajectories", "result_id", "policy_trace", "planning_trace", "support")
+    each = trajectory_tables(rows, with_values=False).where("child_table LIKE 'planning_trace%'")
+    return each.groupBy("result_id", "child_table").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def Q1_sound_plans(spark, sf_dir):
+    """Planned sub-questions without repeats, and the dependencies that hold."""
+    from evidentia.operators.nested_json import trajectory_tables
+
+    rows = table(spark, sf_dir, "trajectories", "result_id", "policy_trace", "planning_trace", "support")
+    nodes = trajectory_tables(rows).where("child_table = 'planning_trace.nodes'")
+    deps = F.coalesce(F.from_json(F.get_json_object("value", "$.depends_on"), "array<string>"), F.filter(F.array(F.get_json_object("value", "$.depends_on")), lambda x: x.isNotNull()))
+    plan = nodes.select(
+        F.concat_ws("/", F.col("result_id").cast("string"), "parent_pos").alias("plan"), "pos", dag.clean_node_id(F.get_json_object("value", "$.id")).alias("id"),
+        F.get_json_object("value", "$.subquestion").alias("q"), F.transform(deps, lambda d: dag.clean_node_id(d)).alias("deps"),
+    )
+    return dag.sound_plan(plan, "plan", "id", "q", "deps", "pos").select("plan", "id", F.array_join("deps", ",").alias("deps"))
+
+
+@query(f"WITH {_NODES} SELECT id, CAST(greatest(depth, 0) AS BIGINT) AS waits FROM n WHERE id > 0 UNION ALL SELECT id, 0 FROM n WHERE id = 0")
+def Q5_waiting_nodes(spark, sf_dir):
+    nodes, edges = _tree(spark, sf_dir)
+    return dag.execution_ranks(edges, nodes, []).select("id", "waits")
+
+
+@query(f"""SELECT example_id, category, CASE category WHEN 'person-name-swap' THEN split_part(trim(answer, ' '), ' ', 2) || ' ' || split_part(trim(answer, ' '), ' ', 1) WHEN 'yes-no-restate' THEN CASE WHEN lower(answer) = 'yes' THEN 'Yes, that is correct.' ELSE 'No, that is not correct.' END
+    WHEN 'year-prefix' THEN 'the year ' || answer || '|in ' || answer WHEN 'place-prefix' THEN 'the ' || answer || '|' || answer || ' itself' ELSE 'the answer is ' || answer || '|' || answer || ' is correct' END AS paraphrases
+    FROM (SELECT *, {_CATEGORY} AS category FROM examples WHERE answer IS NOT NULL) WHERE category IS NOT NULL""")
+def P27_paraphrases(spark, sf_dir):
+    rows = table(spark, sf_dir, "examples", "example_id", "answer", "type").where("answer IS NOT NULL")
+    named = rows.withColumn("category", reshape.control_category(F.col("answer"), F.col("type"))).where("category IS NOT NULL")
+    return named.select("example_id", "category", F.array_join(reshape.paraphrases(F.col("category"), F.col("answer")), "|").alias("paraphrases"))
+
+
+@query("SELECT example_id FROM (SELECT example_id FROM examples ORDER BY example_id LIMIT 40 OFFSET 15)")
+def P14_slice(spark, sf_dir):
+    """A slice is the feature here: offset and limit after a total order."""
+    return table(spark, sf_dir, "examples", "example_id").orderBy("example_id").offset(15).limit(40)
+
+
+@query("""SELECT question_id, question AS prompt, coalesce(answer, '') AS ground_truth, coalesce(nullif(level, ''), 'unknown') AS level, CASE WHEN split = 'train' THEN 'train' ELSE 'val' END AS slot FROM examples WHERE question IS NOT NULL""")
+def T5_prompt_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "examples", "question_id", "question", "answer", "level", "split").where("question IS NOT NULL")
+    return rows.select(
+        "question_id", F.col("question").alias("prompt"), F.coalesce("answer", F.lit("")).alias("ground_truth"), F.coalesce(F.nullif("level", F.lit("")), F.lit("unknown")).alias("level"),
+        F.when(F.col("split") == "train", "train").otherwise("val").alias("slot"),
+    )
+
+
+@query(f"""SELECT run_id, question_id, count(*) AS turns, max(turn) AS last_turn, count(*) FILTER (action.type = 'retrieve') AS retrievals, round(avg({_NUM('g_mean')}), 6) AS g_mean
+    FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'action', 'g_mean')} GROUP BY ALL""")
+def G8_agent_summary(spark, sf_dir):
+    rows = turns(spark, sf_dir, "run_id", "question_id", "turn", "action", "g_mean")
+    return rows.groupBy("run_id", "question_id").agg(
+        F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn"), F.count(F.when(F.col("action.type") == "retrieve", 1)).alias("retrievals"), r6(F.avg(number("g_mean"))).alias("g_mean")
+    )
+
+
+@query(f"""SELECT source, type, split, count(*) AS n, grouping(source) + grouping(type) + grouping(split) AS level FROM examples GROUP BY ROLLUP (source, type, split)""".replace("grouping(source) + grouping(type) + grouping(split) AS level", "CAST(grouping(source) + grouping(type) + grouping(split) AS INTEGER) AS level"))
+def X_rollup_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "examples", "source", "type", "split").rollup("source", "type", "split")
+    level = (F.grouping("source") + F.grouping("type") + F.grouping("split")).cast("int")
+    return rows.agg(F.count(F.lit(1)).alias("n"), level.alias("level")).select("source", "type", "split", "n", "level")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import scorer
-from evidentia.operators.retrieval import Bm25Index, fuse, merged_hits, nearest, reranked, tfidf_ranking, top_k
+from evidentia.operators.retrieval import Bm25Index, fuse, merged_hits, nearest, pair_cosine, reranked, tfidf_ranking, top_k
 from evidentia.plans import sql
 from evidentia.session import first_of_each, table
 
@@ -148,3 +148,34 @@ ORACLES = {
         s AS (SELECT dots.grp, dots.doc, dot / (x.norm * y.norm) AS score FROM dots JOIN norm x ON x.grp = dots.grp AND x.doc = dots.doc JOIN norm y ON y.grp = dots.grp AND y.doc = '')
         SELECT d.grp AS question_id, d.doc AS evid_id, round(CASE WHEN n = 2 THEN 1.0 ELSE coalesce(score, 0.0) END, 6) AS score FROM d JOIN q USING (grp) JOIN n USING (grp) LEFT JOIN s ON s.grp = d.grp AND s.doc = CAST(d.doc AS VARCHAR)""",
 }
+
+
+# ---- further searches ------------------------------------------------------------------------
+
+
+def R6_overfetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    hits = _index(spark, sf_dir).overfetched(_asked(spark, sf_dir), "example_id", "question", 5, scorer("coverage"), docs, "doc_id", "text")
+    return hits.select("query", "doc", F.col("rank").cast("bigint").alias("rank"))
+
+
+def R11_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question")
+    best = top_k(ranked.withColumn("evid_id", F.col("evid_id").cast("bigint")), ["question_id"], "score", "evid_id", 2)
+    return best.select("question_id", "evid_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def R12_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw"), "result_id")
+    return pair_cosine(rows, "result_id", "question", "pred_answer_raw").select("result_id", F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES |= {"R6_overfetched": R6_overfetched, "R11_tfidf_topk": R11_tfidf_topk, "R12_pair_cosine": R12_pair_cosine}
+ORACLES["R6_overfetched"] = f"""WITH {_bm25(_DOCS, _ASKED, False)}, w AS ({_TOP.format('scored', 25)}), p AS (SELECT w.query, w.doc, {sql.official_words('d.text')} AS p, {sql.official_words('q.text')} AS h FROM w JOIN d ON d.doc = w.doc JOIN q ON q.query = w.query),
+    s AS (SELECT query, doc, CASE WHEN len(h) = 0 THEN 0.0 ELSE {sql.overlap('h', 'p')} / len(h) END AS score, count(*) OVER (PARTITION BY query) AS n FROM p)
+    SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 5 THEN round(score, 9) END DESC NULLS LAST, doc) AS rank FROM s QUALIFY rank <= 5"""
+ORACLES["R11_tfidf_topk"] = ORACLES["R10_tfidf_ranking"].replace("round(CASE WHEN n = 2 THEN 1.0 ELSE coalesce(score, 0.0) END, 6) AS score", "row_number() OVER (PARTITION BY d.grp ORDER BY round(CASE WHEN n = 2 THEN 1.0 ELSE coalesce(score, 0.0) END, 9) DESC, d.doc) AS rank") + " QUALIFY rank <= 2"
+ORACLES["R12_pair_cosine"] = f"""WITH r AS {sql.once('trajectories', 'result_id', 'question', 'pred_answer_raw')}, t AS (SELECT result_id, 0 AS d, unnest({_TFIDF_TOKENS("coalesce(question, '')")}) AS term FROM r
+    UNION ALL SELECT result_id, 1 AS d, unnest({_TFIDF_TOKENS("coalesce(pred_answer_raw, '')")}) AS term FROM r), v AS (SELECT result_id, term, count(*) FILTER (d = 0) AS x, count(*) FILTER (d = 1) AS y FROM t GROUP BY ALL),
+    w AS (SELECT result_id, x * i AS x, y * i AS y FROM (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS i FROM v)),
+    s AS (SELECT result_id, CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / sqrt(sum(x * x) * sum(y * y)) ELSE 0.0 END AS c FROM w GROUP BY 1) SELECT r.result_id, round(coalesce(c, 0.0), 6) AS cosine FROM r LEFT JOIN s USING (result_id)"""

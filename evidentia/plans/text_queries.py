@@ -183,3 +183,72 @@ ORACLES["A25_asks_again"] = rf"""WITH t AS (SELECT turn_id, run_id, question_id,
     FROM {sql.once('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'subquestion')}), l AS (SELECT *, lag(s) OVER (PARTITION BY run_id, question_id ORDER BY turn NULLS FIRST, turn_id) AS b FROM t),
     m AS (SELECT *, len(list_intersect(s, b)) AS c, least(len(s), len(b)) AS k FROM l)
     SELECT turn_id, coalesce(k > 0 AND c / k >= 0.8 AND (c = len(s) OR c = len(b) OR len(s) + len(b) - 2 * c <= 1), false) AS again FROM m"""
+
+
+# ---- hints and prompts -----------------------------------------------------------------------
+
+from evidentia.functions import hints  # noqa: E402
+
+scalar("A20_question_entities", "examples", "example_id", ["question"], lambda: F.to_json(hints.question_entities("question")), None)
+_FORM = sql.official("question")
+
+
+def _says(form: str, phrases) -> str:
+    return "(" + " OR ".join(f"contains({form}, '{p}')" if " " in p else f"contains(' ' || {form} || ' ', ' {p} ')" for p in phrases) + ")"
+
+
+_OPERATORS = "list_filter([" + ", ".join(f"CASE WHEN {_says('f', cues)} THEN '{name}' END" for name, cues in hints.OPERATOR_CUES.items()) + "], lambda x: x IS NOT NULL)"
+_FAMILIES = "list_filter([" + ", ".join(f"CASE WHEN list_has_any(o, ['{chr(39) + ', ' + chr(39)}']) THEN '{name}' END".replace("['', '']", str(list(ops))) for name, ops in hints.FAMILIES.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def A24_reasoning_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "trajectories", "result_id", "question")
+    return rows.select(
+        "result_id", F.array_join(hints.operator_hints("question"), ",").alias("operators"), F.array_join(hints.reasoning_hints("question"), ",").alias("families"), hints.needs_composition("question").alias("composed")
+    )
+
+
+QUERIES["A24_reasoning_hints"] = A24_reasoning_hints
+_BRIDGE = " OR ".join(f"contains(f, '{c}')" for c in hints.BRIDGE_CUES)
+ORACLES["A24_reasoning_hints"] = f"""WITH q AS (SELECT result_id, {_FORM} AS f FROM trajectories), o AS (SELECT *, {_OPERATORS} AS o FROM q), m AS (SELECT *, {_FAMILIES} AS m FROM o)
+    SELECT result_id, array_to_string(o, ',') AS operators, CASE WHEN len(m) > 0 THEN array_to_string(m, ',') WHEN {_BRIDGE} THEN 'bridge_lookup' ELSE 'attribute_lookup' END AS families, len(m) > 0 AS composed FROM m"""
+
+
+def A22_policy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "agent_turns", "turn_id", "subquestion", "answer", "claims", "claim_supports"), "turn_id")
+    d = hints.diagnostics(F.col("subquestion"), F.coalesce("answer", F.lit("")), F.col("claims"), F.col("claim_supports"))
+    r6 = lambda c: F.round(c, 6)
+    return rows.select("turn_id", d.alias("d")).select("turn_id", "d.kind_agrees", r6("d.entity_coverage").alias("entity_coverage"), "d.relevant_claims", r6("d.least_grounding").alias("least_grounding"), r6("d.mean_grounding").alias("mean_grounding"))
+
+
+QUERIES["A22_policy_diagnostics"] = A22_policy_diagnostics
+
+
+def A16_specific_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "agent_turns", "turn_id", "subquestion", "answer", "claims", "claim_supports"), "turn_id")
+    return rows.select("turn_id", hints.more_specific(F.col("subquestion"), F.col("answer"), F.col("claims"), F.col("claim_supports"), F.lit("")).alias("span"))
+
+
+QUERIES["A16_specific_spans"] = A16_specific_spans
+
+
+def A29_signal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "policy_trace"), "result_id")
+    turns = rows.select("result_id", "question", F.posexplode("policy_trace").alias("pos", "e")).where("e.action = 'agent_turn'")
+    return turns.select("result_id", "pos", hints.signal_message(F.col("question"), F.col("e.details")).alias("message"))
+
+
+QUERIES["A29_signal_messages"] = A29_signal_messages
+
+
+def A29_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight turns before each turn, as lines without telemetry."""
+    from pyspark.sql.window import Window
+
+    rows = first_of_each(table(spark, sf_dir, "agent_turns", "turn_id", "run_id", "question_id", "turn", "answer", "action"), "turn_id")
+    before = Window.partitionBy("run_id", "question_id").orderBy("turn", "turn_id").rowsBetween(-8, -1)
+    lines = F.collect_list(F.coalesce(hints.history_line(F.coalesce("turn", F.lit(-1)), F.col("action"), F.col("answer")), F.lit(""))).over(before)
+    return rows.select("turn_id", F.when(F.size(lines) == 0, "(first turn)").otherwise(F.array_join(lines, "\n")).alias("history"))
+
+
+QUERIES["A29_histories"] = A29_histories
