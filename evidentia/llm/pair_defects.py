@@ -338,9 +338,10 @@ def synthetic_pairs(sample: Sequence[tuple[str | None, str]], seed: int = 7) ->
             out.append((q, f"Question: {q} Answer: {text}", -1))
         elif x < 0.44:
             out.append((q, rng.choice(sample)[1], -1))  # swapped
-        elif x < 0.56 and (own := re.findall(r"\b[A-ZÀ-Þ][^\W\d_]{4,}(?: [A-ZÀ-Þ][^\W\d_]{4,})?", (q or "")[1:])):
-            name = rng.choice(own) if rng.random() < 0.4 else rng.choice((rng.choice(names), f"{rng.choice(names)} {rng.choice(names)}", str(rng.randint(1, 2020)), "yes"))
-            out.append((q, rng.choice((name, f"Answer: {name}", f"Final answer: {name}", f"{name}.")), -1))
+        elif x < 0.66 and (own := re.findall(r"\b[A-ZÀ-Þ][^\W\d_]{4,}(?: [A-ZÀ-Þ][^\W\d_]{4,})?", (q or "")[1:])):
+            other = rng.choice(names).split()[0]
+            name = rng.choice((rng.choice(own), rng.choice(own), other, f"{other} {rng.choice(names)}", f"{other} O'{rng.choice(names).split()[0]}", str(rng.randint(1, 2020)), "yes"))
+            out.append((q, rng.choice((name, name, f"Answer: {name}", f"Final answer: {name}", f"{name}.", f"{q} {name}", f"{q} {name}", f"{q} Answer: {name}")), -1))
         # Cut inside: neither at a sentence's end nor before its stop.
         for _ in range(2):
             cut = rng.randint(1, max(1, len(text) - 2)) if len(text) > 3 else 0
