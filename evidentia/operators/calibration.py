@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from evidentia.session import global_order
 
 
 def usable(rows: DataFrame, score: str, prob: str, *keys: str) -> DataFrame:
@@ -14,14 +15,26 @@ def usable(rows: DataFrame, score: str, prob: str, *keys: str) -> DataFrame:
     return kept.select(*keys, F.col(score).cast("double").alias("s"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"))
 
 
+def placed(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
+    """``rows`` (``s, p`` and the tie column) with their place ``r`` by probability within their
+    group and its size ``n``. A group may be as large as the table: its order comes from the one
+    global order less the place of its first row, never from one task that holds the group."""
+    ordered = global_order(rows, *by, "p", tie)
+    starts = ordered.groupBy(*by).agg(F.min("position").alias("_start"), F.count(F.lit(1)).alias("n"))
+    joined = ordered.join(starts, by) if by else ordered.crossJoin(F.broadcast(starts))
+    return joined.withColumn("r", F.col("position") - F.col("_start")).drop("position", "_start")
+
+
 def ece(rows: DataFrame, by: list[str], tie: str, bins: int = 15) -> DataFrame:
     """Expected calibration error over bins of equal mass, with half-even rounding of the edges.
 
-    The bin of a rank is found in closed form from its neighbours, not by a range join. ``rows``
-    has ``s, p`` and the tie column, which fixes the order of equal probabilities.
+    The bin of a place is found in closed form from its neighbours, not by a range join; the tie
+    column fixes the order of equal probabilities.
     """
-    w = Window.partitionBy(*by)
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy("p", tie)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return ece_of(placed(rows, by, tie), by, bins)
+
+
+def ece_of(ranked: DataFrame, by: list[str], bins: int = 15) -> DataFrame:
     guess = F.floor(F.col("r") * bins / F.col("n")).cast("int")
     edge = lambda b: F.bround(b * F.col("n") / F.lit(float(bins)), 0)
     near = F.filter(F.array(guess - 1, guess, guess + 1), lambda b: (edge(b) <= F.col("r")) & (F.col("r") < edge(b + 1)))
@@ -32,10 +45,14 @@ def ece(rows: DataFrame, by: list[str], tie: str, bins: int = 15) -> DataFrame:
 
 def auroc(rows: DataFrame, by: list[str]) -> DataFrame:
     """Area under the curve with mean ranks of ties; null where one class is missing."""
-    counts = rows.groupBy(*by, "p").agg(F.count(F.lit(1)).alias("m"), F.sum("s").alias("pos"))
-    below = F.sum("m").over(Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("m") + 1) / 2.0)
-    t = ranked.groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("sr"), F.sum("pos").alias("np"), F.sum("m").alias("n"))
+    return auroc_of(placed(rows, by, "s"), by)
+
+
+def auroc_of(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """Equal probabilities share the mean of their places, whatever their order among each other."""
+    ties = ranked.groupBy(*by, "p").agg(F.min("r").alias("first"), F.count(F.lit(1)).alias("m"), F.sum("s").alias("pos"))
+    rank = F.col("first") + (F.col("m") + 1) / 2.0
+    t = ties.groupBy(*by).agg(F.sum(rank * F.col("pos")).alias("sr"), F.sum("pos").alias("np"), F.sum("m").alias("n"))
     np, nn = F.col("np"), F.col("n") - F.col("np")
     return t.select(*by, F.when((np > 0) & (nn > 0), (F.col("sr") - np * (np + 1) / 2) / (np * nn)).alias("auroc"))
 
@@ -63,5 +80,6 @@ def separation() -> list[Column]:
 
 def all_measures(rows: DataFrame, by: list[str], tie: str, bins: int = 15) -> DataFrame:
     """Every measure of each group in one table."""
-    base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), brier().alias("brier"), saturation("p").alias("saturation"), *separation())
-    return base.join(ece(rows, by, tie, bins), by, "left").join(auroc(rows, by), by, "left")
+    ranked = placed(rows, by, tie)
+    base = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), brier().alias("brier"), saturation("p").alias("saturation"), *separation())
+    return base.join(ece_of(ranked, by, bins), by, "left").join(auroc_of(ranked, by), by, "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidentia.functions.text import official_form
+from evidentia.functions.text import asks_again, official_form, signature
 from evidentia.session import durable
 
 
@@ -79,3 +79,32 @@ def clean_node_id(text: Column) -> Column:
 
 def effective_question(resolved: Column, original: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(resolved), F.lit("")), original)
+
+
+def resolved_question(question: Column, answers: Column) -> Column:
+    """Placeholders of other nodes, bare or in brackets, replaced by their answers (``array<struct<id, answer>>``)."""
+    out = F.aggregate(
+        F.filter(F.coalesce(answers, F.array().cast("array<struct<id:string,answer:string>>")), lambda a: F.coalesce(a["answer"], F.lit("")) != ""),
+        question,
+        lambda text, a: F.call_function("array_join", F.split(text, F.concat(F.lit(r"[\[{<(]?\b"), a["id"], F.lit(r"\b[\]}>)]?"))), a["answer"]),
+    )
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def unresolved(question: Column) -> Column:
+    """Does a rewritten question still wait for another node?"""
+    return F.size(referenced_nodes(question)) > 0
+
+
+def accepted_children(children: DataFrame, parent: str, text: str, order: str, parents: DataFrame, most_depth: int = 2, most_nodes: int = 12) -> DataFrame:
+    """Proposed children (``parent, text, order``) that may join the graph: the parent (``id, plan, depth,
+    question``) may be split further, the child asks neither what its parent asks nor what an earlier
+    sibling asks, and the plan's node count stays within its limit."""
+    size = parents.groupBy("plan").agg(F.count(F.lit(1)).alias("_size"))
+    known = children.join(parents.select(F.col("id").alias(parent), "plan", "depth", "question"), parent).join(size, "plan")
+    mine, theirs = signature(F.col(text)), signature(F.col("question"))
+    fresh = known.where((F.col("depth") < most_depth) & (official_form(text) != "") & ~asks_again(mine, theirs)).withColumn("_key", official_form(text))
+    first = Window.partitionBy(parent, "_key").orderBy(order)
+    place = Window.partitionBy("plan").orderBy(parent, order)
+    one = fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("_m", F.row_number().over(place))
+    return one.where((F.col("_m") <= most_nodes) & (F.col("_m") + F.col("_size") <= most_nodes)).select("plan", parent, text, (F.col("depth") + 1).alias("depth"), order)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidentia.session import own_group
+
 # The default gates, and the conditions of the evaluation arms.
 GATE, HIGH_CONFIDENCE, MEAN_SUPPORT, LEAST_SUPPORT = 0.80, 0.90, 0.70, 0.50
 NVC_GATE, GROUNDING_GATE, COMBINED_GATE = 0.70, 0.70, 0.65
@@ -76,7 +78,7 @@ def guarded_action(action: Column, answer: Column, is_last: Column) -> Column:
 
 def signal_changes(turns: DataFrame, by: list[str], turn: str, signal: str, tie: str, least: float = 0.005) -> DataFrame:
     """Change of a signal from turn to turn, named where it exceeds ``least``."""
-    before = F.lag(signal).over(Window.partitionBy(*by).orderBy(turn, tie))
+    before = F.lag(signal).over(Window.partitionBy(*by, own_group(tie, *by)).orderBy(turn, tie))
     delta = F.col(signal) - before
     name = F.when(delta.isNull(), F.lit(None)).when(delta > least, "IMPROVED").when(delta < -least, "DECREASED").otherwise("UNCHANGED")
     return turns.withColumn("delta", delta).withColumn("change", name)
@@ -84,7 +86,7 @@ def signal_changes(turns: DataFrame, by: list[str], turn: str, signal: str, tie:
 
 def running_best(turns: DataFrame, by: list[str], turn: str, signal: str, tie: str, last: int = 8) -> DataFrame:
     """Best signal so far, and the mean over the last turns."""
-    w = Window.partitionBy(*by).orderBy(turn, tie)
+    w = Window.partitionBy(*by, own_group(tie, *by)).orderBy(turn, tie)
     return turns.withColumn("best_so_far", F.max(signal).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "recent_mean", F.avg(signal).over(w.rowsBetween(1 - last, 0))
     )

@@ -175,6 +175,30 @@ def equal_buckets(rows: DataFrame, bucket: Column, names: tuple[str, ...], total
     return first.unionByName(more)
 
 
+def padded_strata(rows: DataFrame, strata: list[str], total: int, required: dict[str, tuple[Column, int]], key: str, seed: int) -> DataFrame:
+    """``total`` rows in proportion to the strata, of which at least so many meet each requirement.
+
+    Rows are taken in one order: first what the requirements still need (each in shuffled order),
+    then the strata in turn, so the result needs no exchange of rows afterwards.
+    """
+    order = [shuffled(F.col(key), seed), F.col(key)]
+    ranked = rows
+    need = F.lit(False)
+    for i, (holds, least) in enumerate(required.values()):
+        meets = F.coalesce(holds, F.lit(False))
+        first = rows.where(meets).orderBy(*order).limit(least).select(key, F.lit(True).alias(f"_need{i}"))
+        ranked = ranked.join(F.broadcast(first), key, "left")  # at most ``least`` rows
+        need = need | F.coalesce(F.col(f"_need{i}"), F.lit(False))
+    turn = Window.partitionBy(*strata).orderBy(*order)
+    sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_size"))
+    named = ranked.withColumn("_must", need).withColumn("_turn", F.row_number().over(turn)).where(F.col("_must") | (F.col("_turn") <= total))
+    keys = [F.coalesce(F.col(s).cast("string"), F.lit("")).alias(f"_{s}") for s in strata]
+    shares = sizes.select(*keys, "_size")
+    dealt = named.select("*", *keys).join(F.broadcast(shares), [f"_{s}" for s in strata])
+    picked = dealt.orderBy(F.col("_must").desc(), F.col("_turn") / F.col("_size"), *order).limit(total)
+    return picked.select(*rows.columns)
+
+
 # ---- control rows ----------------------------------------------------------------------------
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evidentia.operators.scoring import f1_reward
+from evidentia.session import global_order
 
 # The reward's weights and budget, and the length gates of training pairs.
 ALPHA, BETA, BUDGET = 2.0, 0.15, 9
@@ -22,29 +22,15 @@ def call_count(trace: Column) -> Column:
     return F.coalesce(F.size(F.filter(trace, lambda e: e["action"] == "agent_turn")), F.lit(0))
 
 
-def global_positions(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """``key, position`` of a total order, without one task that sorts all rows: a range-partitioned
-    sort, counts of the partitions (as many as there are tasks), and places within each."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    placed = parts.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
-    before = F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).select("_part", "_before")
-    return placed.join(F.broadcast(offsets), "_part").select(key, (F.col("_at") + F.col("_before")).alias("position"))
-
-
 def pareto_quartile(rows: DataFrame, key: str, quality: Column, cost: Column) -> DataFrame:
     """The quarter of rows (one at least) with the least sum of places by quality and by cost.
     Equal values keep the order of the key."""
     base = rows.select(key, quality.alias("_q"), cost.alias("_c"))
-    by_quality = global_positions(base, key, F.col("_q").desc(), F.col(key)).withColumnRenamed("position", "by_quality")
-    by_cost = global_positions(base, key, F.col("_c"), F.col(key)).withColumnRenamed("position", "by_cost")
-    joint = by_quality.join(by_cost, key).withColumn("joint", F.col("by_quality") + F.col("by_cost"))
-    total = base.agg(F.greatest(F.lit(1), F.expr("count(1) div 4")).alias("_cut"))
-    placed = global_positions(joint, key, F.col("joint"), F.col(key))
-    return joint.join(placed, key).crossJoin(F.broadcast(total)).where(F.col("position") < F.col("_cut")).select(key, "joint")
+    by_quality = global_order(base, F.col("_q").desc(), key, name="by_quality")
+    joint = global_order(by_quality, "_c", key, name="by_cost").withColumn("joint", F.col("by_quality") + F.col("by_cost"))
+    total = base.agg(F.greatest(F.lit(1), F.expr("count(1) div 4")).alias("_cut"))  # one row
+    placed = global_order(joint.select(key, "joint"), "joint", key)
+    return placed.crossJoin(F.broadcast(total)).where(F.col("position") < F.col("_cut")).select(key, "joint")
 
 
 def target_json(action: Column, query: Column, analysis: Column, reason: Column, answer: Column) -> Column:

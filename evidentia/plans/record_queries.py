@@ -36,6 +36,7 @@ def number(c: str):
 _T = lambda *c: sql.once("agent_turns", "turn_id", *c)
 _R = lambda *c: sql.once("trajectories", "result_id", *c)
 _NUM = lambda c: f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END"
+_OWN = "CASE WHEN run_id IS NULL OR question_id IS NULL THEN turn_id END"
 _ANY = lambda t, k, *c: f"(SELECT {k}, {', '.join(f'any_value({x}) AS {x}' for x in c)} FROM {t} GROUP BY {k})"
 
 # ---- reshaping -------------------------------------------------------------------------------
@@ -347,15 +348,15 @@ def L9_guarded_actions(spark, sf_dir):
     return rows.groupBy(policy.guarded_action(F.col("action.type"), F.col("answer"), F.col("turn") >= 5).alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH t AS (SELECT turn_id, v, lag(v) OVER (PARTITION BY run_id, question_id ORDER BY turn NULLS FIRST, turn_id) AS b FROM (SELECT turn_id, run_id, question_id, turn, {_NUM('nvc')} AS v FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'nvc')}))
+@query(f"""WITH t AS (SELECT turn_id, v, lag(v) OVER (PARTITION BY run_id, question_id, {_OWN} ORDER BY turn NULLS FIRST, turn_id) AS b FROM (SELECT turn_id, run_id, question_id, turn, {_NUM('nvc')} AS v FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'nvc')}))
     SELECT turn_id, round(v - b, 6) AS delta, CASE WHEN v - b IS NULL THEN NULL WHEN v - b > 0.005 THEN 'IMPROVED' WHEN v - b < -0.005 THEN 'DECREASED' ELSE 'UNCHANGED' END AS change FROM t""")
 def X_signal_changes(spark, sf_dir):
     rows = turns(spark, sf_dir, "run_id", "question_id", "turn", "nvc").withColumn("v", number("nvc"))
     return policy.signal_changes(rows, ["run_id", "question_id"], "turn", "v", "turn_id").select("turn_id", r6("delta").alias("delta"), "change")
 
 
-@query(f"""SELECT turn_id, round(max(v) OVER w, 6) AS best_so_far, round(avg(v) OVER (PARTITION BY run_id, question_id ORDER BY turn NULLS FIRST, turn_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS recent_mean
-    FROM (SELECT turn_id, run_id, question_id, turn, {_NUM('nvc')} AS v FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'nvc')}) WINDOW w AS (PARTITION BY run_id, question_id ORDER BY turn NULLS FIRST, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@query(f"""SELECT turn_id, round(max(v) OVER w, 6) AS best_so_far, round(avg(v) OVER (PARTITION BY run_id, question_id, {_OWN} ORDER BY turn NULLS FIRST, turn_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS recent_mean
+    FROM (SELECT turn_id, run_id, question_id, turn, {_NUM('nvc')} AS v FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'nvc')}) WINDOW w AS (PARTITION BY run_id, question_id, {_OWN} ORDER BY turn NULLS FIRST, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def X_running_best(spark, sf_dir):
     rows = turns(spark, sf_dir, "run_id", "question_id", "turn", "nvc").withColumn("v", number("nvc"))
     return policy.running_best(rows, ["run_id", "question_id"], "turn", "v", "turn_id").select("turn_id", r6("best_so_far").alias("best_so_far"), r6("recent_mean").alias("recent_mean"))

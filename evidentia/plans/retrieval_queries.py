@@ -106,7 +106,7 @@ def R7_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def R9_merged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of a question over fetches, each document where it first came."""
-    rows = first_of_each(table(spark, sf_dir, "evidence_docs", "evid_id", "question_id", "doc_id", "rank", "fetched_at"), "evid_id")
+    rows = first_of_each(table(spark, sf_dir, "evidence_docs", "evid_id", "question_id", "doc_id", "rank", "fetched_at"), "evid_id").where("question_id IS NOT NULL")
     return merged_hits(rows, ["question_id"], "doc_id", "fetched_at", "evid_id").select("question_id", "doc_id", "evid_id")
 
 
@@ -136,7 +136,7 @@ ORACLES = {
         r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scored WHERE doc <> query QUALIFY rank <= 25
         UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {_COSINE} QUALIFY rank <= 25),
         f AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM r GROUP BY ALL) {_TOP.format('f', K)}""",
-    "R9_merged_hits": f"""SELECT question_id, doc_id, evid_id FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'doc_id', 'rank', 'fetched_at')}
+    "R9_merged_hits": f"""SELECT question_id, doc_id, evid_id FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'doc_id', 'rank', 'fetched_at')} WHERE question_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY fetched_at NULLS FIRST, evid_id) = 1""",
     "R7_reranked": f"""WITH p AS (SELECT d.grp AS question_id, d.doc AS evid_id, {sql.official_words('d.text')} AS p, {sql.official_words('q.text')} AS h FROM ({_GROUP_DOCS}) d JOIN ({_GROUP_ASKED}) q ON q.grp = d.grp),
         s AS (SELECT question_id, evid_id, CASE WHEN len(h) = 0 THEN 0.0 ELSE {sql.overlap('h', 'p')} / len(h) END AS score, count(*) OVER (PARTITION BY question_id) AS n FROM p)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import parse, text
 from evidentia.operators import chunking
 from evidentia.plans import sql
-from evidentia.session import first_of_each, table
+from evidentia.session import first_of_each, own_group, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -173,14 +173,14 @@ def A25_asks_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_of_each(table(spark, sf_dir, "agent_turns", "turn_id", "run_id", "question_id", "turn", "subquestion"), "turn_id")
     from pyspark.sql.window import Window
 
-    before = F.lag(text.signature("subquestion")).over(Window.partitionBy("run_id", "question_id").orderBy("turn", "turn_id"))
+    before = F.lag(text.signature("subquestion")).over(Window.partitionBy("run_id", "question_id", own_group("turn_id", "run_id", "question_id")).orderBy("turn", "turn_id"))
     return rows.select("turn_id", text.signature("subquestion").alias("s"), before.alias("b")).select("turn_id", F.coalesce(text.asks_again(F.col("s"), F.col("b")), F.lit(False)).alias("again"))
 
 
 QUERIES["A25_asks_again"] = A25_asks_again
 _STOP = ", ".join(f"'{w}'" for w in text.SIGNATURE_STOP_WORDS)
 ORACLES["A25_asks_again"] = rf"""WITH t AS (SELECT turn_id, run_id, question_id, turn, list_distinct(list_filter({sql.official_words('subquestion')}, lambda w: w NOT IN ({_STOP}) AND NOT regexp_matches(w, '^\d+$'))) AS s
-    FROM {sql.once('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'subquestion')}), l AS (SELECT *, lag(s) OVER (PARTITION BY run_id, question_id ORDER BY turn NULLS FIRST, turn_id) AS b FROM t),
+    FROM {sql.once('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'subquestion')}), l AS (SELECT *, lag(s) OVER (PARTITION BY run_id, question_id, CASE WHEN run_id IS NULL OR question_id IS NULL THEN turn_id END ORDER BY turn NULLS FIRST, turn_id) AS b FROM t),
     m AS (SELECT *, len(list_intersect(s, b)) AS c, least(len(s), len(b)) AS k FROM l)
     SELECT turn_id, coalesce(k > 0 AND c / k >= 0.8 AND (c = len(s) OR c = len(b) OR len(s) + len(b) - 2 * c <= 1), false) AS again FROM m"""
 
@@ -246,7 +246,7 @@ def A29_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     rows = first_of_each(table(spark, sf_dir, "agent_turns", "turn_id", "run_id", "question_id", "turn", "answer", "action"), "turn_id")
-    before = Window.partitionBy("run_id", "question_id").orderBy("turn", "turn_id").rowsBetween(-8, -1)
+    before = Window.partitionBy("run_id", "question_id", own_group("turn_id", "run_id", "question_id")).orderBy("turn", "turn_id").rowsBetween(-8, -1)
     lines = F.collect_list(F.coalesce(hints.history_line(F.coalesce("turn", F.lit(-1)), F.col("action"), F.col("answer")), F.lit(""))).over(before)
     return rows.select("turn_id", F.when(F.size(lines) == 0, "(first turn)").otherwise(F.array_join(lines, "\n")).alias("history"))
 

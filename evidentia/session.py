@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -96,6 +97,34 @@ def bounded_sample(df: DataFrame, key: str, most: int, *by: str) -> DataFrame:
     return joined.where(drawn < F.lit(1.5 * most) / F.col("_size")).drop("_size")
 
 
+def global_order(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """Rows with their places (from 0) in a total order, without one task that sorts all of them:
+    a range-partitioned sort, the sizes of its partitions (one row a task), and places within each.
+
+    The sorted rows are written to the checkpoint folder first, so that a partition that is lost
+    and computed again keeps its bounds and numbers.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    parts = df.repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    placed = durable(parts.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    before = F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    at = F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, at).drop("_part", "_id", "_before")
+
+
+def own_group(tie: str, *keys: str) -> Column:
+    """A further partition key that sets each row with a null key apart, so that such rows neither
+    count as neighbours nor meet in one task."""
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return F.when(~known, F.col(tie))
+
+
 def has_columns(df: DataFrame, *names: str) -> bool:
     return set(names) <= set(df.columns)
 

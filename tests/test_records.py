@@ -161,3 +161,57 @@ def test_windowed_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("windowed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert [(r.n, r.mean) for r in spark.sql("SELECT * FROM windowed").collect()] == [(2, 2.0)]
+
+
+def test_padded_strata(spark):
+    rows = spark.range(200).select("id", F.when(F.col("id") < 150, "a").otherwise("b").alias("s"), (F.col("id") % 50 == 0).alias("rare"))
+    got = reshape.padded_strata(rows, ["s"], 40, {"rare": (F.col("rare"), 3)}, "id", 5)
+    counts = {r.s: r["count"] for r in got.groupBy("s").count().collect()}
+    assert got.count() == 40 and got.where("rare").count() >= 3 and 26 <= counts["a"] <= 34
+
+
+def test_rewritten_questions(spark):
+    df = spark.createDataFrame([("Where did {sg1} live with sg2_a?", [("sg1", "Ann $1"), ("sg2_a", None)]), ("x", None)], "q string, a array<struct<id:string,answer:string>>")
+    got = df.select(dag.resolved_question(F.col("q"), F.col("a")).alias("q"), dag.unresolved(dag.resolved_question(F.col("q"), F.col("a"))).alias("u")).collect()
+    assert [(r.q, r.u) for r in got] == [("Where did Ann $1 live with sg2_a?", True), ("x", False)]
+
+
+def test_accepted_children(spark):
+    parents = spark.createDataFrame([("n1", "p", 0, "Who founded the old mill in Rome?"), ("n2", "p", 2, "When?")], "id string, plan string, depth int, question string")
+    children = spark.createDataFrame([("n1", "Who founded the mill in Rome?", 0), ("n1", "Which river turns it?", 1), ("n1", "which river turns it", 2), ("n1", "When was it built?", 3), ("n2", "Too deep?", 4)], "parent string, q string, o int")
+    got = dag.accepted_children(children, "parent", "q", "o", parents, most_nodes=3).collect()
+    assert [(r.q, r.depth) for r in got] == [("Which river turns it?", 1)]
+
+
+def test_second_pass_and_error_rows(spark):
+    rows = spark.createDataFrame([(1, 0.2), (2, 0.9), (3, None)], "id int, s double")
+    got = policy.second_pass(rows, F.col("s") < 0.5, lambda df: df.withColumn("s", F.lit(0.7)))
+    assert {r.id: r.s for r in got.collect()} == {1: 0.7, 2: 0.9, 3: None}
+    tried = policy.with_error_rows(spark.createDataFrame([(1, "5"), (2, "x")], "id int, v string"), "id", lambda v: int(v) * 2, "v", attempts=2).orderBy("id").collect()
+    assert [(r.result, r.error_type) for r in tried] == [("10", None), (None, "ValueError")]
+
+
+def test_specific_spans():
+    from evidentia.functions.hints import specific_span
+
+    units = [("For all of the years before the war he lived in Greenwich Village, New York City, with friends", 0.8), ("New York City is big", 0.9)]
+    assert specific_span("New York City", units, True) == "Greenwich Village, New York City"
+    assert specific_span("Paris", units, True) is None and specific_span("", units, True) is None
+
+
+def test_question_entities(spark):
+    from evidentia.functions import hints
+
+    say = lambda q: spark.range(1).select(hints.question_entities(F.lit(q)).alias("e")).first().e
+    assert say("Which film by Ann Lee and Bob Ray won the Prize of Rome?") == ["Ann Lee", "Bob Ray", "Prize of Rome"]
+    assert say("Who made Kiss and Tell?") == ["Kiss and Tell"] and say("who?") == []
+    row = spark.range(1).select(hints.operator_hints(F.lit("Who is older, A or B?")).alias("o"), hints.reasoning_hints(F.lit("Who is older, A or B?")).alias("r")).first()
+    assert row.o == ["older_younger"] and row.r == ["comparison"]
+
+
+def test_global_order_keeps_every_place(spark):
+    from evidentia.session import global_order
+
+    rows = spark.range(5000).select("id", (F.col("id") % 7).alias("k"))
+    got = global_order(rows, F.col("k").desc(), "id").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(5000)) and [(-r.k, r.id) for r in got] == sorted((-r.k, r.id) for r in got)
