@@ -14,23 +14,33 @@ from evidentia.functions.text import col
 # The actions, and the least lengths of a strict action's texts.
 ACTIONS = ("commit", "retrieve", "refine", "decompose")
 LEAST_LENGTHS = {"analysis": 20, "reason": 10, "query": 5, "answer": 1}
+# The patterns of reasoning blocks, fences, answers and markers in generated texts.
+CLOSED_THOUGHT = r"(?s)<think>.*?</think>"
+OPEN_THOUGHT = r"(?s)<think>.*$"
+FENCED = r"(?s)```(?:json)?\s*(.*?)\s*```"
+BRACED = r"(?s)\{.*\}"
+COMMITTED_ANSWER = r'(?s)"action"\s*:\s*"commit".*?"answer"\s*:\s*"([^"]+)"'
+ANSWER_FIELD = r'(?s)"answer"\s*:\s*"([^"]+)"'
+MARKED_ANSWER = r"(?i)(?:final\s+answer|answer)\s*[:=]\s*([^\n]+)"
+BOXED_ANSWER = r"\\boxed\{([^}]*)\}"
+FINAL_CHANNEL = r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|.*|$)"
 ACTION_SCHEMA = "action string, query string, analysis string, reason string, answer string"
 BUDGET = 9
 
 
 def without_thoughts(text: Column | str) -> Column:
     """Reasoning blocks removed, closed ones first, then an unclosed one to the end."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", "")
+    return F.regexp_replace(F.regexp_replace(F.coalesce(col(text), F.lit("")), CLOSED_THOUGHT, ""), OPEN_THOUGHT, "")
 
 
 def unfenced(text: Column) -> Column:
-    inside = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    inside = F.regexp_extract(text, FENCED, 1)
     return F.when(inside != "", inside).otherwise(text)
 
 
 def json_object(text: Column | str) -> Column:
     """The text from the first opening to the last closing brace, fences aside, where it is an object; else null."""
-    body = F.regexp_extract(unfenced(col(text)), r"(?s)\{.*\}", 0)
+    body = F.regexp_extract(unfenced(col(text)), BRACED, 0)
     return F.when((body != "") & F.try_parse_json(body).isNotNull() & F.json_object_keys(body).isNotNull(), body)
 
 
@@ -94,9 +104,9 @@ def policy_choice(text: Column | str) -> Column:
 def final_answer(text: Column | str) -> Column:
     """Answer of the last commit block; else the last answer field; else what follows an answer marker; else empty."""
     t = without_thoughts(text)
-    commits = F.regexp_extract_all(t, F.lit(r'(?s)"action"\s*:\s*"commit".*?"answer"\s*:\s*"([^"]+)"'), F.lit(1))
-    fields = F.regexp_extract_all(t, F.lit(r'(?s)"answer"\s*:\s*"([^"]+)"'), F.lit(1))
-    marked = F.regexp_extract(t, r"(?i)(?:final\s+answer|answer)\s*[:=]\s*([^\n]+)", 1)
+    commits = F.regexp_extract_all(t, F.lit(COMMITTED_ANSWER), F.lit(1))
+    fields = F.regexp_extract_all(t, F.lit(ANSWER_FIELD), F.lit(1))
+    marked = F.regexp_extract(t, MARKED_ANSWER, 1)
     last = lambda xs: F.when(F.size(xs) > 0, F.trim(F.try_element_at(xs, F.lit(-1))))
     return F.coalesce(last(commits), last(fields), F.trim(marked))
 
@@ -104,8 +114,8 @@ def final_answer(text: Column | str) -> Column:
 def boxed_answer(text: Column | str, tail: int = 100) -> Column:
     """A boxed answer, else a marked one, else the end of the last line."""
     t = F.coalesce(col(text), F.lit(""))
-    boxed = F.regexp_extract(t, r"\\boxed\{([^}]*)\}", 1)
-    marked = F.regexp_extract(t, r"(?i)(?:final\s+answer|answer)\s*[:=]\s*([^\n]+)", 1)
+    boxed = F.regexp_extract(t, BOXED_ANSWER, 1)
+    marked = F.regexp_extract(t, MARKED_ANSWER, 1)
     line = F.try_element_at(F.split(F.trim(t), "\n"), F.lit(-1))
     return F.coalesce(F.nullif(F.trim(boxed), F.lit("")), F.nullif(F.trim(marked), F.lit("")), F.right(F.trim(line), F.lit(tail)))
 
@@ -120,7 +130,7 @@ def lm_calls(extra: Column | str) -> Column:
 def short_answer(text: Column | str) -> Column:
     """The answer in a chat model's output: final channel, thoughts and markers removed, first line."""
     t = without_thoughts(text)
-    channel = F.regexp_extract(t, r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|.*|$)", 1)
+    channel = F.regexp_extract(t, FINAL_CHANNEL, 1)
     body = F.when(channel != "", channel).otherwise(t)
     line = F.split(F.trim(F.regexp_replace(body, r"(?i)^\s*(?:final\s+)?answer\s*:\s*", "")), "\n")[0]
     return F.regexp_replace(line, r"^[\s\"'`]+|[\s\"'`.]+$", "")

@@ -137,6 +137,21 @@ YES_CUES = (" both ", " same ", " equally ", " identical ")
 ROLE_WORDS = "chief president minister secretary governor senator ambassador director officer protocol position title office post".split()
 ORGANISATION_WORDS = "university college company corporation inc ltd committee agency department government association organization".split()
 PLACE_WORDS = "city state country province county village town island river mountain district region".split()
+# The patterns of what a question asks for, in order of precedence, and of an answer's parts.
+ASKS_FOR = (
+    ("role_title", r"\b(what|which)\s+(government\s+)?(position|role|title|office|post)\b"),
+    ("person_name", r"\b(who|whom|whose)\b"),
+    ("date", r"\b(when|what year|what date)\b"),
+    ("number", r"\b(how many|how much|what number)\b"),
+    ("location", r"\b(where|which city|which state|which country|what country)\b"),
+    ("organization", r"\b(which organization|which company|which institution|which university)\b"),
+)
+SERIES = r"(?i)^\s*(?:the\s+)?(.+?)\s+series\b"
+POSITION = r"(?i)\bheld the position of\s+([^.,;]+)"
+LEAD_IN = r"(?i)^(?:the answer is|it is|it's|this is|that is)\s+"
+CLAUSE_END = r"(?i)(?:[.;]|\s+because\s+|\s+while\s+|\s+although\s+|\s+but\s+)"
+CLAUSE_HEAD = r"(?i)^(.+?)\s+\b(?:is|was|were|are|has|have|had|held|served|located|born|based)\b"
+MOST_ANSWER_WORDS = 8
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -159,16 +174,10 @@ def yes_or_no(text: Column | str) -> Column:
 def expected_kind(question: Column | str) -> Column:
     """The kind of answer that a question asks for; the first rule that fits decides."""
     q = F.lower(F.trim(col(question)))
-    return (
-        F.when(is_yes_no_question(question), "yes_no")
-        .when(q.rlike(r"\b(what|which)\s+(government\s+)?(position|role|title|office|post)\b"), "role_title")
-        .when(q.rlike(r"\b(who|whom|whose)\b"), "person_name")
-        .when(q.rlike(r"\b(when|what year|what date)\b"), "date")
-        .when(q.rlike(r"\b(how many|how much|what number)\b"), "number")
-        .when(q.rlike(r"\b(where|which city|which state|which country|what country)\b"), "location")
-        .when(q.rlike(r"\b(which organization|which company|which institution|which university)\b"), "organization")
-        .otherwise("entity")
-    )
+    kind = F.when(is_yes_no_question(question), "yes_no")
+    for name, pattern in ASKS_FOR:
+        kind = kind.when(q.rlike(pattern), name)
+    return kind.otherwise("entity")
 
 
 def answer_kind(answer: Column | str) -> Column:
@@ -219,14 +228,14 @@ def shortened(question: Column | str, answer: Column | str) -> Column:
     edge = r"^[\s\"'`.,;:!?]+|[\s\"'`.,;:!?]+$"
     strip = lambda c: F.regexp_replace(c, edge, "")
     text = F.regexp_replace(first_line_answer(answer), r"^[\s\"'`]+|[\s\"'`]+$", "")
-    series = strip(F.regexp_extract(text, r"(?i)^\s*(?:the\s+)?(.+?)\s+series\b", 1))
-    role = strip(F.regexp_extract(text, r"(?i)\bheld the position of\s+([^.,;]+)", 1))
-    lead = F.regexp_replace(text, r"(?i)^(?:the answer is|it is|it's|this is|that is)\s+", "")
-    clause = strip(F.split(lead, r"(?i)(?:[.;]|\s+because\s+|\s+while\s+|\s+although\s+|\s+but\s+)")[0])
+    series = strip(F.regexp_extract(text, SERIES, 1))
+    role = strip(F.regexp_extract(text, POSITION, 1))
+    lead = F.regexp_replace(text, LEAD_IN, "")
+    clause = strip(F.split(lead, CLAUSE_END)[0])
     clause = F.when(clause == "", strip(lead)).otherwise(clause)
-    head = strip(F.regexp_extract(clause, r"(?i)^(.+?)\s+\b(?:is|was|were|are|has|have|had|held|served|located|born|based)\b", 1))
+    head = strip(F.regexp_extract(clause, CLAUSE_HEAD, 1))
     clause = F.when(head != "", head).otherwise(clause)
-    short = F.array_join(F.slice(words(clause), 1, 8), " ")
+    short = F.array_join(F.slice(words(clause), 1, MOST_ANSWER_WORDS), " ")
     said = F.when(is_yes_no_question(question), yes_or_no(text))
     return (
         F.when(text == "", "insufficient evidence")

@@ -64,11 +64,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Give CPU-bound Python stages at least one task a core.
 
     A scan that already has that many splits is left alone, so a large input is
-    never shuffled for this; only inputs of a few files are dealt out again.
+    never shuffled for this; only inputs of a few files are dealt out again. Rows that come out of
+    a shuffle are spread already, and asking for their splits would run it.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
