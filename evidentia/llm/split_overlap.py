@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from evidentia.session import durable, ship_package, spread
+from evidentia.session import durable, ship_package
 
 THRESHOLD = 0.5
 #: Weight of a shingle of one class only, as a share of one that two classes have.
@@ -205,7 +205,7 @@ def cross_split_pairs(
     ship_package(examples.sparkSession)
     rows = examples.select(key, question, question_id, split).where(F.col(key).isNotNull())
     is_train, is_eval = F.col(split) == train, F.col(split).isin(*held_out)
-    classes = durable(spread(question_classes(rows, key, question, is_train, is_eval)))
+    classes = durable(question_classes(rows, key, question, is_train, is_eval))
     near = same_question_classes(classes, threshold)
     same = classes.where("train AND eval").select(F.col("cid").alias("cid_e"), F.col("cid").alias("cid_t"))
     member = rows.select(F.col(key).alias("id"), plain_question(F.col(question)).alias("plain"), is_train.alias("t"), is_eval.alias("e")).join(
