@@ -215,3 +215,27 @@ def test_global_order_keeps_every_place(spark):
     rows = spark.range(5000).select("id", (F.col("id") % 7).alias("k"))
     got = global_order(rows, F.col("k").desc(), "id").orderBy("position").collect()
     assert [r.position for r in got] == list(range(5000)) and [(-r.k, r.id) for r in got] == sorted((-r.k, r.id) for r in got)
+
+
+def test_schemas(spark):
+    from evidentia import schemas
+
+    for name in schemas.SCHEMAS:
+        if name != "trace":
+            assert len(schemas.schema(name)) > 0
+    assert schemas.require(spark.createDataFrame([], schemas.schema("edge")), "edge").count() == 0
+    with pytest.raises(ValueError, match="dep"):
+        schemas.require(spark.range(1), "edge")
+
+
+def test_index_probe_and_empty_searches(spark):
+    from evidentia.operators.retrieval import Bm25Index
+
+    docs = spark.createDataFrame([(1, "g", "old mill"), (2, "g", "new mill")], "doc int, g string, t string")
+    index = Bm25Index(docs, "doc", "t", "g")
+    ask = spark.createDataFrame([("a", "g", "mill"), ("b", "other", "mill")], "query string, g string, t string")
+    index.probe(ask, "query", "t")
+    assert index.search(ask, "query", "t", 0, "g").count() == 0
+    assert {r.query for r in index.search(ask, "query", "t", 5, "g").collect()} == {"a"}
+    with pytest.raises(ValueError, match="finds nothing"):
+        index.probe(ask.withColumn("t", F.lit("zebra")), "query", "t")
