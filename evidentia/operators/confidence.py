@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.text import dedupe_key, first_line_answer, sampling_form
+from evidentia.session import global_order
 
 
 def distinct_candidates(candidates: DataFrame, example: str, text: str, score: str, tie: str) -> DataFrame:
@@ -24,8 +25,10 @@ def greedy_first(candidates: DataFrame, example: str, text: str, is_greedy: str,
     keyed = candidates.withColumn("_key", sampling_form(text)).where("_key <> ''")
     best = Window.partitionBy(example, "_key").orderBy(F.col(is_greedy).desc(), F.col(tie))
     kept = keyed.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_key")
-    order = Window.partitionBy(example).orderBy(F.col(is_greedy).desc(), F.col(tie))
-    return kept.withColumn("place", F.row_number().over(order) - 1)
+    # Places come from one global order, so that an example with very many candidates is no single task.
+    ordered = global_order(kept, example, F.col(is_greedy).desc(), tie)
+    starts = ordered.groupBy(example).agg(F.min("position").alias("_start"))
+    return ordered.join(starts, example).withColumn("place", F.col("position") - F.col("_start")).drop("position", "_start")
 
 
 def ptrue(yes_logprobs: Column, no_logprobs: Column, least_mass: float = 0.5) -> Column:
