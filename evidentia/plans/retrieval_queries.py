@@ -75,17 +75,27 @@ _GROUP_ASKED = f"SELECT question_id AS query, question_id AS grp, question AS te
 _TOP = "SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {0} QUALIFY rank <= {1}"
 
 
-def R8_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and dense ranks of the same documents, fused; vectors and documents share ids."""
+def _hybrid(spark: SparkSession, sf_dir: str, asked_text) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL")
-    lexical = _index(spark, sf_dir).scores(asked.select("doc_id", F.split("text", "[.\n]")[0].alias("head")), "doc_id", "head").where("doc <> query")
+    lexical = _index(spark, sf_dir).scores(asked.select("doc_id", asked_text.alias("asked")), "doc_id", "asked").where("doc <> query")
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     dense = nearest(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), 25)
     fused = fuse(top_k(lexical, ["query"], "score", "doc", 25), dense)
     return top_k(fused, ["query"], "score", "doc", K).select("query", "doc", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def R8_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and dense ranks of the same documents, fused; vectors and documents share ids. Only the
+    heading (up to the first stop or line break) is asked for; ``R8_hybrid_whole_text`` asks for the whole text."""
+    return _hybrid(spark, sf_dir, F.split("text", "[.\n]")[0])
+
+
+def R8_hybrid_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``R8_hybrid_fusion``, with the whole text of each query document as the lexical query."""
+    return _hybrid(spark, sf_dir, F.col("text"))
+
+
 def R8_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     hits = nearest(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), K)
@@ -117,6 +127,7 @@ QUERIES = {
     "R7_reranked": R7_reranked,
     "R8_dense_topk": R8_dense_topk,
     "R8_hybrid_fusion": R8_hybrid_fusion,
+    "R8_hybrid_whole_text": R8_hybrid_whole_text,
     "R9_merged_hits": R9_merged_hits,
     "R10_tfidf_ranking": R10_tfidf_ranking,
     "R13_index_summary": R13_index_summary,
@@ -149,6 +160,11 @@ ORACLES = {
         SELECT d.grp AS question_id, d.doc AS evid_id, round(CASE WHEN n = 2 THEN 1.0 ELSE coalesce(score, 0.0) END, 6) AS score FROM d JOIN q USING (grp) JOIN n USING (grp) LEFT JOIN s ON s.grp = d.grp AND s.doc = CAST(d.doc AS VARCHAR)""",
 }
 
+ORACLES["R8_hybrid_whole_text"] = f"""WITH {_bm25(_DOCS, "SELECT doc_id AS query, '' AS grp, text FROM documents WHERE doc_id % 50 = 0", False)},
+    lexical AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scored WHERE doc <> query QUALIFY rank <= 25),
+    dense AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {_COSINE} QUALIFY rank <= 25),
+    f AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM (FROM lexical UNION ALL FROM dense) GROUP BY ALL) {_TOP.format('f', K)}"""
+
 
 # ---- further searches ------------------------------------------------------------------------
 
