@@ -167,6 +167,18 @@ def P22_safe_casts(spark, sf_dir):
     return rows.select("raw_id", reshape.int_or_zero(F.trim(cell)).alias("n"))
 
 
+#: A cast holds for an optional sign and ASCII digits of 32-bit range between blanks and control characters; all else is 0.
+_CAST = r"""SELECT raw_id, CAST(CASE WHEN v BETWEEN -2147483648 AND 2147483647 THEN v ELSE 0 END AS INTEGER) AS n
+    FROM (SELECT raw_id, TRY_CAST(nullif(regexp_extract(split_part(raw_line, chr(9), 8), '^[\x00-\x20\x7f-\x{9f}]*([+-]?[0-9]+)[\x00-\x20\x7f-\x{9f}]*$', 1), '') AS HUGEINT) AS v FROM witqa_raw)"""
+
+
+@query(_CAST)
+def P22_safe_casts_all(spark, sf_dir):
+    """Every line, also those whose cell is no number; ``P22_safe_casts`` leaves out most of those."""
+    cell = F.split_part("raw_line", F.lit("\t"), F.lit(8))
+    return table(spark, sf_dir, "witqa_raw", "raw_id", "raw_line").select("raw_id", reshape.int_or_zero(cell).alias("n"))
+
+
 @query("""SELECT run_id, contains(run_id, 'telemetry') AND NOT contains(run_id, 'notelemetry') AS telemetry, starts_with(run_id, 'agent') AS agent, starts_with(run_id, 'react') AS react,
     starts_with(run_id, 'agent') OR starts_with(run_id, 'react') AS multi_turn FROM (SELECT DISTINCT run_id FROM agent_turns WHERE run_id IS NOT NULL)""")
 def P23_condition_kinds(spark, sf_dir):

@@ -1,9 +1,12 @@
 """Queries that must see the whole of their input, on small tables that a shortened one would get wrong."""
 
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from evidentia.plans import QUERIES
+from evidentia.plans import ORACLES, QUERIES
+from tests.compare import both
 
 
 def tables(folder, **columns):
@@ -20,3 +23,17 @@ def test_hybrid_search_asks_for_the_whole_text(spark, tmp_path):
     hits = {r.doc: r.score for r in QUERIES["R8_hybrid_whole_text"](spark, folder).collect()}
     assert hits[2] == round(1 / 61 + 1 / 62, 6)  # first of the words, second of the vectors
     assert hits[3] == round(1 / 62 + 1 / 61, 6) and hits[1] == round(1 / 63, 6)
+
+
+def test_safe_casts_read_every_line(spark, tmp_path):
+    cells = ["7", "", "?", "n/a", "1e3", "0x1F", "twelve", '"1"', "١٢", "99999999999", "2147483647", "2147483648", "-2147483648", "-15", "+5", " 8 ", "0000000000012", "260.5", "5.", "9,460", "1_000", "5L", "-", "1 2", None]
+    lines = [None if c is None else "\t".join([*"abcdefg", c, "1"]) for c in cells] + ["too short"]
+    folder = tables(tmp_path, witqa_raw={"raw_id": list(range(len(lines))), "raw_line": pa.array(lines, pa.string())})
+
+    def cast(c):
+        c = (c or "").strip()
+        return int(c) if re.fullmatch(r"[+-]?[0-9]+", c) and -(2**31) <= int(c) < 2**31 else 0
+
+    got, want = both(spark, folder, QUERIES["P22_safe_casts_all"], ORACLES["P22_safe_casts_all"])
+    assert got == want
+    assert {r.raw_id: r.n for r in QUERIES["P22_safe_casts_all"](spark, folder).collect()} == {i: cast(c) for i, c in enumerate([*cells, None])}
