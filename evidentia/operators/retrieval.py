@@ -18,6 +18,36 @@ from evidentia.functions.text import tokens
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
+#: The 318 English stop words of the usual TF-IDF vectoriser, its oddities kept.
+STOP_WORDS = tuple(
+    """
+    a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an and
+    another any anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming been before beforehand behind being
+    below beside besides between beyond bill both bottom but by call can cannot cant co con could couldnt cry de describe detail do done down due during
+    each eg eight either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except few fifteen fifty fill find fire
+    first five for former formerly forty found four from front full further get give go had has hasnt have he hence her here hereafter hereby herein
+    hereupon hers herself him himself his how however hundred i ie if in inc indeed interest into is it its itself keep last latter latterly least less
+    ltd made many may me meanwhile might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless next nine no
+    nobody none noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own part per
+    perhaps please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow someone
+    something sometime sometimes somewhere still such system take ten than that the their them themselves then thence there thereafter thereby therefore
+    therein thereupon these they thick thin third this those though three through throughout thru thus to together too top toward towards twelve twenty
+    two un under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon wherever
+    whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself yourselves
+    """.split()
+)
+
+
+def plain_terms(text: Column) -> Column:
+    """Runs of two ASCII word characters and more."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+
+
+def vector_terms(text: Column) -> Column:
+    """Runs of two letters, numerals and underscores of any alphabet and more, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
+
+
 class Bm25Index:
     """``min_df`` and ``max_df`` prune terms before lengths are counted; groups share global frequencies."""
 
@@ -137,10 +167,10 @@ def reranked(hits: DataFrame, by: list[str], score: Column, tie: str, k: int) ->
     return hits.withColumn("_n", n).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_n")
 
 
-def tfidf_ranking(passages: DataFrame, group: str, doc: str, text: str, questions: DataFrame, question: str) -> DataFrame:
+def tfidf_ranking(passages: DataFrame, group: str, doc: str, text: str, questions: DataFrame, question: str, terms=vector_terms) -> DataFrame:
     """Cosine of TF-IDF vectors fitted on each question's own passages and the question:
-    smooth idf ``ln((1+n)/(1+df)) + 1``, tokens of two word characters and more. A single passage scores 1."""
-    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
+    smooth idf ``ln((1+n)/(1+df)) + 1``, tokens of ``terms``. A single passage scores 1,
+    a passage without a term in common 0."""
     p = passages.select(F.col(group).alias("g"), F.col(doc).cast("string").alias("d"), F.explode(terms(F.col(text))).alias("term"))
     q = questions.select(F.col(group).alias("g"), F.lit("").alias("d"), F.explode(terms(F.col(question))).alias("term"))
     tf = p.unionByName(q).groupBy("g", "d", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -157,10 +187,9 @@ def tfidf_ranking(passages: DataFrame, group: str, doc: str, text: str, question
     return full.select(F.col("g").alias(group), F.col("d").alias(doc), F.when(F.col("n") == 2, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-def pair_cosine(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+def pair_cosine(rows: DataFrame, key: str, a: str, b: str, terms=vector_terms) -> DataFrame:
     """``key, cosine`` of the TF-IDF vectors of two texts, fitted on the pair; 0 without common terms."""
-    terms = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    side = lambda c, d: rows.select(F.col(key), F.lit(d).alias("d"), F.explode(terms(c)).alias("term"))
+    side = lambda c, d: rows.select(F.col(key), F.lit(d).alias("d"), F.explode(terms(F.coalesce(F.col(c), F.lit("")))).alias("term"))
     tf = side(a, 0).unionByName(side(b, 1)).groupBy(key, "term").agg(F.count(F.when(F.col("d") == 0, 1)).alias("x"), F.count(F.when(F.col("d") == 1, 1)).alias("y"))
     both = (F.col("x") > 0) & (F.col("y") > 0)
     idf = F.when(both, F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1)  # of two texts a term is in one or both

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import scorer
-from evidentia.operators.retrieval import Bm25Index, fuse, merged_hits, nearest, pair_cosine, reranked, tfidf_ranking, top_k
+from evidentia.operators.retrieval import STOP_WORDS, Bm25Index, fuse, merged_hits, nearest, pair_cosine, plain_terms, reranked, tfidf_ranking, top_k
 from evidentia.plans import sql
 from evidentia.session import first_of_each, table
 
@@ -103,7 +103,8 @@ def R8_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def R10_tfidf_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question")
+    """Texts without titles, by plain ASCII terms; ``R10_tfidf_titled`` ranks titles too, by words of any alphabet but stop words."""
+    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question", plain_terms)
     return ranked.select("question_id", F.col("evid_id").cast("bigint").alias("evid_id"), F.round("score", 6).alias("score"))
 
 
@@ -176,14 +177,14 @@ def R6_overfetched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def R11_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question")
+    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question", plain_terms)
     best = top_k(ranked.withColumn("evid_id", F.col("evid_id").cast("bigint")), ["question_id"], "score", "evid_id", 2)
     return best.select("question_id", "evid_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 def R12_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw"), "result_id")
-    return pair_cosine(rows, "result_id", "question", "pred_answer_raw").select("result_id", F.round("cosine", 6).alias("cosine"))
+    return pair_cosine(rows, "result_id", "question", "pred_answer_raw", plain_terms).select("result_id", F.round("cosine", 6).alias("cosine"))
 
 
 QUERIES |= {"R6_overfetched": R6_overfetched, "R11_tfidf_topk": R11_tfidf_topk, "R12_pair_cosine": R12_pair_cosine}
@@ -195,3 +196,42 @@ ORACLES["R12_pair_cosine"] = f"""WITH r AS {sql.once('trajectories', 'result_id'
     UNION ALL SELECT result_id, 1 AS d, unnest({_TFIDF_TOKENS("coalesce(pred_answer_raw, '')")}) AS term FROM r), v AS (SELECT result_id, term, count(*) FILTER (d = 0) AS x, count(*) FILTER (d = 1) AS y FROM t GROUP BY ALL),
     w AS (SELECT result_id, x * i AS x, y * i AS y FROM (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS i FROM v)),
     s AS (SELECT result_id, CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / sqrt(sum(x * x) * sum(y * y)) ELSE 0.0 END AS c FROM w GROUP BY 1) SELECT r.result_id, round(coalesce(c, 0.0), 6) AS cosine FROM r LEFT JOIN s USING (result_id)"""
+
+
+# ---- TF-IDF with titles, stop words and words of any alphabet ---------------------------------
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "evidence_docs", "evid_id", "question_id", "title", "context_text"), "evid_id").where("question_id IS NOT NULL")
+    return rows.select("evid_id", "question_id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("context_text", F.lit(""))).alias("titled"))
+
+
+def _titled_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = tfidf_ranking(_titled(spark, sf_dir), "question_id", "evid_id", "titled", _one_question(spark, sf_dir), "question")
+    return ranked.withColumn("evid_id", F.col("evid_id").cast("bigint"))
+
+
+def R10_tfidf_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _titled_ranking(spark, sf_dir).select("question_id", "evid_id", F.round("score", 6).alias("score"))
+
+
+def R11_tfidf_titled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = top_k(_titled_ranking(spark, sf_dir), ["question_id"], "score", "evid_id", 2)
+    return best.select("question_id", "evid_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def R12_pair_cosine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw"), "result_id")
+    return pair_cosine(rows, "result_id", "question", "pred_answer_raw").select("result_id", F.round("cosine", 6).alias("cosine"))
+
+
+QUERIES |= {"R10_tfidf_titled": R10_tfidf_titled, "R11_tfidf_titled_topk": R11_tfidf_titled_topk, "R12_pair_cosine_words": R12_pair_cosine_words}
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_VECTOR_TOKENS = lambda x: rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPS}))"
+_TITLED_DOCS = f"""SELECT evid_id AS doc, question_id AS grp, coalesce(title, '') || '. ' || coalesce(context_text, '') AS text
+    FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'title', 'context_text')} WHERE question_id IS NOT NULL"""
+for _old, _new in (("R10_tfidf_ranking", "R10_tfidf_titled"), ("R11_tfidf_topk", "R11_tfidf_titled_topk")):
+    ORACLES[_new] = ORACLES[_old].replace(_GROUP_DOCS, _TITLED_DOCS).replace(_TFIDF_TOKENS("text"), _VECTOR_TOKENS("text"))
+ORACLES["R12_pair_cosine_words"] = ORACLES["R12_pair_cosine"]
+for _c in ("coalesce(question, '')", "coalesce(pred_answer_raw, '')"):
+    ORACLES["R12_pair_cosine_words"] = ORACLES["R12_pair_cosine_words"].replace(_TFIDF_TOKENS(_c), _VECTOR_TOKENS(_c))

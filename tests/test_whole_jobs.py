@@ -1,10 +1,12 @@
 """Queries that must see the whole of their input, on small tables that a shortened one would get wrong."""
 
+import math
 import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from evidentia.operators.retrieval import STOP_WORDS
 from evidentia.plans import ORACLES, QUERIES
 from tests.compare import both
 
@@ -37,3 +39,22 @@ def test_safe_casts_read_every_line(spark, tmp_path):
     got, want = both(spark, folder, QUERIES["P22_safe_casts_all"], ORACLES["P22_safe_casts_all"])
     assert got == want
     assert {r.raw_id: r.n for r in QUERIES["P22_safe_casts_all"](spark, folder).collect()} == {i: cast(c) for i, c in enumerate([*cells, None])}
+
+
+def test_tfidf_reads_titles_and_words_of_any_alphabet_without_stop_words(spark, tmp_path):
+    docs = {"evid_id": [1, 2, 3], "question_id": ["q"] * 3, "title": ["São Tomé", None, "Other"], "context_text": ["an island", "which of the what is it", "nothing at all"]}
+    asked = {"example_id": [1], "question_id": ["q"], "question": ["Which of the islands is São Tomé?"]}
+    runs = {"result_id": [1, 2, 3], "question": ["what is the São", "which of the", "São"], "pred_answer_raw": ["são", "which of the", "So"]}
+    folder = tables(tmp_path, evidence_docs=docs, examples=asked, trajectories=runs)
+    for name in ("R10_tfidf_titled", "R11_tfidf_titled_topk", "R12_pair_cosine_words"):
+        got, want = both(spark, folder, QUERIES[name], ORACLES[name])
+        assert got == want
+    # 'islands', 'são', 'tomé' are asked; of five terms in four texts, two are in two
+    two, one = math.log(5 / 3) + 1, math.log(5 / 2) + 1
+    score = {r.evid_id: r.score for r in QUERIES["R10_tfidf_titled"](spark, folder).collect()}
+    assert score == {1: round(2 * two * two / (2 * two * two + one * one), 6), 2: 0.0, 3: 0.0}
+    assert {r.result_id: r.cosine for r in QUERIES["R12_pair_cosine_words"](spark, folder).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_stop_words():
+    assert len(set(STOP_WORDS)) == len(STOP_WORDS) == 318
