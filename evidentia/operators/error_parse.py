@@ -1,12 +1,13 @@
-"""Loading delimited lines, and parting those that fail, by minimum-cost error parsing.
+"""Loading delimited lines, and parting those that fail; minimum-cost error parsing explains the failures.
 
 A line is read as a string of three symbols (delimiter, quote, run of other characters) by an
 automaton with the modes *start of field*, *bare*, *quoted* and *after the closing quote*, times
 the number of fields seen. Ordinary steps cost nothing; inserting or deleting a quote or a
 delimiter costs one. Dynamic programming over (symbol, field, mode) finds the cheapest reading
-with the wanted number of fields. A line whose cheapest reading is free, and whose fields have
-valid types, loads; for any other, the edit operations of the cheapest reading and the first rule
-that does not hold state why it failed.
+with the wanted number of fields. It does not decide which lines load: ``free_reading``, one pass
+of the same automaton without edits, does. A line that it reads as the wanted number of fields of
+valid types loads; for any other, the first rule that does not hold is the reason, and only for
+lines rejected for ``quoting`` or ``column_count`` is the cheapest reading sought, for its edits.
 
 Defined results: a null line fails with ``column_count``; an empty or blank line is one field;
 a line break that ends the line is no part of it; repeated lines are read each for itself; an
