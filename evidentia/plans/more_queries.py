@@ -117,31 +117,60 @@ def _whole(spark, sf_dir):
     return rows.where(_WHOLE.replace("len(", "size("))
 
 
-@query(_FLAT)
-def P2_from_pairs(spark, sf_dir):
+_ALL_FLAT = """SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, array_to_string(context.sentences[i], ' ') AS text
+    FROM (SELECT *, unnest(range(1, least(len(context.title), len(context.sentences)) + 1)) AS i FROM examples WHERE context.title IS NOT NULL AND context.sentences IS NOT NULL)"""
+
+
+def _zipped(spark, sf_dir):
+    """All contexts; of lists of unequal length the shorter counts, as where titles and sentences are zipped."""
+    rows = table(spark, sf_dir, "examples", "example_id", "question", "answer", "context", "supporting_facts").where("context.title IS NOT NULL AND context.sentences IS NOT NULL")
+    n = F.least(F.size("context.title"), F.size("context.sentences"))
+    return rows.withColumn("context", F.struct(F.slice("context.title", F.lit(1), n).alias("title"), F.slice("context.sentences", F.lit(1), n).alias("sentences")))
+
+
+def _by_pairs(contexts):
     """Contexts as JSON pairs of title and sentences, and back."""
     pairs = F.to_json(F.transform(F.arrays_zip(F.col("context.title").alias("t"), F.col("context.sentences").alias("s")), lambda d: F.array(F.to_json(F.array(d["t"])), F.to_json(d["s"]))))
-    rows = _whole(spark, sf_dir).select("example_id", F.from_json(pairs, "array<array<string>>").alias("p"))
+    rows = contexts.select("example_id", F.from_json(pairs, "array<array<string>>").alias("p"))
     as_pairs = F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), F.regexp_replace(x[0], r"^\[|\]$", ""), F.lit(","), F.coalesce(x[1], F.lit("null")), F.lit("]"))), ","), F.lit("]"))
     back = rows.select("example_id", reshape.pairs_to_columns(as_pairs).alias("c"))
     each = back.select("example_id", F.posexplode(F.arrays_zip(F.col("c.title").alias("title"), F.col("c.sentences").alias("s"))).alias("pos", "d"))
     return each.select("example_id", "pos", F.col("d.title").alias("title"), F.array_join("d.s", " ").alias("text"))
 
 
-@query(_FLAT.replace("context.title[i] AS title", "coalesce(context.title[i], '') AS title").replace("array_to_string(context.sentences[i], ' ') AS text", "coalesce(array_to_string(context.sentences[i], ' '), '') AS text"))
-def P3_from_paragraphs(spark, sf_dir):
+def _by_paragraphs(contexts):
     """Contexts as paragraph records, and back."""
     titles = F.coalesce("supporting_facts.title", F.array().cast("array<string>"))
     paragraphs = F.transform(
         F.arrays_zip(F.col("context.title").alias("t"), F.col("context.sentences").alias("s")),
         lambda d, i: F.struct(i.cast("int").alias("idx"), d["t"].alias("title"), F.array_join(d["s"], " ").alias("paragraph_text"), F.coalesce(F.array_contains(titles, d["t"]), F.lit(False)).alias("is_supporting")),
     )
-    rows = _whole(spark, sf_dir).select(F.col("example_id").alias("id"), "question", "answer", F.array().cast("array<string>").alias("answer_aliases"), paragraphs.alias("paragraphs"))
+    rows = contexts.select(F.col("example_id").alias("id"), "question", "answer", F.array().cast("array<string>").alias("answer_aliases"), paragraphs.alias("paragraphs"))
     back = reshape.from_paragraphs(rows)
     each = back.select(F.col("question_id").alias("example_id"), F.posexplode(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("s"))).alias("pos", "d"))
     return each.select("example_id", "pos", F.col("d.title").alias("title"), F.array_join("d.s", " ").alias("text"))
 
 
+@query(_FLAT)
+def P2_from_pairs(spark, sf_dir):
+    return _by_pairs(_whole(spark, sf_dir))
+
+
+@query(_FLAT.replace("context.title[i] AS title", "coalesce(context.title[i], '') AS title").replace("array_to_string(context.sentences[i], ' ') AS text", "coalesce(array_to_string(context.sentences[i], ' '), '') AS text"))
+def P3_from_paragraphs(spark, sf_dir):
+    return _by_paragraphs(_whole(spark, sf_dir))
+
+
+@query(_ALL_FLAT)
+def P2_from_pairs_all(spark, sf_dir):
+    return _by_pairs(_zipped(spark, sf_dir))
+
+
+@query(_ALL_FLAT.replace("context.title[i] AS title", "coalesce(context.title[i], '') AS title").replace("array_to_string(context.sentences[i], ' ') AS text", "coalesce(array_to_string(context.sentences[i], ' '), '') AS text"))
+def P3_from_paragraphs_all(spark, sf_dir):
+    return _by_paragraphs(_zipped(spark, sf_dir))
+
+
 @query("""SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, md5(coalesce(array_to_string(context.sentences[i], ' '), '')) AS digest FROM (SELECT *, unnest(range(1, least(len(context.title), len(context.sentences)) + 1)) AS i FROM examples)""")
 def P9_passages(spark, sf_dir):
     rows = table(spark, sf_dir, "examples", "example_id", "context").where("context.title IS NOT NULL AND context.sentences IS NOT NULL")

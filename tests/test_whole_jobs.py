@@ -58,3 +58,17 @@ def test_tfidf_reads_titles_and_words_of_any_alphabet_without_stop_words(spark,
 
 def test_stop_words():
     assert len(set(STOP_WORDS)) == len(STOP_WORDS) == 318
+
+
+def test_contexts_of_unequal_lists_go_as_far_as_the_shorter(spark, tmp_path):
+    rows = [
+        {"example_id": 1, "question": "q", "answer": "a", "context": {"title": ["T", "U"], "sentences": [["s1", "s2"]]}, "supporting_facts": {"title": ["T"], "sent_id": [0]}},
+        {"example_id": 2, "question": "q", "answer": "a", "context": {"title": ["V"], "sentences": [["x"], ["y"]]}, "supporting_facts": None},
+        {"example_id": 3, "question": "q", "answer": "a", "context": None, "supporting_facts": None},
+        {"example_id": 4, "question": "q", "answer": "a", "context": {"title": [], "sentences": [["z"]]}, "supporting_facts": None},
+    ]
+    folder = tables(tmp_path, examples=pa.Table.from_pylist(rows))
+    for name in ("P2_from_pairs_all", "P3_from_paragraphs_all"):
+        got, want = both(spark, folder, QUERIES[name], ORACLES[name])
+        assert got == want
+        assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == [(1, 0, "T", "s1 s2"), (2, 0, "V", "x")]
