@@ -593,7 +593,7 @@ def L8_advisory_flags(spark, sf_dir):
 @query()
 def L9_agent_loop(spark, sf_dir):
     """The loop with a rule as policy: retrieve twice, then commit."""
-    asked = table(spark, sf_dir, "controls", "question_id").where("question_id IS NOT NULL")
+    asked = table(spark, sf_dir, "examples", "question_id").where("question_id IS NOT NULL").distinct()
     return policy.run_agent(asked, "question_id", lambda key, history: {"action": "commit", "answer": key} if len(history) >= 2 else {"action": "retrieve"})
 
 

@@ -72,3 +72,9 @@ def test_contexts_of_unequal_lists_go_as_far_as_the_shorter(spark, tmp_path):
         got, want = both(spark, folder, QUERIES[name], ORACLES[name])
         assert got == want
         assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == [(1, 0, "T", "s1 s2"), (2, 0, "V", "x")]
+
+
+def test_agent_loop_asks_every_question_of_the_examples(spark, tmp_path):
+    folder = tables(tmp_path, examples={"question_id": ["a", "b", None, "a"]})
+    got = sorted((r.question_id, r.turn, r.action) for r in QUERIES["L9_agent_loop"](spark, folder).collect())
+    assert got == [(q, t, a) for q in "ab" for t, a in enumerate(("retrieve", "retrieve", "commit"))]
