@@ -78,3 +78,10 @@ def test_agent_loop_asks_every_question_of_the_examples(spark, tmp_path):
     folder = tables(tmp_path, examples={"question_id": ["a", "b", None, "a"]})
     got = sorted((r.question_id, r.turn, r.action) for r in QUERIES["L9_agent_loop"](spark, folder).collect())
     assert got == [(q, t, a) for q in "ab" for t, a in enumerate(("retrieve", "retrieve", "commit"))]
+
+
+def test_yes_no_questions_of_the_examples(spark, tmp_path):
+    folder = tables(tmp_path, examples={"example_id": [1, 2, 3, 4], "question": ["  Is it so?", "Which is it?", None, ""]})
+    got, want = both(spark, folder, QUERIES["A17_yes_no_question_examples"], ORACLES["A17_yes_no_question_examples"])
+    assert got == want
+    assert {r.example_id: r.out for r in QUERIES["A17_yes_no_question_examples"](spark, folder).collect()} == {1: True, 2: False, 3: None, 4: False}
