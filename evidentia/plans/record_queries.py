@@ -631,6 +631,20 @@ def Q1_sound_plans(spark, sf_dir):
     return dag.sound_plan(plan, "plan", "id", "q", "deps", "pos").select("plan", "id", F.array_join("deps", ",").alias("deps"))
 
 
+@query()
+def Q7_accepted_children(spark, sf_dir):
+    """Planned sub-questions of each planning event that may join below the run's own question."""
+    from evidentia.operators.nested_json import trajectory_tables
+
+    rows = table(spark, sf_dir, "trajectories", "result_id", "policy_trace", "planning_trace", "support")
+    nodes = trajectory_tables(rows).where("child_table = 'planning_trace.nodes'")
+    children = nodes.select("result_id", F.concat_ws("/", F.col("result_id").cast("string"), "parent_pos").alias("parent"), F.get_json_object("value", "$.subquestion").alias("q"), "pos")
+    asked = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question"), "result_id")
+    parents = children.select("result_id", "parent").distinct().join(asked, "result_id")
+    parents = parents.select(F.col("parent").alias("id"), F.col("parent").alias("plan"), F.lit(0).alias("depth"), F.coalesce("question", F.lit("")).alias("question"))
+    return dag.accepted_children(children.drop("result_id"), "parent", "q", "pos", parents).select("plan", "q", "depth", "pos")
+
+
 @query(f"WITH {_NODES} SELECT id, CAST(greatest(depth, 0) AS BIGINT) AS waits FROM n WHERE id > 0 UNION ALL SELECT id, 0 FROM n WHERE id = 0")
 def Q5_waiting_nodes(spark, sf_dir):
     nodes, edges = _tree(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -9,6 +10,7 @@ import pyarrow.parquet as pq
 from evidentia.operators.retrieval import STOP_WORDS
 from evidentia.plans import ORACLES, QUERIES
 from tests.compare import both
+from tests.conftest import DATA
 
 
 def tables(folder, **columns):
@@ -85,3 +87,9 @@ def test_yes_no_questions_of_the_examples(spark, tmp_path):
     got, want = both(spark, folder, QUERIES["A17_yes_no_question_examples"], ORACLES["A17_yes_no_question_examples"])
     assert got == want
     assert {r.example_id: r.out for r in QUERIES["A17_yes_no_question_examples"](spark, folder).collect()} == {1: True, 2: False, 3: None, 4: False}
+
+
+def test_accepted_children_of_planned_nodes(spark):
+    rows = QUERIES["Q7_accepted_children"](spark, DATA).collect()
+    assert rows and {r.depth for r in rows} == {1} and all(r.q.strip() for r in rows)
+    assert len({(r.plan, r.q) for r in rows}) == len(rows) and max(Counter(r.plan for r in rows).values()) < 12
