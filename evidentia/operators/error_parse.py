@@ -1,13 +1,19 @@
-"""Loading delimited lines, and parting those that fail; minimum-cost error parsing explains the failures.
+"""Loading delimited lines, and parting those that fail, by minimum-cost error parsing.
 
 A line is read as a string of three symbols (delimiter, quote, run of other characters) by an
 automaton with the modes *start of field*, *bare*, *quoted* and *after the closing quote*, times
-the number of fields seen. Ordinary steps cost nothing; inserting or deleting a quote or a
-delimiter costs one. Dynamic programming over (symbol, field, mode) finds the cheapest reading
-with the wanted number of fields. It does not decide which lines load: ``free_reading``, one pass
-of the same automaton without edits, does. A line that it reads as the wanted number of fields of
-valid types loads; for any other, the first rule that does not hold is the reason, and only for
-lines rejected for ``quoting`` or ``column_count`` is the cheapest reading sought, for its edits.
+the number of fields seen. Ordinary steps cost nothing, edits cost: inserting or deleting a quote,
+a missing delimiter (an empty field) inserted, a surplus delimiter deleted (what follows it is read
+for itself and joined to the last field). No edit of delimiters can make a broken quote good, and
+a quote's edit costs more than all delimiters of the line together. Dynamic programming over
+(symbol, field, mode) finds the cheapest reading with the wanted number of fields, and that reading
+alone decides: at cost 0 with fields of valid types the line loads; else an edited quote means
+``quoting``, edited delimiters alone mean ``column_count``, and otherwise the first type rule that
+does not hold is the reason.
+
+The programme is run within cost 0 first: there only one state is left at each symbol, so that
+good lines take one pass. Where that pass ends without a reading, the whole programme is run, with
+up to 4 states a field.
 
 Defined results: a null line fails with ``column_count``; an empty or blank line is one field;
 a line break that ends the line is no part of it; repeated lines are read each for itself; an
@@ -30,6 +36,8 @@ from evidentia.session import ship_package, spread
 
 START, BARE, QUOTED, CLOSED = range(4)
 _SYMBOL = re.compile(r'[\t"]|[^\t"]+')
+_MARK = re.compile(r'[\t"]')
+_LINE_END = re.compile(r"(?:\r\n|\n|\r)\Z")
 _PARSED = T.StructType(
     [
         T.StructField("fields", T.ArrayType(T.StringType())),
@@ -50,91 +58,100 @@ def _step(mode: int, symbol: str) -> tuple[int, bool] | None:
     return (QUOTED if mode == QUOTED else BARE), False
 
 
-def free_reading(line: str) -> list[str] | None:
-    """The fields of the reading without edits, whatever their number; None where quoting breaks."""
-    fields, at, n = [], 0, len(line)
-    while True:
-        if line.startswith('"', at):
-            at += 1
-            parts = []
-            while True:
-                end = line.find('"', at)
-                if end < 0:
-                    return None
-                parts.append(line[at:end])
-                at = end + 1
-                if not line.startswith('"', at):
-                    break
-                parts.append('"')
-                at += 1
-            fields.append("".join(parts))
-            if at == n:
-                return fields
-            if line[at] != "\t":
+_FREE_STEPS = {(mode, symbol): _step(mode, symbol) for mode in range(4) for symbol in '\t"'}
+
+
+@dataclass(frozen=True)
+class Reading:
+    """The cheapest reading of a line: its edits in order of place, and the raw fields where there are none."""
+
+    edits: tuple[str, ...]
+    fields: tuple[str, ...] | None
+
+
+def cheapest_reading(line: str, n_fields: int) -> Reading:
+    """The cheapest reading of a line as ``n_fields`` fields."""
+    return _within_zero(line, n_fields) or _of_any_cost(line, n_fields)
+
+
+def _fields(line: str, bounds: Sequence[int]) -> tuple[str, ...]:
+    """The fields between delimiters, without the quotes that wrap them."""
+    raw = (line[a:b] for a, b in zip((0, *(b + 1 for b in bounds)), (*bounds, len(line)), strict=True))
+    return tuple(t[1:-1].replace('""', '"') if t.startswith('"') else t for t in raw)
+
+
+def _within_zero(line: str, n_fields: int) -> Reading | None:
+    """The programme's states of cost 0: one at each symbol, or none."""
+    mode, at, bounds = START, 0, []
+    for m in _MARK.finditer(line):
+        place = m.start()
+        if place > at:  # a run of other characters
+            if mode == CLOSED:
                 return None
-            at += 1
-        else:
-            end = line.find("\t", at)
-            if end < 0:
-                fields.append(line[at:])
-                return fields
-            fields.append(line[at:end])
-            at = end + 1
-
-
-def cheapest_edits(line: str, n_fields: int) -> list[str]:
-    """The edits of the cheapest reading of a line as ``n_fields`` fields, in order of place."""
-    symbols = [(m.group()[0] if m.group()[0] in '\t"' else "x", m.start()) for m in _SYMBOL.finditer(line)]
-    inf = 1 << 30
-    width = n_fields * 4
-    names = {"\t": "delimiter", '"': "quote"}
+            mode = QUOTED if mode == QUOTED else BARE
+        got = _FREE_STEPS[mode, m.group()]
+        if got[1]:
+            bounds.append(place)
+        mode, at = got[0], place + 1
+    if mode == QUOTED or (mode == CLOSED and at < len(line)) or len(bounds) != n_fields - 1:
+        return None
+    return Reading((), _fields(line, bounds))
+
 
-    def relax(cost: list[int], trace: list[dict], at: int, i: int) -> None:
+def _of_any_cost(line: str, n_fields: int) -> Reading:
+    """The whole programme over symbols and states (field * 4 + mode)."""
+    symbols = [(m.group()[0] if m.group()[0] in '\t"' else "x", m.start()) for m in _SYMBOL.finditer(line)]
+    last = n_fields - 1
+    quote = len(symbols) + n_fields + 1  # more than all delimiters of a repaired line
+    cost = {START: 0}
+    trace: list[dict[int, tuple[int, int, str | None]]] = [{}]
+
+    def reach(costs: dict, at: dict, to: int, c: int, step: tuple[int, int, str | None]) -> bool:
+        if c >= costs.get(to, c + 1):
+            return False
+        costs[to] = c
+        at[to] = step
+        return True
+
+    def insert(i: int, place: int) -> None:
         """Insertions before symbol i, until nothing gets cheaper."""
-        queue = [s for s in range(width) if cost[s] < inf]
+        queue = list(cost)
         while queue:
             s = queue.pop()
             f, mode = divmod(s, 4)
-            for symbol in '\t"':
-                got = _step(mode, symbol)
-                if got is None or f + got[1] >= n_fields:
-                    continue
-                to = (f + got[1]) * 4 + got[0]
-                if cost[s] + 1 < cost[to]:
-                    cost[to] = cost[s] + 1
-                    trace[i][to] = (i, s, f"insert {names[symbol]} at {at}")
-                    queue.append(to)
-
-    trace: list[dict] = [{} for _ in range(len(symbols) + 1)]
-    cost = [inf] * width
-    cost[START] = 0
-    for i, (symbol, at) in enumerate(symbols):
-        relax(cost, trace, at, i)
-        after = [inf] * width
-        for s in range(width):
-            if cost[s] == inf:
-                continue
+            if mode != BARE and reach(cost, trace[i], f * 4 + _step(mode, '"')[0], cost[s] + quote, (i, s, f"insert quote at {place}")):
+                queue.append(f * 4 + _step(mode, '"')[0])
+            if f < last and (mode == START or (i == len(symbols) and mode != QUOTED)):
+                if reach(cost, trace[i], (f + 1) * 4, cost[s] + 1, (i, s, f"insert delimiter at {place}")):
+                    queue.append((f + 1) * 4)
+
+    for i, (symbol, place) in enumerate(symbols):
+        insert(i, place)
+        after: dict[int, int] = {}
+        trace.append({})
+        for s, c in cost.items():
             f, mode = divmod(s, 4)
             got = _step(mode, symbol)
-            if got is not None and f + got[1] < n_fields:
-                to = (f + got[1]) * 4 + got[0]
-                if cost[s] < after[to]:
-                    after[to] = cost[s]
-                    trace[i + 1][to] = (i, s, None)
-            if symbol != "x" and cost[s] + 1 < after[s]:
-                after[s] = cost[s] + 1
-                trace[i + 1][s] = (i, s, f"delete {names[symbol]} at {at}")
+            if got is not None and got[1] and f == last:
+                reach(after, trace[i + 1], f * 4, c + 1, (i, s, f"delete delimiter at {place}"))
+            elif got is not None:
+                reach(after, trace[i + 1], (f + got[1]) * 4 + got[0], c, (i, s, None))
+            if symbol == '"':
+                reach(after, trace[i + 1], s, c + quote, (i, s, f"delete quote at {place}"))
         cost = after
-    relax(cost, trace, len(line), len(symbols))
-    last = (n_fields - 1) * 4
-    goal = min((last + m for m in (BARE, START, CLOSED)), key=lambda s: cost[s])
-    edits, here = [], (len(symbols), goal)
-    while here != (0, START) and here[1] in trace[here[0]]:
+    insert(len(symbols), len(line))
+    ends = [last * 4 + m for m in (START, BARE, CLOSED) if last * 4 + m in cost]
+    here: tuple[int, int] = (len(symbols), min(ends, key=cost.__getitem__))
+    edits: list[str] = []
+    bounds: list[int] = []
+    while here[1] in trace[here[0]]:
         i, s, edit = trace[here[0]][here[1]]
         if edit:
             edits.append(edit)
+        elif here[1] // 4 != s // 4:
+            bounds.append(symbols[i][1])
         here = (i, s)
-    return edits[::-1]
+    return Reading(tuple(edits[::-1]), None if edits else _fields(line, bounds[::-1]))
 
 
 @dataclass(frozen=True)
@@ -144,18 +161,17 @@ class LineFormat:
     fields: tuple[str, ...]
     rules: tuple[tuple[str, Callable[[str], bool]], ...] = ()
 
-    def read(self, line: str | None) -> tuple[list[str] | None, str | None]:
+    def read(self, line: str | None) -> tuple[tuple[str, ...] | None, str | None, tuple[str, ...]]:
+        """The fields of a line, the reason why it fails, and the edits that would mend it."""
         if line is None:
-            return None, "column_count"
-        fields = free_reading(re.sub(r"(?:\r\n|\n|\r)\Z", "", line))
-        if fields is None:
-            return None, "quoting"
-        if len(fields) != len(self.fields):
-            return None, "column_count"
+            return None, "column_count", ()
+        reading = cheapest_reading(_LINE_END.sub("", line), len(self.fields))
+        if reading.edits:
+            return None, "quoting" if any("quote" in e for e in reading.edits) else "column_count", reading.edits
         for name, holds in self.rules:
-            if not holds(fields[self.fields.index(name)]):
-                return fields, name
-        return fields, None
+            if not holds(reading.fields[self.fields.index(name)]):
+                return None, name, (f"replace value of {name}",)
+        return reading.fields, None, ()
 
 
 def valid_count(value: str) -> bool:
@@ -211,16 +227,11 @@ WITQA_LINE = LineFormat(
 )
 
 
-def read_lines(lines: Sequence[str | None], form: LineFormat, with_edits: bool = True) -> list[dict]:
+def read_lines(lines: Sequence[str | None], form: LineFormat) -> list[dict]:
     out = []
     for line in lines:
-        fields, reason = form.read(line)
-        edits = None
-        if with_edits and reason in ("quoting", "column_count"):
-            edits = "; ".join(cheapest_edits(re.sub(r"(?:\r\n|\n|\r)\Z", "", line or ""), len(form.fields)))
-        elif with_edits and reason:
-            edits = f"replace value of {reason}"
-        out.append({"fields": fields if reason is None else None, "reason": reason, "edits": edits})
+        fields, reason, edits = form.read(line)
+        out.append({"fields": fields, "reason": reason, "edits": "; ".join(edits) or None})
     return out
 
 

@@ -1,11 +1,12 @@
 import csv
 import io
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evidentia.operators.error_parse import WITQA_LINE, cheapest_edits, free_reading, loaded_rows, parse_lines, read_lines, rejected_rows
+from evidentia.operators.error_parse import WITQA_LINE, _of_any_cost, cheapest_reading, loaded_rows, parse_lines, read_lines, rejected_rows
 
 GOOD = ["Who is it?", "A", "", '["A", \'B\']', "S", "p", 'said "no"', " 7 ", "9"]
 
@@ -47,27 +48,60 @@ def test_reasons(text, reason):
 CELLS = st.text(alphabet='ab "\t\n', max_size=5)
 
 
+def free_reading(text):
+    """Fields of the reading without edits, whatever their number, by brute force; None where quoting breaks."""
+    fields, at = [], 0
+    while True:
+        if text[at : at + 1] == '"':
+            stop = next((k for k in range(at + 1, len(text)) if text[k] == '"' and (text[at + 1 : k + 1].count('"') % 2) and text[k + 1 : k + 2] != '"'), None)
+            if stop is None or text[stop + 1 : stop + 2] not in ("", "\t"):
+                return None
+            fields.append(text[at + 1 : stop].replace('""', '"'))
+            stop += 1
+        else:
+            stop = (text + "\t").index("\t", at)
+            fields.append(text[at:stop])
+        if stop >= len(text):
+            return fields
+        at = stop + 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(CELLS, min_size=1, max_size=5))
 def test_reading_equals_csv_writer(cells):
     out = io.StringIO()
     csv.writer(out, delimiter="\t", lineterminator="", quoting=csv.QUOTE_ALL).writerow(cells)
-    assert free_reading(out.getvalue()) == cells
-    assert cheapest_edits(out.getvalue(), len(cells)) == []
+    got = cheapest_reading(out.getvalue(), len(cells))
+    assert got.edits == () and list(got.fields) == cells
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet='ab"\t', max_size=8), st.integers(1, 3))
-def test_no_edits_exactly_for_free_readings(text, n):
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet='ab"\t', max_size=10), st.integers(1, 4))
+def test_cost_decides_as_the_rules_say(text, n):
     fields = free_reading(text)
-    free = fields is not None and len(fields) == n
-    assert (cheapest_edits(text, n) == []) == free
+    got = cheapest_reading(text, n)
+    assert got == _of_any_cost(text, n)  # the pass within cost 0 is the programme's own
+    assert (got.edits == ()) == (fields is not None and len(fields) == n)
+    if fields is not None and len(fields) == n:
+        assert list(got.fields) == fields
+    assert any("quote" in e for e in got.edits) == (fields is None)
+    if fields is not None:
+        assert len(got.edits) == abs(len(fields) - n)  # delimiters alone, and no more than needed
 
 
 def test_edits_state_the_repair():
-    assert cheapest_edits('"a" b\tc', 2) == ["delete quote at 0"]
-    assert cheapest_edits("a\tb\tc", 2) in (["delete delimiter at 1"], ["delete delimiter at 3"])
-    assert len(cheapest_edits('"a\tb', 2)) == 1
+    assert cheapest_reading('"a" b\tc', 2).edits == ("delete quote at 0",)
+    assert cheapest_reading("a\tb\tc", 2).edits == ("delete delimiter at 3",)
+    assert [e.rpartition(" at ")[0] for e in cheapest_reading("a", 3).edits] == ["insert delimiter"] * 2
+    assert len(cheapest_reading('"a\tb', 2).edits) == 1
+
+
+def test_long_lines():
+    began = time.time()
+    assert cheapest_reading('"' + '""\t' * 30_000 + '"', 1).edits == ()
+    assert len(cheapest_reading("a\t" * 5_000, 9).edits) == 4_992
+    assert cheapest_reading('\t"x' * 2_000, 9).edits
+    assert time.time() - began < 20
 
 
 def test_tables(spark):
