@@ -243,7 +243,8 @@ def parse_lines(df: DataFrame, key: str, line: str, form: LineFormat = WITQA_LIN
     def parse(lines: pa.Array) -> pa.Array:
         return pa.array(read_lines(lines.to_pylist(), form), pa.struct([("fields", pa.list_(pa.string())), ("reason", pa.string()), ("edits", pa.string())]))
 
-    return spread(df.select(key, line)).select(key, parse(F.col(line)).alias("parsed"))
+    # Filters on the result must not be pushed below it, where each would parse the lines once more.
+    return spread(df.select(key, line)).select(key, parse.asNondeterministic()(F.col(line)).alias("parsed"))
 
 
 def loaded_rows(parsed: DataFrame, key: str, form: LineFormat = WITQA_LINE, integers: Sequence[str] = ("sub_pred_count", "entity_count")) -> DataFrame:
