@@ -264,7 +264,8 @@ def document_languages(documents: DataFrame, key: str = "doc_id", text: str = "t
         return pa.array([segments(t, filters.value) for t in texts.to_pylist()], _SEGMENTS_ARROW)
 
     rows = spread(documents.select(key, text, lang).where(F.col(key).isNotNull()))
-    found = rows.select(key, label_of(F.col(lang)).alias("label"), find(F.col(text)).alias("segments"))
+    # Filters on the result must not be pushed below it, where each would read the texts once more.
+    found = rows.select(key, label_of(F.col(lang)).alias("label"), find.asNondeterministic()(F.col(text)).alias("segments"))
     first = F.get(F.col("segments.lang"), F.lit(0))
     wrong = F.col("label").isNull() | (F.size("segments") > 1) | (first != F.col("label"))
     return found.withColumn("mislabelled", (F.size("segments") > 0) & wrong)
