@@ -12,8 +12,14 @@ label, chosen by a hash of their key, each read whole. Wrong labels are outvoted
 n-gram enters a filter where its rate in that language is within ``share`` of its highest rate.
 Everything else covers all documents, in a map-only pass over the whole texts.
 
+The distinct words of many sentences are hashed and probed together: their n-grams are windows of
+one array of code points, a probe is an AND over table columns, and a sentence's scores are sums
+over its words' rows. Texts are taken in portions of ``PORTION`` words, a longer text in several.
+
 Sentences of one language in a row make a segment; sentences without evidence (numbers, names,
-headings) join what surrounds them and make none.
+headings, fewer than ``LEAST_WORDS`` telling words, a lead under ``LEAST_LEAD``) join what surrounds
+them and make none. A document's language is that of most words of its segments, its confidence
+the share of those words times their mean confidence.
 
 Defined results: null, empty and wordless texts have no segment; a tie between languages is no
 evidence; a label in any usual spelling (name, two- or three-letter code, with region) counts as
@@ -24,9 +30,8 @@ result; repeated rows are each reported; further columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +76,36 @@ LEAST_WORDS = 3
 LEAST_LEAD = 6.0
 
 
-def _grams(word: str) -> Iterator[str]:
-    yield "w" + word
-    edged = f"^{word}$"
+#: Words scored together, and distinct words whose scores are kept.
+PORTION, MEMO = 200_000, 200_000
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers evenly (the finaliser of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def gram_numbers(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the words' n-grams and the place of the word of each; the words themselves come first."""
+    codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    powers = np.ones(int(sizes.max(initial=1)), np.uint64)
+    np.multiply.accumulate(np.full(len(powers) - 1, _P), out=powers[1:])
+    whole = np.add.reduceat(codes * powers[ends[owner] - 1 - np.arange(len(codes))], ends - sizes) if len(words) else codes
+    hashes, owners = [whole + np.uint64(1)], [np.arange(len(words))]
     for n in (3, 4):
-        for i in range(len(edged) - n + 1):
-            yield edged[i : i + n]
+        at = np.flatnonzero(ends[owner] - np.arange(len(codes)) >= n)
+        h = np.full(len(at), n, np.uint64)
+        for i in range(n):
+            h = h * _P + codes[at + i]
+        hashes.append(h)
+        owners.append(owner[at])
+    return _mixed(np.concatenate(hashes)), np.concatenate(owners), len(words)
 
 
 class LanguageFilters:
@@ -86,58 +115,69 @@ class LanguageFilters:
         self.size = bits
         self.table = np.zeros((K, bits), np.uint8)
         self.false = np.zeros(len(LANGS))
-        self._memo: dict[str, np.ndarray] = {}
+        self._rows: dict[str, int] = {}
+        self._scores = np.zeros((0, len(LANGS)))
+
+    def __getstate__(self):
+        return self.size, self.table, self.false
 
-    def _slots(self, gram: str) -> list[int]:
-        raw = gram.encode()
-        a, b = zlib.crc32(raw), zlib.crc32(raw, 0x9E3779B9) | 1
-        return [(a + i * b) % self.size for i in range(K)]
+    def __setstate__(self, state):
+        self.__init__(state[0])
+        _, self.table, self.false = state
 
-    def add(self, gram: str, mask: int) -> None:
-        for i, s in enumerate(self._slots(gram)):
-            self.table[i, s] |= mask
+    def _slots(self, hashes: np.ndarray, i: int) -> np.ndarray:
+        """Slots of the i-th hash function, by double hashing."""
+        a, b = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        return ((a + np.uint64(i) * b) % np.uint64(self.size)).astype(np.int64)
+
+    def add(self, hashes: np.ndarray, masks: np.ndarray) -> None:
+        for i in range(K):
+            np.bitwise_or.at(self.table[i], self._slots(hashes, i), masks)
 
     def seal(self) -> "LanguageFilters":
         """Rates of false positives, from the filters' fill."""
         fill = np.array([[(self.table[i] >> j & 1).mean() for j in range(len(LANGS))] for i in range(K)])
         self.false = fill.prod(axis=0)
-        self._memo = {}
         return self
 
-    def mask(self, gram: str) -> int:
-        out = 0xFF
-        for i, s in enumerate(self._slots(gram)):
-            out &= int(self.table[i, s])
+    def masks(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.table[0][self._slots(hashes, 0)]
+        for i in range(1, K):
+            out &= self.table[i][self._slots(hashes, i)]
         return out
 
-    def counts(self, word: str) -> np.ndarray:
-        """By language, the word's n-grams in its filter, corrected; a word itself counts for three."""
-        got = self._memo.get(word)
-        if got is None:
-            masks, weights = [], []
-            for g in _grams(word):
-                masks.append(self.mask(g))
-                weights.append(3.0 if g[0] == "w" and len(g) == len(word) + 1 else 1.0)
-            bits = np.array(masks, np.uint8)[:, None] >> np.arange(len(LANGS)) & 1
-            w = np.array(weights)
-            if not masks[0] & (1 << len(LANGS)) - 1:  # a word of no language, perhaps a name in small letters
-                w = w * UNKNOWN_WORD
-            got = (w @ bits - w.sum() * self.false) / (1 - self.false)
-            if len(self._memo) < 200_000:
-                self._memo[word] = got
-        return got
-
-    def sentence(self, text: str) -> tuple[int, float]:
-        """Language (-1: no evidence) and confidence of a sentence."""
-        words = telling_words(text)
-        if not words:
-            return -1, 0.0
-        total = sum(self.counts(w) for w in words)
-        order = np.argsort(-total)
-        best, second = total[order[0]], max(total[order[1]], 0.0)
-        if best <= 0 or len(words) < LEAST_WORDS or best - second < LEAST_LEAD:
-            return -1, 0.0
-        return int(order[0]), float((best - second) / best)
+    def counts(self, words: Sequence[str]) -> np.ndarray:
+        """By word and language, the n-grams in the filter, corrected; a word itself counts for three."""
+        hashes, owner, n = gram_numbers(words)
+        found = self.masks(hashes)
+        weight = np.ones(len(hashes))
+        weight[:n] = 3.0
+        unknown = found[:n] & ((1 << len(LANGS)) - 1) == 0  # words of no language, perhaps names in small letters
+        weight[unknown[owner]] *= UNKNOWN_WORD
+        total = np.bincount(owner, weight, n)
+        bits = [np.bincount(owner, weight * (found >> j & 1), n) for j in range(len(LANGS))]
+        return (np.stack(bits, axis=1) - total[:, None] * self.false) / (1 - self.false)
+
+    def score(self, sentences: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Language (-1: no evidence) and confidence of sentences, each given by its telling words."""
+        if len(self._rows) > MEMO:
+            self._rows, self._scores = {}, np.zeros((0, len(LANGS)))
+        rows, known = self._rows, len(self._rows)
+        ids = np.array([rows.setdefault(w, len(rows)) for words in sentences for w in words], np.int64)
+        if len(rows) > known:
+            self._scores = np.concatenate((self._scores, self.counts(list(rows)[known:])))
+        sizes = np.fromiter((len(words) for words in sentences), np.int64, len(sentences))
+        some = np.flatnonzero(sizes)
+        lang, sure = np.full(len(sentences), -1), np.zeros(len(sentences))
+        if not len(some):
+            return lang, sure
+        total = np.add.reduceat(self._scores[ids], (np.cumsum(sizes) - sizes)[some])
+        top = np.argsort(-total, axis=1, kind="stable")[:, :2]
+        best, second = np.take_along_axis(total, top, axis=1).T
+        lead = best - np.maximum(second, 0.0)
+        told = (best > 0) & (sizes[some] >= LEAST_WORDS) & (lead >= LEAST_LEAD)
+        lang[some[told]], sure[some[told]] = top[told, 0], (lead / np.where(best > 0, best, 1.0))[told]
+        return lang, sure
 
 
 def telling_words(text: str) -> list[str]:
@@ -145,17 +185,11 @@ def telling_words(text: str) -> list[str]:
     if _HEADING.fullmatch(text):
         return []
     text = _TITLE.sub(" ", _ESCAPED_TITLE.sub(" ", text))
-    found = list(_WORD.finditer(text))
-    letters = "".join(m.group() for m in found)
-    if not letters:
-        return []
-    shouted = sum(c.isupper() for c in letters) > 0.6 * len(letters)
-    out = []
-    for i, m in enumerate(found):
-        w = m.group()
-        if shouted or not w[0].isupper() or (i == 0 and len(w) <= 4):
-            out.append(w.lower())
-    return out
+    found = _WORD.findall(text)
+    most, other = 0.6 * sum(map(len, found)), [w for w in found if not w.islower()]
+    if sum(map(len, other)) > most and sum(sum(map(str.isupper, w)) for w in other) > most:  # written in capitals
+        return [w.lower() for w in found]
+    return [w.lower() for i, w in enumerate(found) if not w[0].isupper() or (i == 0 and len(w) <= 4)]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -169,26 +203,58 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def segments(text: str | None, filters: LanguageFilters) -> list[dict]:
-    """Stretches of sentences in one language, in order, with offsets and confidence."""
-    out: list[dict] = []
-    for a, b in sentences(text or ""):
-        lang, sure = filters.sentence(text[a:b])
-        if lang < 0:
-            continue
-        n = len(telling_words(text[a:b]))
-        if out and out[-1]["lang"] == LANGS[lang]:
-            last = out[-1]
-            last["confidence"] = (last["confidence"] * last["words"] + sure * n) / (last["words"] + n)
-            last["words"] += n
-            last["end"] = b
-        else:
-            out.append({"lang": LANGS[lang], "start": a, "end": b, "words": n, "confidence": sure})
-    for i, s in enumerate(out):
-        s["seg_no"] = i
+def segments_of(texts: Sequence[str | None], filters: LanguageFilters) -> list[list[dict]]:
+    """For each text its stretches of sentences in one language, in order, with offsets and confidence."""
+    out: list[list[dict]] = [[] for _ in texts]
+    spans: list[tuple[int, int, int]] = []
+    said: list[list[str]] = []
+
+    def settle() -> None:
+        for (t, a, b), words, lang, sure in zip(spans, said, *filters.score(said), strict=True):
+            if lang < 0:
+                continue
+            n, mine = len(words), out[t]
+            if mine and mine[-1]["lang"] == LANGS[lang]:
+                last = mine[-1]
+                last["confidence"] = (last["confidence"] * last["words"] + float(sure) * n) / (last["words"] + n)
+                last["words"] += n
+                last["end"] = b
+            else:
+                mine.append({"seg_no": len(mine), "lang": LANGS[lang], "start": a, "end": b, "words": n, "confidence": float(sure)})
+        spans.clear()
+        said.clear()
+
+    held = 0
+    for t, text in enumerate(texts):
+        for a, b in sentences(text or ""):
+            words = telling_words(text[a:b])
+            spans.append((t, a, b))
+            said.append(words)
+            held += len(words)
+            if held >= PORTION:
+                settle()
+                held = 0
+    settle()
     return out
 
 
+def segments(text: str | None, filters: LanguageFilters) -> list[dict]:
+    return segments_of([text], filters)[0]
+
+
+def language_of(found: Sequence[dict]) -> tuple[str | None, float | None]:
+    """The language of most words of the segments (of equals the first), and its confidence."""
+    words: dict[str, int] = {}
+    sure: dict[str, float] = {}
+    for s in found:
+        words[s["lang"]] = words.get(s["lang"], 0) + s["words"]
+        sure[s["lang"]] = sure.get(s["lang"], 0.0) + s["words"] * s["confidence"]
+    if not words:
+        return None, None
+    best = max(words, key=words.__getitem__)
+    return best, sure[best] / sum(words.values())
+
+
 def label_of(label: Column) -> Column:
     """The language that a label names, or null."""
     plain = F.lower(F.trim(label))
@@ -216,56 +282,88 @@ def fit_on(sample: Sequence[tuple[str, str]], share: float = 0.2, bits: int = 1
             words.update(telling_words(text[a:b]))
         seen[code].update(words.keys())
         size[code] += 1
-    rates: dict[str, np.ndarray] = {}
-    for j, code in enumerate(LANGS):
-        grams = Counter()
-        for w, n in seen[code].items():
-            for g in set(_grams(w)):
-                grams[g] += n
-        for g, n in grams.items():
-            if n >= 2 or size[code] < 20:
-                rates.setdefault(g, np.zeros(len(LANGS)))[j] = n / max(size[code], 5)
+    numbers, rates = [], []
+    for code in LANGS:
+        known = list(seen[code])
+        hashes, owner, _ = gram_numbers(known)
+        order = np.lexsort((hashes, owner))  # a word has an n-gram once, however often it comes in it
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(owner[order]) != 0) | (hashes[order][1:] != hashes[order][:-1])
+        each, inverse = np.unique(hashes[order[fresh]], return_inverse=True)
+        n = np.bincount(inverse, np.array([seen[code][w] for w in known], float)[owner[order[fresh]]], len(each))
+        kept = (n >= 2) | (size[code] < 20)
+        numbers.append(each[kept])
+        rates.append(n[kept] / max(size[code], 5))
+    grams = np.unique(np.concatenate(numbers))
+    table = np.zeros((len(grams), len(LANGS)))
+    for j in range(len(LANGS)):
+        table[np.searchsorted(grams, numbers[j]), j] = rates[j]
+    within = (table > 0) & (table >= share * table.max(axis=1, keepdims=True))
     filters = LanguageFilters(bits)
-    for g, r in rates.items():
-        mask = sum(1 << j for j in range(len(LANGS)) if r[j] > 0 and r[j] >= share * r.max())
-        filters.add(g, mask)
+    filters.add(grams, (within << np.arange(len(LANGS))).sum(axis=1).astype(np.uint8))
     for j, code in enumerate(LANGS):
-        for w in SEED[code].split():
-            for g in _grams(w):
-                filters.add(g, 1 << j)
+        seeds = gram_numbers(SEED[code].split())[0]
+        filters.add(seeds, np.full(len(seeds), 1 << j, np.uint8))
     return filters.seal()
 
 
-_SEGMENTS = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("seg_no", T.IntegerType()),
-            T.StructField("lang", T.StringType()),
-            T.StructField("confidence", T.DoubleType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
-    )
+_FOUND = T.StructType(
+    [
+        T.StructField(
+            "segments",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("seg_no", T.IntegerType()),
+                        T.StructField("lang", T.StringType()),
+                        T.StructField("confidence", T.DoubleType()),
+                        T.StructField("start", T.IntegerType()),
+                        T.StructField("end", T.IntegerType()),
+                        T.StructField("words", T.IntegerType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("lang", T.StringType()),
+        T.StructField("confidence", T.DoubleType()),
+    ]
 )
-_SEGMENTS_ARROW = pa.list_(
-    pa.struct([("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
+_FOUND_ARROW = pa.struct(
+    [
+        (
+            "segments",
+            pa.list_(
+                pa.struct(
+                    [("seg_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]
+                )
+            ),
+        ),
+        ("lang", pa.string()),
+        ("confidence", pa.float64()),
+    ]
 )
 
 
 def document_languages(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **fit) -> DataFrame:
-    """``key, label, segments, mislabelled``: the label's language, all segments, and whether the
-    label names no language or a wrong one, or the text is in several."""
+    """``key, label, lang, confidence, segments, mislabelled``: the label's language, the text's own with
+    its confidence, all segments, and whether the label names no language or a wrong one, or the text
+    is in several."""
     spark = documents.sparkSession
     ship_package(spark)
     filters = spark.sparkContext.broadcast(fit_filters(documents, key, text, lang, **fit))
 
-    @F.arrow_udf(_SEGMENTS)
+    @F.arrow_udf(_FOUND)
     def find(texts: pa.Array) -> pa.Array:
-        return pa.array([segments(t, filters.value) for t in texts.to_pylist()], _SEGMENTS_ARROW)
+        rows = []
+        for found in segments_of(texts.to_pylist(), filters.value):
+            code, sure = language_of(found)
+            rows.append({"segments": found, "lang": code, "confidence": sure})
+        return pa.array(rows, _FOUND_ARROW)
 
     rows = spread(documents.select(key, text, lang).where(F.col(key).isNotNull()))
     # Filters on the result must not be pushed below it, where each would read the texts once more.
-    found = rows.select(key, label_of(F.col(lang)).alias("label"), find.asNondeterministic()(F.col(text)).alias("segments"))
+    found = rows.select(key, label_of(F.col(lang)).alias("label"), find.asNondeterministic()(F.col(text)).alias("_found"))
+    found = found.select(key, "label", F.col("_found.lang").alias("lang"), F.col("_found.confidence").alias("confidence"), F.col("_found.segments").alias("segments"))
     first = F.get(F.col("segments.lang"), F.lit(0))
     wrong = F.col("label").isNull() | (F.size("segments") > 1) | (first != F.col("label"))
     return found.withColumn("mislabelled", (F.size("segments") > 0) & wrong)

@@ -80,6 +80,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("s.seg_no").alias("seg_no"), F.col("s.lang").alias("lang"))
 
 
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document (null without words), and whether its label holds."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = document_languages(docs)
+    return found.select("doc_id", "lang", F.round("confidence", 6).alias("confidence"), F.size("segments").alias("segments"), "mislabelled")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and offsets of every segment of every document."""
+    found = document_languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", F.inline("segments"))
+    return found.select("doc_id", "seg_no", "lang", F.round("confidence", 6).alias("confidence"), "start", "end")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -89,5 +102,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
+    "p10_documents": p10_documents,
+    "p10_segments": p10_segments,
 }
 ORACLES: dict[str, str] = {}

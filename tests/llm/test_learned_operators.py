@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import queries
-from evidentia.llm.language import LANGS, document_languages, fit_on, label_of, segments
+from evidentia.llm import language
+from evidentia.llm.language import LANGS, document_languages, fit_on, gram_numbers, label_of, language_of, segments, segments_of
 from evidentia.llm.pair_defects import LABELS, asked_question, judged_text, pair_defects, synthetic_pairs, train
 from evidentia.llm.split_overlap import cross_split_pairs, same_question
 from tests.conftest import DATA
@@ -142,12 +143,43 @@ def test_languages_of_plain_and_mixed_texts():
     assert segments(None, filters) == segments("", filters) == segments("12 — 14 | 0.5 🎉", filters) == segments("Gurkov Norvek", filters) == []
 
 
+def test_grams_equal_brute_force():
+    words = ["a", "über", "abababa", "x" * 5000, "ß𝔘y"]
+    numbers, owner, n = gram_numbers(words)
+    assert n == len(words)
+    of = {}
+    for h, o in zip(numbers.tolist(), owner.tolist(), strict=True):
+        of.setdefault(o, []).append(h)
+    name = {}
+    for i, w in enumerate(words):
+        grams = [w] + [f"^{w}$"[k : k + m] for m in (3, 4) for k in range(len(w) + 3 - m)]
+        assert len(grams) == len(of[i])
+        for g, h in zip(grams, of[i], strict=True):
+            key = ("word" if g is grams[0] else "part", g)
+            assert name.setdefault(h, key) == key  # one hash for each n-gram, wherever it comes
+    assert len(set(name.values())) == len(name)
+
+
+def test_portions_change_nothing(monkeypatch):
+    filters = fit_on([(c, t) for c, t in SAID.items() for _ in range(25)])
+    texts = [SAID["en"] + " " + SAID["nl"], None, *(SAID[c] * 3 for c in LANGS), "", "12"]
+    want = [segments(t, filters) for t in texts]
+    monkeypatch.setattr(language, "PORTION", 5)
+    monkeypatch.setattr(language, "MEMO", 10)
+    assert segments_of(texts, filters) == want
+    assert language_of(want[0])[0] in ("en", "nl") and language_of([]) == (None, None)
+    code, sure = language_of(want[2])
+    assert code == "en" and sure == pytest.approx(want[2][0]["confidence"])
+
+
 def test_language_table(spark):
     rows = [(i, t, c, "x") for i, (c, t) in enumerate([*SAID.items()] * 30)]
     rows += [(900, SAID["de"], "en-GB", ""), (901, SAID["de"], "German", ""), (902, SAID["de"], None, ""), (903, SAID["de"] + "\n" + SAID["en"], "de_AT", ""), (904, None, "xx", ""), (905, "123", None, ""), (906, SAID["fr"], "klingon", ""), (None, SAID["fr"], "en", "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, segments string")
     got = document_languages(df).where("mislabelled").select("doc_id", F.col("segments.lang").alias("l")).collect()
     assert {r.doc_id: r.l for r in got} == {900: ["de"], 902: ["de"], 903: ["de", "en"], 906: ["fr"]}
+    by_id = {r.doc_id: r for r in document_languages(df).collect()}
+    assert by_id[901].lang == "de" and 0 < by_id[901].confidence <= 1 and by_id[905].lang is None and by_id[904].confidence is None
     assert document_languages(df.limit(0)).count() == 0
     labels = spark.createDataFrame([("EN",), ("pt-BR",), ("Dutch",), ("und",), ("",), (None,)], "l string").select(label_of(F.col("l")).alias("c")).collect()
     assert [r.c for r in labels] == ["en", "pt", "nl", None, None, None]
@@ -163,6 +195,7 @@ COLUMNS = {
     "p8_ids": ["doc_id", "ids"],
     "p9_found": ["doc_id", "item_id"],
     "p10_found": ["doc_id", "seg_no", "lang"],
+    "p10_segments": ["doc_id", "seg_no", "lang", "confidence", "start", "end"],
 }
 
 
