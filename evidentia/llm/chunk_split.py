@@ -127,5 +127,6 @@ def split_oversized(
     rows = df.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
     if oversized_only and policy.max_word_chars is None:
         rows = rows.where(F.length(text) > 2 * policy.limit)  # a word and its blank take two characters at least
-    cut_rows = spread(rows).select(key, cut(F.col(text)).alias("_pieces")).where(F.size("_pieces") > 0)
+    # The filter must not be pushed below the cut, where it would cut each text once more.
+    cut_rows = spread(rows).select(key, cut.asNondeterministic()(F.col(text)).alias("_pieces")).where(F.size("_pieces") > 0)
     return first_of_each(cut_rows, key).select(key, F.inline("_pieces"))
