@@ -185,6 +185,13 @@ def test_matches_equal_brute_force(seed):
 
     got = Matcher(items, 4).scan(text)
     assert set(got) == {i for i, t in items if inside(t)}
+    for window in (1, 2, 3, 5, 6):  # blocks of every parity
+        found = Matcher(items, window).scan(text)
+        for i, t in items:
+            w = plain(t)
+            starts = range(max(1, len(w) - window + 1)) if w else ()
+            n = sum(line[k : k + len(w[a : a + window])] == w[a : a + window] for a in starts for k in range(len(line)))
+            assert found.get(i, (0, 0, 0))[2] == n  # every window once
     for first, last, n in got.values():
         assert 0 <= first < last <= len(text) and n > 0
 
@@ -196,4 +203,10 @@ def test_leak_table(spark):
     for shard in (10, 10_000):
         got = leaked_items(docs, items, shard_words=shard).select("doc_id", "item_id").collect()
         assert sorted(map(tuple, got)) == [(1, 7), (1, 8), (1, 11), (5, 7), (5, 8), (5, 11)]
+    # Keys of any type, and one automaton for all tasks of a worker.
+    for kind in ("int", "bigint", "string", "date"):
+        dated = f"CAST(date_add(DATE'2000-01-01', CAST(item_id AS int)) AS {kind})" if kind == "date" else f"CAST(item_id AS {kind})"
+        typed = items.selectExpr(f"{dated} AS item_id", "text")
+        got = leaked_items(docs, typed)
+        assert dict(got.dtypes)["item_id"] == kind and got.count() == 6
     assert leaked_items(docs.limit(0), items).count() == 0 and leaked_items(docs, items.limit(0)).count() == 0
