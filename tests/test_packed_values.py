@@ -62,6 +62,32 @@ def test_very_long_cells_take_linear_time():
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize("value", ["'a; ", "[a; ", '"a; ', "a, ", "“a; ", '"a" ', "[[", '""', '"a", ', "'a', "])
+@pytest.mark.parametrize("policy", [ONLY_IF_ALONE, BETWEEN_QUOTED])
+def test_values_given_up_cost_no_second_reading(value, policy):
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        assert split_values(value * n, policy)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.2  # four times the values, not sixteen times the work
+
+
+@pytest.mark.parametrize(
+    "cell, values",
+    [
+        ('["a",\n  "b; c"\n]', ["a", "b; c"]),
+        ("['a', \"b's\",]", ["a", "b's"]),
+        ('["\\ud83d\\ude00", "\\ud83d"]', ["😀", "�"]),
+        ('["", " ", "a\\/b"]', ["a/b"]),
+        ('["a" "b"]', ['"a" "b"']),
+        ("[1, 2]", ["1", "2"]),
+    ],
+)
+def test_lists(cell, values):
+    assert [v for v, _ in split_values(cell, ONLY_IF_ALONE)] == values
+
+
 def test_table(spark):
     rows = [(1, "a|b", None, 9), (1, "a|b", None, 8), (2, None, "[x, y]", 1), (None, "a|b", "c;d", 1), (3, "one", "", 0)]
     df = spark.createDataFrame(rows, "row_id bigint, gold_answer string, expanded_object_label string, pos int")
