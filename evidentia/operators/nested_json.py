@@ -1,12 +1,15 @@
 """Deeply nested records to linked flat tables.
 
 JSON texts are read by *structural indexing*: the texts of an Arrow batch are laid end to end in
-one byte buffer; bitmaps mark escapes, quotes, brackets and delimiters; a running parity over the
+byte buffers; bitmaps mark escapes, quotes, brackets and delimiters; a running parity over the
 quotes masks what lies inside strings; a prefix sum over the brackets gives the nesting depth;
 sorting the remaining marks by (text, depth, place) puts the marks of one container side by side,
 so that the spans of its members fall out as the gaps between neighbours. Every emitted row keeps
 its record's key, the places of the enclosing elements and its own place.
 
+A buffer takes ``PORTION`` bytes of a batch, or one longer text. A bitmap is turned at once into the
+places of its marks, so that the index holds some numbers for each mark and nothing for each byte.
+
 Columns that are already typed (arrays and structs) are shredded by native higher-order
 functions, never leaving the JVM.
 
@@ -26,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +50,12 @@ _CHILD_ARROW = pa.list_(
     pa.struct([("child_table", pa.string()), ("parent_pos", pa.string()), ("pos", pa.int32()), ("value", pa.string())])
 )
 
-_OPEN, _CLOSE = (b"{", b"["), (b"}", b"]")
+#: Bytes of texts indexed together.
+PORTION = 1 << 20
+_MARKS, _BLANKS, _SIGNS = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int8)
+_MARKS[list(b"{}[],:")] = True
+_BLANKS[list(b" \n\r\t")] = True
+_SIGNS[list(b"{[")], _SIGNS[list(b"}]")] = 1, -1
 _SCALAR = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
 _STRING = re.compile(rb'(?:[^\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+')
 
@@ -70,115 +79,140 @@ class StructuralIndex:
     def __init__(self, texts: Sequence[str | None]):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         n = self.n_texts = len(raw)
-        sizes = np.fromiter((len(b) for b in raw), np.int64, n)
-        self.ends = np.cumsum(sizes + 1) - 1 if n else np.zeros(0, np.int64)
-        self.starts = self.ends - sizes
         self.data = b"\n".join(raw) + b"\n"
         buf = np.frombuffer(self.data, np.uint8)
         size = len(buf)
-        place = np.arange(size, dtype=np.int64)
-
-        # Bitmaps: a byte is escaped after an odd run of backslashes; texts are parted by a line feed.
-        back = buf == 0x5C
-        last_plain = np.maximum.accumulate(np.where(back, -1, place))
-        run = np.zeros(size, np.int64)
-        run[1:] = (place - last_plain)[:-1]
-        quote = (buf == 0x22) & (run % 2 == 0)
-        quotes = np.cumsum(quote)
-        before = np.concatenate(([0], quotes))  # quotes before a place
-        text_of = np.repeat(np.arange(n), sizes + 1) if n else np.zeros(0, np.int64)
-        inside = (quotes - before[self.starts][text_of]) % 2 == 1 if n else np.zeros(size, bool)
-        is_open = ((buf == 0x7B) | (buf == 0x5B)) & ~inside
-        is_close = ((buf == 0x7D) | (buf == 0x5D)) & ~inside
-        is_comma, is_colon = (buf == 0x2C) & ~inside, (buf == 0x3A) & ~inside
+        number = self._number = np.int32 if size < 2**31 else np.int64
+        sizes = np.fromiter(map(len, raw), np.int64, n)
+        del raw
+        self.ends = (np.cumsum(sizes + 1) - 1).astype(number)
+        self.starts = (self.ends - sizes).astype(number)
+        places = lambda bitmap: np.flatnonzero(bitmap).astype(number)
+
+        # A quote is escaped after an odd run of backslashes; texts are parted by a line feed.
+        back, quote = places(buf == 0x5C), places(buf == 0x22)
+        if len(back):
+            fresh = np.ones(len(back), bool)
+            fresh[1:] = np.diff(back) != 1
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(back), dtype=number), 0))
+            after = np.flatnonzero(buf[quote - 1] == 0x5C)
+            at = np.searchsorted(back, quote[after]) - 1
+            quote = np.delete(quote, after[(at - first[at]) % 2 == 0])
+        before = lambda place: np.searchsorted(quote, place).astype(number)  # noqa: E731  # quotes before a place
+        base = before(self.starts)
+
+        mark = places(_MARKS[buf])
+        text_of = lambda place: (np.searchsorted(self.starts, place, "right") - 1).astype(number)
+        owner = text_of(mark)
+        outside = (before(mark) - base[owner]) % 2 == 0
+        mark, owner = mark[outside], owner[outside]
 
         # Depth by prefix sum, counted from each text's own start.
-        step = is_open.astype(np.int64) - is_close
-        depth = np.cumsum(step)
-        depth -= np.concatenate(([0], depth))[self.starts][text_of] if n else 0
-        valid = np.zeros(n, bool)
-        if n:
-            low = np.minimum.reduceat(depth, self.starts)
-            valid = (before[self.ends] - before[self.starts]) % 2 == 0
-            valid &= (depth[self.ends] == 0) & (low >= 0)
-        blank = (buf == 0x20) | (buf == 0x0A) | (buf == 0x0D) | (buf == 0x09)
-        self._next = np.minimum.accumulate(np.where(blank, size, place)[::-1])[::-1]
-        self._prev = np.concatenate(([0], np.maximum.accumulate(np.where(blank, -1, place)) + 1))
-
-        mark = np.flatnonzero(is_open | is_close | is_comma | is_colon)
-        mark = mark[valid[text_of[mark]]] if n else mark
-        level = depth[mark] + is_close[mark]
-        outer = (level == 0) & ~is_open[mark]
-        np.logical_and.at(valid, text_of[mark][outer], False)
+        sign = _SIGNS[buf[mark]]
+        depth = np.cumsum(sign, dtype=number)
+        begin, stop = np.searchsorted(mark, self.starts), np.searchsorted(mark, self.ends)
+        depth -= np.concatenate((np.zeros(1, number), depth))[begin][owner]
+        valid = (before(self.ends) - base) % 2 == 0
+        marked = stop > begin
+        if marked.any():
+            valid[marked] &= (depth[stop[marked] - 1] == 0) & (np.minimum.reduceat(depth, begin[marked]) >= 0)
+        self._find_blanks(buf)
+
+        keep = valid[owner]
+        mark, owner, sign = mark[keep], owner[keep], sign[keep]
+        level = depth[keep] + (sign < 0)
+        valid[owner[(level == 0) & (sign <= 0)]] = False
         keep = level > 0
-        mark, level = mark[keep], level[keep]
-        order = np.lexsort((mark, level, text_of[mark]))
-        mark = mark[order]
-        box = np.cumsum(is_open[mark]) - 1  # the container of each mark
-        openers, closers = mark[is_open[mark]], mark[is_close[mark]]
+        order = np.lexsort((level[keep], owner[keep]))  # places stay in order
+        mark = mark[keep][order]
+        del depth, level, owner, order, sign, keep
+        is_open, is_close, is_colon = _SIGNS[buf[mark]] > 0, _SIGNS[buf[mark]] < 0, buf[mark] == 0x3A
+        box = np.cumsum(is_open, dtype=number) - 1  # the container of each mark
+        openers, closers = mark[is_open], mark[is_close]
         bad_pair = (buf[closers] - buf[openers]) != 2 if len(openers) == len(closers) else np.ones(len(openers), bool)
-        np.logical_and.at(valid, text_of[openers][bad_pair], False)
+        valid[text_of(openers[bad_pair])] = False
 
         # Spans: the gaps between neighbouring marks of one container, colons aside.
-        sep = np.flatnonzero(~is_colon[mark])
-        left, right = mark[sep[:-1]], mark[sep[1:]]
-        gap = np.flatnonzero(~is_close[left]) if len(sep) > 1 else np.zeros(0, np.int64)
-        s_box, s_from, s_to = box[sep[gap]], left[gap] + 1, right[gap]
-        colon_slot = np.searchsorted(gap, np.searchsorted(sep, np.flatnonzero(is_colon[mark]), "right") - 1, "right") - 1
+        sep = places(~is_colon)
+        gap = places(~is_close[sep[:-1]]) if len(sep) > 1 else np.zeros(0, number)
+        s_box, s_from, s_to = box[sep[gap]], mark[sep[gap]] + 1, mark[sep[np.minimum(gap + 1, len(sep) - 1)]]
+        alone = is_open[sep[gap]] & is_close[sep[np.minimum(gap + 1, len(sep) - 1)]]
+        colon = places(is_colon)
+        colon_slot = np.searchsorted(gap, np.searchsorted(sep, colon, "right") - 1, "right") - 1
         n_colon = np.bincount(colon_slot, minlength=len(gap)) if len(gap) else np.zeros(0, np.int64)
-        colon_at = np.full(len(gap), -1, np.int64)
-        colon_at[colon_slot] = mark[is_colon[mark]]
-        in_object = buf[openers][s_box] == 0x7B if len(gap) else np.zeros(0, bool)
-        v_from = self._next[np.where(colon_at >= 0, colon_at + 1, s_from)]
-        v_to = self._prev[s_to]
-        hollow = self._next[s_from] >= s_to
-        alone = is_open[left[gap]] & is_close[right[gap]]
+        colon_at = np.full(len(gap), -1, number)
+        colon_at[colon_slot] = mark[colon]
+        del box, sep, gap, colon, colon_slot, is_open, is_close, is_colon, mark
+        in_object = buf[openers][s_box] == 0x7B
+        v_from, v_to = self._next(np.where(colon_at >= 0, colon_at + 1, s_from)), self._prev(s_to)
+        hollow = self._next(s_from) >= s_to
         wrong = (hollow & ~alone) | (~hollow & (n_colon != in_object)) | (~hollow & (v_from >= v_to))
-        np.logical_and.at(valid, text_of[openers[s_box[wrong]]], False)
+        valid[text_of(openers[s_box[wrong]])] = False
         real = ~hollow & ~wrong
         s_box, colon_at, v_from, v_to, s_from = s_box[real], colon_at[real], v_from[real], v_to[real], s_from[real]
 
         # The texts' roots come first.
-        r_from, r_to = np.minimum(self._next[self.starts], self.ends), self._prev[self.ends]
+        r_from, r_to = np.minimum(self._next(self.starts), self.ends), self._prev(self.ends)
         valid &= r_from < r_to
+        none = np.full(n, -1, number)
         self.v_from, self.v_to = np.concatenate((r_from, v_from)), np.concatenate((r_to, v_to))
-        self.k_from = np.concatenate((np.full(n, -1), np.where(colon_at >= 0, self._next[s_from], -1)))
-        self.k_to = np.concatenate((np.full(n, -1), np.where(colon_at >= 0, self._prev[colon_at], -1)))
+        self.k_from = np.concatenate((none, np.where(colon_at >= 0, self._next(s_from), -1).astype(number)))
+        self.k_to = np.concatenate((none, np.where(colon_at >= 0, self._prev(np.maximum(colon_at, 0)), -1).astype(number)))
         safe = np.minimum(self.v_from, size - 1)
         self.kind = buf[safe]
-        at = np.searchsorted(np.sort(openers), safe)
-        by_place = np.argsort(openers)
-        self.box = np.full(len(safe), -1, np.int64)
+        self.box = np.full(len(safe), -1, number)
         composite = (self.kind == 0x7B) | (self.kind == 0x5B)
-        held = by_place[np.minimum(at[composite], max(len(openers) - 1, 0))] if len(openers) else np.zeros(0, np.int64)
+        by_place = np.argsort(openers, kind="stable")
+        at = np.searchsorted(openers, safe[composite], sorter=by_place)
+        held = by_place[np.minimum(at, max(len(openers) - 1, 0))] if len(openers) else np.zeros(0, np.int64)
         self.box[composite] = held if len(openers) else -1
-        owner = text_of[safe]
 
         def reject(slots: np.ndarray) -> None:
-            np.logical_and.at(valid, owner[slots], False)
+            valid[text_of(safe[slots])] = False
+
+        def standing(slots: np.ndarray) -> np.ndarray:
+            return slots[valid[text_of(safe[slots])]]
 
         reject(np.flatnonzero(composite)[closers[held] != self.v_to[composite] - 1] if len(openers) else np.flatnonzero(composite))
-        text = self.kind == 0x22
-        last = np.maximum(self.v_to - 1, 0)
-        reject(np.flatnonzero(text & ((buf[last] != 0x22) | (before[np.minimum(self.v_to, size)] - before[safe] != 2))))
+        text = np.flatnonzero(self.kind == 0x22)
+        t0, t1 = self.v_from[text], self.v_to[text]
+        reject(text[(buf[np.maximum(t1 - 1, 0)] != 0x22) | (before(t1) - before(t0) != 2)])
         keyed = np.flatnonzero(self.k_from >= 0)
         k0, k1 = self.k_from[keyed], self.k_to[keyed]
-        reject(keyed[(buf[k0] != 0x22) | (buf[np.maximum(k1 - 1, 0)] != 0x22) | (before[k1] - before[k0] != 2)])
-        odd_inside = back | (buf < 0x20)
-        odd = np.concatenate(([0], np.cumsum(odd_inside)))
-        for s in np.flatnonzero(text & (odd[np.minimum(self.v_to, size)] > odd[safe])):
-            if valid[owner[s]] and not _STRING.fullmatch(self.data, self.v_from[s] + 1, self.v_to[s] - 1):
-                valid[owner[s]] = False
-        for s in keyed[odd[k1] > odd[k0]]:
-            if valid[owner[s]] and not _STRING.fullmatch(self.data, self.k_from[s] + 1, self.k_to[s] - 1):
-                valid[owner[s]] = False
-        for s in np.flatnonzero(~composite & ~text):
-            if valid[owner[s]] and not _SCALAR.fullmatch(self.data, self.v_from[s], self.v_to[s]):
-                valid[owner[s]] = False
-        self.first = n + np.searchsorted(s_box, np.arange(len(openers)))
-        self.after = n + np.searchsorted(s_box, np.arange(len(openers)), "right")
+        reject(keyed[(buf[k0] != 0x22) | (buf[np.maximum(k1 - 1, 0)] != 0x22) | (before(k1) - before(k0) != 2)])
+        odd = places((buf == 0x5C) | (buf < 0x20))
+        held_odd = lambda a, b: np.searchsorted(odd, b) > np.searchsorted(odd, a)
+        for s in standing(text[held_odd(t0, t1)]):
+            if not _STRING.fullmatch(self.data, self.v_from[s] + 1, self.v_to[s] - 1):
+                reject(s)
+        for s in standing(keyed[held_odd(k0, k1)]):
+            if not _STRING.fullmatch(self.data, self.k_from[s] + 1, self.k_to[s] - 1):
+                reject(s)
+        for s in standing(np.flatnonzero(~composite & (self.kind != 0x22))):
+            if not _SCALAR.fullmatch(self.data, self.v_from[s], self.v_to[s]):
+                reject(s)
+        containers = np.arange(len(openers))
+        self.first = (n + np.searchsorted(s_box, containers)).astype(number)
+        self.after = (n + np.searchsorted(s_box, containers, "right")).astype(number)
         self.valid = valid
-        self._strings = text
+        del self._runs, self._run_ends
+
+    def _find_blanks(self, buf: np.ndarray) -> None:
+        """Starts and ends of the runs of blanks."""
+        blank = _BLANKS[buf]
+        edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(0), append=np.int8(0))).astype(self._number)
+        self._runs, self._run_ends = edges[::2], edges[1::2]
+
+    def _next(self, place: np.ndarray) -> np.ndarray:
+        """The first place from here on that is not blank."""
+        k = np.searchsorted(self._runs, place, "right") - 1  # the buffer ends in a blank, so there is a run
+        end = self._run_ends[np.maximum(k, 0)]
+        return np.where((k >= 0) & (place < end), end, place)
+
+    def _prev(self, place: np.ndarray) -> np.ndarray:
+        """The place after the last one before here that is not blank."""
+        k = np.searchsorted(self._runs, place, "left") - 1
+        return np.where((k >= 0) & (place <= self._run_ends[np.maximum(k, 0)]), self._runs[np.maximum(k, 0)], place)
 
     def members(self, slot: int) -> range:
         b = self.box[slot]
@@ -199,7 +233,7 @@ class StructuralIndex:
         """String slots of valid texts whose content begins as JSON containers or strings do."""
         out = []
         head = np.frombuffer(self.data, np.uint8)[np.minimum(self.v_from + 1, len(self.data) - 1)]
-        likely = self._strings & np.isin(head, np.frombuffer(b'[{\\ \t', np.uint8))
+        likely = (self.kind == 0x22) & np.isin(head, np.frombuffer(b'[{\\ \t', np.uint8))
         for s in np.flatnonzero(likely):
             text = self.text(s)
             if text.lstrip()[:1] in ("[", "{", '"'):
@@ -294,12 +328,25 @@ def shred_texts(texts: Sequence[str | None], spec: Child, with_values: bool = Tr
     return out
 
 
-def shred_udf(spec: Child, with_values: bool = True):
-    """Arrow UDF: a column of JSON texts to an array of child rows."""
-
-    @F.arrow_udf(CHILD_TYPE)
-    def shred(texts: pa.Array) -> pa.Array:
-        rows = shred_texts(texts.to_pylist(), spec, with_values)
+def portions(sizes: Sequence[int], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts of at most ``most`` bytes together, or of one longer text."""
+    most = PORTION if most is None else most
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if held + size > most and i > begin:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if len(sizes) > begin:
+        yield begin, len(sizes)
+
+
+def shred_array(texts: pa.Array, spec: Child, with_values: bool = True) -> pa.Array:
+    """The child rows of each text of an Arrow array, indexed portion by portion."""
+    out = []
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for a, b in portions(sizes):
+        rows = shred_texts(texts.slice(a, b - a).to_pylist(), spec, with_values)
         flat = [r for record in rows for r in record]
         offsets = pa.array(np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32), pa.int32())
         table, parent, pos, value = zip(*flat, strict=True) if flat else ((), (), (), ())
@@ -307,7 +354,16 @@ def shred_udf(spec: Child, with_values: bool = True):
             [pa.array(table, pa.string()), pa.array(parent, pa.string()), pa.array(pos, pa.int32()), pa.array(value, pa.string())],
             fields=list(_CHILD_ARROW.value_type),
         )
-        return pa.ListArray.from_arrays(offsets, items, type=_CHILD_ARROW)
+        out.append(pa.ListArray.from_arrays(offsets, items, type=_CHILD_ARROW))
+    return pa.concat_arrays(out) if out else pa.array([], _CHILD_ARROW)
+
+
+def shred_udf(spec: Child, with_values: bool = True):
+    """Arrow UDF: a column of JSON texts to an array of child rows."""
+
+    @F.arrow_udf(CHILD_TYPE)
+    def shred(texts: pa.Array) -> pa.Array:
+        return shred_array(texts, spec, with_values)
 
     return shred
 

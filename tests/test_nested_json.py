@@ -1,11 +1,14 @@
 import json
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
-from evidentia.operators.nested_json import PLANNING, StructuralIndex, shred_texts, trajectory_tables
+from evidentia.operators import nested_json
+from evidentia.operators.nested_json import PLANNING, StructuralIndex, portions, shred_array, shred_texts, trajectory_tables
 
 VALUES = st.recursive(
     st.none() | st.booleans() | st.integers(-99, 99) | st.floats(allow_nan=False, allow_infinity=False, width=32) | st.text(max_size=6),
@@ -76,6 +79,33 @@ def test_deep_and_long_texts():
     assert len(got[0]) == 1 and len(got[1]) == 5001
 
 
+def test_index_holds_marks_only():
+    event = {"event": "x" * 40, "nodes": [{"id": f"sg{j}", "subquestion": "Who is it?", "depends_on": ["sg1"]} for j in range(3)], "hits": [1, 2]}
+    for text in (json.dumps([event] * 2000), json.dumps([event] * 2000, indent=2)):
+        tracemalloc.start()
+        ix = StructuralIndex([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ix.valid.all() and peak < 20 * len(text)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=12), st.integers(1, 12))
+def test_portions_are_bounded(sizes, most):
+    got = list(portions(sizes, most))
+    assert [i for a, b in got for i in range(a, b)] == list(range(len(sizes)))
+    assert all(sum(sizes[a:b]) <= most or b - a == 1 for a, b in got)
+
+
+def test_portions_change_nothing(monkeypatch):
+    texts = [None, "[1, 2]", '[{"hits": [1]}]', "[", " ", '"[{\\"hits\\": [3, 4]}]"'] * 5
+    want = shred_array(pa.array(texts), PLANNING).to_pylist()
+    monkeypatch.setattr(nested_json, "PORTION", 3)
+    assert shred_array(pa.array(texts), PLANNING).to_pylist() == want
+    assert [len(x) for x in want[:6]] == [0, 2, 2, 0, 0, 3]
+    assert shred_array(pa.array([], pa.string()), PLANNING).to_pylist() == []
+
+
 SCHEMA = (
     "result_id bigint, policy_trace array<struct<step:int,action:string,details:struct<telemetry_snapshot:struct<claim_supports:array<double>>>>>,"
     "planning_trace string, support struct<claim_supports:array<double>,passage_support_matrix:array<array<double>>>, pos int, child_table string, _rows string"
