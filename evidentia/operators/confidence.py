@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidentia.functions.text import dedupe_key, first_line_answer, sampling_form
+from evidentia.operators.retrieval import vector_cosine, vector_terms
+from evidentia.operators.scoring import both_ways
 from evidentia.session import global_order
 
 
@@ -53,17 +52,21 @@ def symmetric_pairs(nli: DataFrame, example: str = "ex") -> DataFrame:
     return both.select(example, "i", "j", ((F.col("entail") + F.col("_e")) / 2).alias("entail"), ((F.col("contra") + F.col("_c")) / 2).alias("contra"))
 
 
-def nvc(candidates: DataFrame, nli: DataFrame, eps: float = 1e-9, example: str = "ex") -> DataFrame:
+def nvc(candidates: DataFrame, nli: DataFrame, eps: float = 1e-9, example: str = "ex", sentinel: bool = False) -> DataFrame:
     """``ex, nvc`` from ``ex, j, ptrue`` (the answer at j = 0) and ``ex, i, j, entail, contra``.
 
     Each distractor counts by its contradiction of the answer, the mean of both directions, over
-    its degree (1 and its entailments by others, the answer aside); scores that are null or
-    negative do not count.
+    its degree (1 and its entailments by others, the answer aside); scores that are null do not
+    count. With ``sentinel`` a negative score ends the candidates: it and all after it are padding;
+    without, only the negative ones themselves do not count.
     """
     entailed = F.greatest(F.lit(0.0), F.col("entail"))
     degree = nli.groupBy(example, "j").agg((F.lit(1.0) + F.sum(entailed)).alias("degree"), F.max(F.when(F.col("i") == 0, F.col("entail"))).alias("e0"))
     to_answer = symmetric_pairs(nli, example).where("i = 0").select(example, "j", F.col("contra").alias("c0"))
     p0 = candidates.where("j = 0").select(example, F.col("ptrue").alias("p0"))
+    if sentinel:
+        ends = candidates.where((F.col("j") > 0) & (F.col("ptrue") < 0)).groupBy(example).agg(F.min("j").alias("_end"))
+        candidates = candidates.join(ends, example, "left").where(F.col("_end").isNull() | (F.col("j") < F.col("_end"))).drop("_end")
     others = candidates.where((F.col("j") > 0) & F.col("ptrue").isNotNull() & ~F.isnan("ptrue") & (F.col("ptrue") >= 0))
     share = F.col("ptrue") * F.col("c0") / (F.col("degree") - F.col("e0") + eps)
     added = others.join(to_answer, [example, "j"]).join(degree, [example, "j"]).groupBy(example).agg(F.sum(share).alias("added"))
@@ -115,26 +118,28 @@ def shortest_equal_beam(beams: DataFrame, example: str, text: str, entailment: s
     return fit.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def semantic_distractors(candidates: DataFrame, example: str, text: str, place: str, main_entail: str, vector: str, near: float = 0.9, most: float = 0.8) -> DataFrame:
-    """Greedy filter in order: drops what the answer entails, or what lies near a kept one.
+def semantic_distractors(candidates: DataFrame, example: str, text: str, place: str, scorer, near: float = 0.9, most: float = 0.8) -> DataFrame:
+    """``example, text, place`` of the distractors that stay: in order of place (the answer at 0), each is
+    dropped that the answer and it entail both ways, or that lies near a kept one or both entail each other.
 
-    The choice depends on all before it, so a group (one example's few candidates) is one task.
+    All scores are column expressions over the pairs of an example's few candidates; only the greedy
+    choice, which depends on all before it, folds over one example's pairs that are too close.
     """
-
-    def keep(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = groups.sort_values(place)
-        kept, vectors = [], []
-        for i, row in rows.iterrows():
-            v = row[vector]
-            size = sum(x * x for x in v) ** 0.5 or 1.0
-            if row[main_entail] > most or any(sum(a * b for a, b in zip(v, u)) / (size * s) > near for u, s in vectors):
-                continue
-            kept.append(i)
-            vectors.append((v, size))
-        return rows.loc[kept, [example, text, place]]
-
-    schema = candidates.select(example, text, place).schema
-    return candidates.groupBy(example).applyInPandas(keep, schema)
+    a = candidates.select(F.col(example).alias("_ex"), F.col(place).alias("i"), F.col(text).alias("_a"))
+    b = candidates.select(F.col(example).alias("_ex"), F.col(place).alias("j"), F.col(text).alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    alike = both_ways(scorer(x, y), scorer(y, x)) > most
+    close = F.when(F.col("i") == 0, alike).otherwise((vector_cosine(vector_terms(x), vector_terms(y)) > near) | alike)
+    pairs = a.join(b, "_ex").where("i < j").where(close).groupBy("_ex").agg(F.collect_list(F.struct("i", "j")).alias("_close"))
+    listed = candidates.where(F.col(place) > 0).groupBy(F.col(example).alias("_ex")).agg(F.sort_array(F.collect_list(F.col(place))).alias("_places"))
+    both = listed.join(pairs, "_ex", "left").withColumn("_close", F.coalesce("_close", F.array().cast("array<struct<i:int,j:int>>")))
+    kept = F.aggregate(
+        "_places",
+        F.array(F.lit(0)),
+        lambda kept, p: F.when(F.exists("_close", lambda c: (c["j"] == p) & F.array_contains(kept, c["i"])), kept).otherwise(F.concat(kept, F.array(p))),
+    )
+    stays = both.select(F.col("_ex").alias(example), F.explode(F.filter(kept, lambda p: p > 0)).alias(place))
+    return candidates.join(stays, [example, place]).select(example, text, place)
 
 
 def entailments(candidates: DataFrame, example: str, place: str, text: str, scorer) -> DataFrame:

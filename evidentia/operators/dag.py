@@ -10,14 +10,18 @@ from evidentia.functions.text import asks_again, official_form, signature
 from evidentia.session import durable
 
 
-def sound_plan(nodes: DataFrame, by: str, node: str, text: str, deps: str, order: str, cap: int = 12) -> DataFrame:
-    """Distinct sub-questions (the first of equals) up to the cap, without self or dangling dependencies."""
+def sound_plan(nodes: DataFrame, by: str, node: str, text: str, deps: str, order: str, plans: DataFrame, question: str, cap: int = 4) -> DataFrame:
+    """``by, node, text, deps``: of each plan the distinct sub-questions (the first of equals) up to the cap,
+    without self or dangling dependencies; a plan of ``plans`` (``by, question``) of which none is
+    left is its one question itself."""
     first = Window.partitionBy(by, "_key").orderBy(order)
     place = Window.partitionBy(by).orderBy(order)
     kept = nodes.withColumn("_key", official_form(text)).where("_key <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     kept = kept.withColumn("_m", F.row_number().over(place)).where(F.col("_m") <= cap).drop("_n", "_m", "_key")
     known = kept.groupBy(by).agg(F.collect_set(node).alias("_ids"))  # at most cap ids a plan
-    return kept.join(known, by).withColumn(deps, F.filter(F.array_intersect(deps, "_ids"), lambda d: d != F.col(node))).drop("_ids")
+    sound = kept.join(known, by).select(by, node, text, F.filter(F.array_intersect(F.coalesce(deps, F.array().cast("array<string>")), "_ids"), lambda d: d != F.col(node)).alias(deps))
+    bare = plans.join(known, by, "left_anti").select(by, F.lit("sg1").alias(node), F.col(question).alias(text), F.array().cast("array<string>").alias(deps))
+    return sound.unionByName(bare)
 
 
 def ready_nodes(nodes: DataFrame, edges: DataFrame, by: list[str], done: Column) -> DataFrame:

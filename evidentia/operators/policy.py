@@ -6,6 +6,7 @@ not a loop. Only the loop over an opaque policy is run group by group.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidentia.functions.text import official_form
 from evidentia.session import own_group
 
 # The default gates, and the conditions of the evaluation arms.
+NO_ANSWER = "insufficient evidence"
 GATE, HIGH_CONFIDENCE, MEAN_SUPPORT, LEAST_SUPPORT = 0.80, 0.90, 0.70, 0.50
 NVC_GATE, GROUNDING_GATE, COMBINED_GATE = 0.70, 0.70, 0.65
 THRESHOLDS = {"threshold_30": 0.3, "threshold_50": 0.5, "threshold_70": 0.7}
@@ -64,16 +67,22 @@ def stopping_hop(hops: DataFrame, by: str, hop: str, nvc: Column, grounding: Col
     )
 
 
+def is_real_answer(answer: Column) -> Column:
+    """Is something said, other than that the evidence does not suffice (in official form, so that case and stops do not matter)?"""
+    said = F.coalesce(answer, F.lit(""))
+    return (F.trim(said) != "") & (official_form(said) != NO_ANSWER)
+
+
 def exhausted_action(supported: Column, confidence: Column, answer: Column) -> Column:
-    """When turns run out: commit what is supported and said, or very sure; else decompose."""
-    said = (F.trim(F.coalesce(answer, F.lit(""))) != "") & (F.lower(F.trim(answer)) != "insufficient evidence")
-    return F.when(F.coalesce(supported, F.lit(False)) & said, "commit").when(F.coalesce(confidence, F.lit(0.0)) >= HIGH_CONFIDENCE, "commit").otherwise("decompose")
+    """When turns run out: commit a real answer that is supported or very sure; else decompose."""
+    sure = F.coalesce(supported, F.lit(False)) | (F.coalesce(confidence, F.lit(0.0)) >= HIGH_CONFIDENCE)
+    return F.when(is_real_answer(answer) & sure, "commit").otherwise("decompose")
 
 
-def guarded_action(action: Column, answer: Column, is_last: Column) -> Column:
-    """A commit without a real answer becomes a retrieval unless it is the last turn."""
-    hollow = F.lower(F.trim(F.coalesce(answer, F.lit("")))).isin("", "insufficient evidence")
-    return F.when((action == "commit") & hollow & ~is_last, "retrieve").otherwise(action)
+def guarded_action(action: Column, answer: Column, is_last: Column, has_hits: Column | None = None) -> Column:
+    """A commit without a real answer becomes a retrieval unless it is the last turn; so does a refinement without passages."""
+    empty = F.lit(False) if has_hits is None else (action == "refine") & ~has_hits
+    return F.when(((action == "commit") & ~is_real_answer(answer) & ~is_last) | empty, "retrieve").otherwise(action)
 
 
 def signal_changes(turns: DataFrame, by: list[str], turn: str, signal: str, tie: str, least: float = 0.005) -> DataFrame:
@@ -98,9 +107,26 @@ def terminal_turn(turns: DataFrame, by: list[str], turn: str, action: Column) ->
     return turns.groupBy(*by).agg(F.coalesce(F.min(F.when(ends, F.col(turn))), F.max(turn)).alias("end_turn"), F.max(ends.cast("int")).alias("ended"))
 
 
-def run_agent(questions: DataFrame, key: str, policy: Callable[[str, list[dict]], dict], max_turns: int = 6) -> DataFrame:
+def _real(answer: str) -> bool:
+    """``is_real_answer`` of one text."""
+    plain = "".join(c for c in answer.lower() if c not in string.punctuation)
+    return bool(answer.strip()) and " ".join(w for w in plain.split() if w not in ("a", "an", "the")) != NO_ANSWER
+
+
+def run_agent(
+    questions: DataFrame,
+    key: str,
+    policy: Callable[[str, list[dict]], dict],
+    max_turns: int = 6,
+    retrieve: Callable[[str, dict], int] = lambda key, step: 1,
+    most_tokens: int | None = None,
+) -> DataFrame:
     """The loop over an opaque policy: ``key, turn, action, answer`` of every turn.
 
+    A commit without a real answer becomes a retrieval before the last turn, and so does a refinement
+    while ``retrieve`` (the number of hits of a step) has found nothing. Where the history outgrows
+    ``most_tokens`` (a quarter of its characters), the policy sees its last turn only.
+
     A question's turns depend on each other and on nothing else, so questions are independent
     tasks; each batch runs its questions one after the other.
     """
@@ -111,12 +137,17 @@ def run_agent(questions: DataFrame, key: str, policy: Callable[[str, list[dict]]
             rows = []
             for k in batch[key]:
                 history: list[dict] = []
+                hits = 0
                 for turn in range(max_turns):
-                    step = dict(policy(str(k), history))
+                    size = sum(len(h["answer"]) // 4 + len(h["action"]) // 4 for h in history)
+                    seen = history[-1:] if most_tokens is not None and size > most_tokens else history
+                    step = dict(policy(str(k), seen))
                     answer = (step.get("answer") or "").strip()
                     action = step.get("action") or "retrieve"
-                    if action == "commit" and answer.lower() in ("", "insufficient evidence") and turn < max_turns - 1:
+                    if action == "commit" and not _real(answer) and turn < max_turns - 1 or action == "refine" and not hits:
                         action = "retrieve"
+                    if action == "retrieve":
+                        hits += retrieve(str(k), step)
                     history.append({"turn": turn, "action": action, "answer": answer})
                     rows.append((k, turn, action, answer))
                     if action in ("commit", "decompose"):

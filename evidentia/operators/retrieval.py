@@ -38,11 +38,6 @@ STOP_WORDS = tuple(
 )
 
 
-def plain_terms(text: Column) -> Column:
-    """Runs of two ASCII word characters and more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-
-
 def vector_terms(text: Column) -> Column:
     """Runs of two letters, numerals and underscores of any alphabet and more, without stop words."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
@@ -187,6 +182,16 @@ def tfidf_ranking(passages: DataFrame, group: str, doc: str, text: str, question
     return full.select(F.col("g").alias(group), F.col("d").alias(doc), F.when(F.col("n") == 2, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
+def vector_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the TF-IDF vectors of two token arrays, fitted on the pair; 0 without common terms."""
+    times = lambda xs, t: F.size(F.filter(xs, lambda x: x == t)).cast("double")
+    square = lambda xs, ys: F.aggregate(
+        F.array_distinct(xs), F.lit(0.0), lambda s, t: s + F.pow(times(xs, t) * F.when(F.array_contains(ys, t), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1), F.lit(2))
+    )
+    dot = F.aggregate(F.array_intersect(a, b), F.lit(0.0), lambda s, t: s + times(a, t) * times(b, t))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / F.sqrt(square(a, b) * square(b, a))).otherwise(0.0)
+
+
 def pair_cosine(rows: DataFrame, key: str, a: str, b: str, terms=vector_terms) -> DataFrame:
     """``key, cosine`` of the TF-IDF vectors of two texts, fitted on the pair; 0 without common terms."""
     side = lambda c, d: rows.select(F.col(key), F.lit(d).alias("d"), F.explode(terms(F.coalesce(F.col(c), F.lit("")))).alias("term"))

@@ -108,16 +108,7 @@ def K6_predictions(spark, sf_dir):
 
 # ---- reshaping -------------------------------------------------------------------------------
 
-_WHOLE = "context.title IS NOT NULL AND context.sentences IS NOT NULL AND len(context.title) = len(context.sentences)"
-_FLAT = f"""SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, array_to_string(context.sentences[i], ' ') AS text FROM (SELECT *, unnest(range(1, len(context.title) + 1)) AS i FROM examples WHERE {_WHOLE})"""
-
-
-def _whole(spark, sf_dir):
-    rows = table(spark, sf_dir, "examples", "example_id", "question", "answer", "context", "supporting_facts")
-    return rows.where(_WHOLE.replace("len(", "size("))
-
-
-_ALL_FLAT = """SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, array_to_string(context.sentences[i], ' ') AS text
+_FLAT = """SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, array_to_string(context.sentences[i], ' ') AS text
     FROM (SELECT *, unnest(range(1, least(len(context.title), len(context.sentences)) + 1)) AS i FROM examples WHERE context.title IS NOT NULL AND context.sentences IS NOT NULL)"""
 
 
@@ -153,21 +144,11 @@ def _by_paragraphs(contexts):
 
 @query(_FLAT)
 def P2_from_pairs(spark, sf_dir):
-    return _by_pairs(_whole(spark, sf_dir))
+    return _by_pairs(_zipped(spark, sf_dir))
 
 
 @query(_FLAT.replace("context.title[i] AS title", "coalesce(context.title[i], '') AS title").replace("array_to_string(context.sentences[i], ' ') AS text", "coalesce(array_to_string(context.sentences[i], ' '), '') AS text"))
 def P3_from_paragraphs(spark, sf_dir):
-    return _by_paragraphs(_whole(spark, sf_dir))
-
-
-@query(_ALL_FLAT)
-def P2_from_pairs_all(spark, sf_dir):
-    return _by_pairs(_zipped(spark, sf_dir))
-
-
-@query(_ALL_FLAT.replace("context.title[i] AS title", "coalesce(context.title[i], '') AS title").replace("array_to_string(context.sentences[i], ' ') AS text", "coalesce(array_to_string(context.sentences[i], ' '), '') AS text"))
-def P3_from_paragraphs_all(spark, sf_dir):
     return _by_paragraphs(_zipped(spark, sf_dir))
 
 
@@ -308,12 +289,12 @@ def C6_ptrue_of_logits(spark, sf_dir):
     return turns(spark, sf_dir, "nvc", "sc_conf").select("turn_id", r6(confidence.ptrue_of_logits(number("sc_conf"), number("nvc"))).alias("ptrue"))
 
 
-@query(_NVC.format(eps="0.0").replace("WHERE c.j > 0 GROUP BY", "WHERE c.j > 0 AND c.p >= 0.2 GROUP BY"))
+@query(_NVC.format(eps="0.0").replace("WHERE c.j > 0 GROUP BY", "WHERE c.j > 0 AND NOT EXISTS (SELECT 1 FROM c d WHERE d.ex = c.ex AND d.j > 0 AND d.j <= c.j AND d.p < 0.2) GROUP BY"))
 def C9_nvc_with_padding(spark, sf_dir):
-    """Padded candidates carry a negative score and do not count."""
+    """The first candidate with a negative score begins the padding: it ends the sum."""
     candidates, pairs = _nli(spark, sf_dir)
     padded = candidates.withColumn("ptrue", F.when((F.col("j") > 0) & (F.col("ptrue") < 0.2), -1.0).otherwise(F.col("ptrue")))
-    return confidence.nvc(padded, pairs, eps=0.0).select("ex", r6("nvc").alias("nvc"))
+    return confidence.nvc(padded, pairs, eps=0.0, sentinel=True).select("ex", r6("nvc").alias("nvc"))
 
 
 @query(f"""WITH c AS (SELECT run_id || '/' || question_id AS task, turn_id, {sql.official_words('answer')} AS w FROM {_T('run_id', 'question_id', 'answer')} WHERE run_id IS NOT NULL AND question_id IS NOT NULL AND answer IS NOT NULL)

@@ -160,21 +160,14 @@ def P21_missing_fields(spark, sf_dir):
     return rows.select(F.explode(reshape.missing_fields("question", "answer", "level")).alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT raw_id, coalesce(TRY_CAST(trim(split_part(raw_line, chr(9), 8), ' ') AS INTEGER), 0) AS n FROM witqa_raw WHERE NOT regexp_matches(split_part(raw_line, chr(9), 8), '[^0-9 a-zA-Z]|[eExX]|^$') AND length(split_part(raw_line, chr(9), 8)) < 10")
-def P22_safe_casts(spark, sf_dir):
-    cell = F.split_part("raw_line", F.lit("\t"), F.lit(8))
-    rows = table(spark, sf_dir, "witqa_raw", "raw_id", "raw_line").where(~cell.rlike("[^0-9 a-zA-Z]|[eExX]|^$") & (F.length(cell) < 10))
-    return rows.select("raw_id", reshape.int_or_zero(F.trim(cell)).alias("n"))
-
-
 #: A cast holds for an optional sign and ASCII digits of 32-bit range between blanks and control characters; all else is 0.
 _CAST = r"""SELECT raw_id, CAST(CASE WHEN v BETWEEN -2147483648 AND 2147483647 THEN v ELSE 0 END AS INTEGER) AS n
     FROM (SELECT raw_id, TRY_CAST(nullif(regexp_extract(split_part(raw_line, chr(9), 8), '^[\x00-\x20\x7f-\x{9f}]*([+-]?[0-9]+)[\x00-\x20\x7f-\x{9f}]*$', 1), '') AS HUGEINT) AS v FROM witqa_raw)"""
 
 
 @query(_CAST)
-def P22_safe_casts_all(spark, sf_dir):
-    """Every line, also those whose cell is no number; ``P22_safe_casts`` leaves out most of those."""
+def P22_safe_casts(spark, sf_dir):
+    """Every line, also those whose cell is no number."""
     cell = F.split_part("raw_line", F.lit("\t"), F.lit(8))
     return table(spark, sf_dir, "witqa_raw", "raw_id", "raw_line").select("raw_id", reshape.int_or_zero(cell).alias("n"))
 
@@ -343,21 +336,26 @@ def L7_stopping_hop(spark, sf_dir):
     return policy.stopping_hop(hops, "task", "turn", F.col("n"), F.col("g"), 0.6 * F.col("n") + 0.4 * F.col("g"))
 
 
-@query(f"""SELECT CASE WHEN coalesce(support.g_mean >= 0.7 AND support.g_min >= 0.5, false) AND trim(coalesce(pred_answer, ''), ' ') <> '' AND lower(trim(pred_answer, ' ')) <> 'insufficient evidence' THEN 'commit'
-    WHEN coalesce({_NUM('nvc')}, 0) >= 0.9 THEN 'commit' ELSE 'decompose' END AS action, count(*) AS n FROM {_ANY('trajectories', 'result_id', 'support', 'pred_answer', 'nvc')} GROUP BY 1""")
+_REAL = f"(trim(coalesce(answer, ''), ' ') <> '' AND {sql.official("coalesce(answer, '')")} <> 'insufficient evidence')"
+
+
+@query(f"""SELECT CASE WHEN {_REAL} AND (coalesce({_NUM('g_mean')} >= 0.7 AND {_NUM('g_min')} >= 0.5, false) OR coalesce({_NUM('dinco_conf')} >= 0.9, false)) THEN 'commit' ELSE 'decompose' END AS action, count(*) AS n
+    FROM {_ANY('agent_turns', 'turn_id', 'g_mean', 'g_min', 'answer', 'dinco_conf')} GROUP BY 1""")
 def L10_exhausted_action(spark, sf_dir):
     from evidentia.operators.scoring import is_supported
 
-    rows = runs(spark, sf_dir, "support", "pred_answer", "nvc")
-    action = policy.exhausted_action(is_supported(F.col("support.g_mean"), F.col("support.g_min")), number("nvc"), F.col("pred_answer"))
+    rows = turns(spark, sf_dir, "g_mean", "g_min", "answer", "dinco_conf")
+    action = policy.exhausted_action(is_supported(number("g_mean"), number("g_min")), number("dinco_conf"), F.col("answer"))
     return rows.groupBy(action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT CASE WHEN action.type = 'commit' AND lower(trim(coalesce(answer, ''), ' ')) IN ('', 'insufficient evidence') AND turn < 5 THEN 'retrieve' ELSE action.type END AS action, count(*) AS n
-    FROM {_ANY('agent_turns', 'turn_id', 'action', 'answer', 'turn')} WHERE turn IS NOT NULL GROUP BY 1""")
+@query(f"""SELECT CASE WHEN action.type = 'commit' AND NOT {_REAL} AND turn < 5 THEN 'retrieve' WHEN action.type = 'refine' AND coalesce(len(claims), 0) = 0 THEN 'retrieve' ELSE action.type END AS action, count(*) AS n
+    FROM {_ANY('agent_turns', 'turn_id', 'action', 'answer', 'turn', 'claims')} WHERE turn IS NOT NULL GROUP BY 1""")
 def L9_guarded_actions(spark, sf_dir):
-    rows = turns(spark, sf_dir, "action", "answer", "turn").where("turn IS NOT NULL")
-    return rows.groupBy(policy.guarded_action(F.col("action.type"), F.col("answer"), F.col("turn") >= 5).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    """A turn without claims stands for one without passages."""
+    rows = turns(spark, sf_dir, "action", "answer", "turn", "claims").where("turn IS NOT NULL")
+    guarded = policy.guarded_action(F.col("action.type"), F.col("answer"), F.col("turn") >= 5, F.coalesce(F.size("claims"), F.lit(0)) > 0)
+    return rows.groupBy(guarded.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH t AS (SELECT turn_id, v, lag(v) OVER (PARTITION BY run_id, question_id, {_OWN} ORDER BY turn NULLS FIRST, turn_id) AS b FROM (SELECT turn_id, run_id, question_id, turn, {_NUM('nvc')} AS v FROM {_ANY('agent_turns', 'turn_id', 'run_id', 'question_id', 'turn', 'nvc')}))
@@ -563,12 +561,14 @@ def C17_complete_examples(spark, sf_dir):
 
 @query()
 def C19_semantic_distractors(spark, sf_dir):
-    from evidentia.operators.confidence import semantic_distractors
+    """Distinct answers of a run's question, the first turn's as the main one, without those that say the same."""
+    from evidentia.functions.scorers import scorer
+    from evidentia.operators import confidence
 
-    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label").select(
-        F.expr("vec_id div 5").alias("ex"), "vec_id", F.expr("CAST(vec_id % 5 AS INT)").alias("place"), (F.col("label") / 10.0).alias("entail"), "embedding"
-    )
-    return semantic_distractors(rows, "ex", "vec_id", "place", "entail", "embedding").select("ex", "vec_id")
+    rows = turns(spark, sf_dir, "run_id", "question_id", "turn", "answer").where("run_id IS NOT NULL AND question_id IS NOT NULL AND answer IS NOT NULL")
+    task = rows.select(F.concat_ws("/", "run_id", "question_id").alias("task"), "turn_id", "answer", F.coalesce(F.col("turn") == 0, F.lit(False)).alias("greedy"))
+    kept = confidence.greedy_first(task, "task", "answer", "greedy", "turn_id").withColumn("place", F.col("place").cast("int"))
+    return confidence.semantic_distractors(kept, "task", "answer", "place", scorer("coverage"))
 
 
 @query(f"""SELECT result_id, 'closed_book' AS condition, CAST(NULL AS VARCHAR) AS route, em FROM {_ANY('trajectories', 'result_id', 'em', 'nvc')} UNION ALL
@@ -592,9 +592,9 @@ def L8_advisory_flags(spark, sf_dir):
 
 @query()
 def L9_agent_loop(spark, sf_dir):
-    """The loop with a rule as policy: retrieve twice, then commit."""
+    """The loop with a rule as policy: refine (which without passages becomes a retrieval), retrieve, then commit."""
     asked = table(spark, sf_dir, "examples", "question_id").where("question_id IS NOT NULL").distinct()
-    return policy.run_agent(asked, "question_id", lambda key, history: {"action": "commit", "answer": key} if len(history) >= 2 else {"action": "retrieve"})
+    return policy.run_agent(asked, "question_id", lambda key, history: {"action": "commit", "answer": key} if len(history) >= 2 else {"action": "retrieve" if history else "refine"})
 
 
 @query()
@@ -618,17 +618,20 @@ def G14_node_counters(spark, sf_dir):
 
 @query()
 def Q1_sound_plans(spark, sf_dir):
-    """Planned sub-questions without repeats, and the dependencies that hold."""
+    """The initial plan of each run (the nodes of its first event that has any) without repeats, with the
+    dependencies that hold; of a run without plan its question."""
     from evidentia.operators.nested_json import trajectory_tables
 
     rows = table(spark, sf_dir, "trajectories", "result_id", "policy_trace", "planning_trace", "support")
     nodes = trajectory_tables(rows).where("child_table = 'planning_trace.nodes'")
     deps = F.coalesce(F.from_json(F.get_json_object("value", "$.depends_on"), "array<string>"), F.filter(F.array(F.get_json_object("value", "$.depends_on")), lambda x: x.isNotNull()))
-    plan = nodes.select(
-        F.concat_ws("/", F.col("result_id").cast("string"), "parent_pos").alias("plan"), "pos", dag.clean_node_id(F.get_json_object("value", "$.id")).alias("id"),
+    first = nodes.groupBy("result_id").agg(F.min(F.col("parent_pos").cast("int")).alias("_first"))
+    plan = nodes.join(first, "result_id").where(F.col("parent_pos").cast("int") == F.col("_first")).select(
+        "result_id", "pos", dag.clean_node_id(F.get_json_object("value", "$.id")).alias("id"),
         F.get_json_object("value", "$.subquestion").alias("q"), F.transform(deps, lambda d: dag.clean_node_id(d)).alias("deps"),
     )
-    return dag.sound_plan(plan, "plan", "id", "q", "deps", "pos").select("plan", "id", F.array_join("deps", ",").alias("deps"))
+    asked = runs(spark, sf_dir, "question")
+    return dag.sound_plan(plan, "result_id", "id", "q", "deps", "pos", asked, "question").select("result_id", "id", "q", F.array_join("deps", ",").alias("deps"))
 
 
 @query()

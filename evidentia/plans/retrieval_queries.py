@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.scorers import scorer
-from evidentia.operators.retrieval import STOP_WORDS, Bm25Index, fuse, merged_hits, nearest, pair_cosine, plain_terms, reranked, tfidf_ranking, top_k
+from evidentia.operators.retrieval import STOP_WORDS, Bm25Index, fuse, merged_hits, nearest, pair_cosine, reranked, tfidf_ranking, top_k
 from evidentia.plans import sql
 from evidentia.session import first_of_each, table
 
@@ -75,10 +75,8 @@ _GROUP_ASKED = f"SELECT question_id AS query, question_id AS grp, question AS te
 _TOP = "SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {0} QUALIFY rank <= {1}"
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, asked_text) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    asked = docs.where("doc_id % 50 = 0 AND text IS NOT NULL")
-    lexical = _index(spark, sf_dir).scores(asked.select("doc_id", asked_text.alias("asked")), "doc_id", "asked").where("doc <> query")
+def _hybrid(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    lexical = _index(spark, sf_dir).scores(asked, "doc_id", "asked").where("doc <> query")
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     dense = nearest(vectors, "vec_id", "embedding", vectors.where("vec_id % 50 = 0"), 25)
     fused = fuse(top_k(lexical, ["query"], "score", "doc", 25), dense)
@@ -86,14 +84,16 @@ def _hybrid(spark: SparkSession, sf_dir: str, asked_text) -> DataFrame:
 
 
 def R8_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical and dense ranks of the same documents, fused; vectors and documents share ids. Only the
-    heading (up to the first stop or line break) is asked for; ``R8_hybrid_whole_text`` asks for the whole text."""
-    return _hybrid(spark, sf_dir, F.split("text", "[.\n]")[0])
+    """Lexical and dense ranks of the same documents, fused; vectors and documents share ids. A query
+    document asks with its question, whole, and with its vector; one without question with its vector only."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "question_id").where("doc_id % 50 = 0")
+    return _hybrid(spark, sf_dir, docs.join(_one_question(spark, sf_dir), "question_id").select("doc_id", F.col("question").alias("asked")))
 
 
 def R8_hybrid_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``R8_hybrid_fusion``, with the whole text of each query document as the lexical query."""
-    return _hybrid(spark, sf_dir, F.col("text"))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where("doc_id % 50 = 0 AND text IS NOT NULL")
+    return _hybrid(spark, sf_dir, docs.select("doc_id", F.col("text").alias("asked")))
 
 
 def R8_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +102,6 @@ def R8_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query", "doc", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def R10_tfidf_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without titles, by plain ASCII terms; ``R10_tfidf_titled`` ranks titles too, by words of any alphabet but stop words."""
-    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question", plain_terms)
-    return ranked.select("question_id", F.col("evid_id").cast("bigint").alias("evid_id"), F.round("score", 6).alias("score"))
-
-
 def R7_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of each question by a second score, where there are more than two."""
     pairs = _passages(spark, sf_dir).join(_one_question(spark, sf_dir), "question_id")
@@ -130,13 +124,15 @@ QUERIES = {
     "R8_hybrid_fusion": R8_hybrid_fusion,
     "R8_hybrid_whole_text": R8_hybrid_whole_text,
     "R9_merged_hits": R9_merged_hits,
-    "R10_tfidf_ranking": R10_tfidf_ranking,
     "R13_index_summary": R13_index_summary,
 }
 _COSINE = """(SELECT q.vec_id AS query, v.vec_id AS doc, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[])
     / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score
     FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)"""
-_TFIDF_TOKENS = lambda x: f"regexp_extract_all(lower({x}), '[a-z0-9_]{{2,}}')"
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_TFIDF_TOKENS = lambda x: rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPS}))"
+_TITLED_DOCS = f"""SELECT evid_id AS doc, question_id AS grp, coalesce(title, '') || '. ' || coalesce(context_text, '') AS text
+    FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'title', 'context_text')} WHERE question_id IS NOT NULL"""
 ORACLES = {
     "R1_index_terms": f"WITH {_bm25(_DOCS, _ASKED, False)} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "R4_bm25_global_topk": f"WITH {_bm25(_DOCS, _ASKED, False)} {_TOP.format('scored', K)}",
@@ -144,7 +140,7 @@ ORACLES = {
     "R13_index_summary": f"""WITH {_bm25(_GROUP_DOCS, _GROUP_ASKED, True)} SELECT (SELECT count(*) FROM d) AS n_docs, (SELECT count(DISTINCT grp) FROM d) AS n_groups, (SELECT count(*) FROM terms) AS n_terms,
         (SELECT count(*) FROM posts) AS n_postings, (SELECT round(avg(dl), 6) FROM lens) AS avg_length""",
     "R8_dense_topk": f"SELECT query, doc, round(score, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {_COSINE} QUALIFY rank <= {K}",
-    "R8_hybrid_fusion": f"""WITH {_bm25(_DOCS, "SELECT doc_id AS query, '' AS grp, regexp_split_to_array(text, '[.' || chr(10) || ']')[1] AS text FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL", False)},
+    "R8_hybrid_fusion": f"""WITH {_bm25(_DOCS, f"SELECT doc_id AS query, '' AS grp, question AS text FROM documents JOIN ({_ONE}) USING (question_id) WHERE doc_id % 50 = 0", False)},
         r AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM scored WHERE doc <> query QUALIFY rank <= 25
         UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM {_COSINE} QUALIFY rank <= 25),
         f AS (SELECT query, doc, sum(1.0 / (60 + rank)) AS score FROM r GROUP BY ALL) {_TOP.format('f', K)}""",
@@ -153,7 +149,7 @@ ORACLES = {
     "R7_reranked": f"""WITH p AS (SELECT d.grp AS question_id, d.doc AS evid_id, {sql.official_words('d.text')} AS p, {sql.official_words('q.text')} AS h FROM ({_GROUP_DOCS}) d JOIN ({_GROUP_ASKED}) q ON q.grp = d.grp),
         s AS (SELECT question_id, evid_id, CASE WHEN len(h) = 0 THEN 0.0 ELSE {sql.overlap('h', 'p')} / len(h) END AS score, count(*) OVER (PARTITION BY question_id) AS n FROM p)
         SELECT question_id, evid_id, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN n > 2 THEN round(score, 9) END DESC NULLS LAST, evid_id) AS rank FROM s QUALIFY rank <= 2""",
-    "R10_tfidf_ranking": f"""WITH d AS ({_GROUP_DOCS}), q AS ({_GROUP_ASKED}), t AS (SELECT grp, CAST(doc AS VARCHAR) AS doc, unnest({_TFIDF_TOKENS('text')}) AS term FROM d
+    "R10_tfidf_ranking": f"""WITH d AS ({_TITLED_DOCS}), q AS ({_GROUP_ASKED}), t AS (SELECT grp, CAST(doc AS VARCHAR) AS doc, unnest({_TFIDF_TOKENS('text')}) AS term FROM d
         UNION ALL SELECT grp, '' AS doc, unnest({_TFIDF_TOKENS('text')}) AS term FROM q), tf AS (SELECT grp, doc, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT grp, count(*) + 1 AS n FROM d GROUP BY grp),
         df AS (SELECT grp, term, count(*) AS df FROM tf GROUP BY ALL), v AS (SELECT tf.grp, doc, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (grp, term) JOIN n USING (grp)),
         norm AS (SELECT grp, doc, sqrt(sum(w * w)) AS norm FROM v GROUP BY ALL), dots AS (SELECT v.grp, v.doc, sum(v.w * a.w) AS dot FROM v JOIN v a ON a.grp = v.grp AND a.term = v.term AND a.doc = '' WHERE v.doc <> '' GROUP BY ALL),
@@ -176,18 +172,7 @@ def R6_overfetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query", "doc", F.col("rank").cast("bigint").alias("rank"))
 
 
-def R11_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = tfidf_ranking(_passages(spark, sf_dir), "question_id", "evid_id", "context_text", _one_question(spark, sf_dir), "question", plain_terms)
-    best = top_k(ranked.withColumn("evid_id", F.col("evid_id").cast("bigint")), ["question_id"], "score", "evid_id", 2)
-    return best.select("question_id", "evid_id", F.col("rank").cast("bigint").alias("rank"))
-
-
-def R12_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw"), "result_id")
-    return pair_cosine(rows, "result_id", "question", "pred_answer_raw", plain_terms).select("result_id", F.round("cosine", 6).alias("cosine"))
-
-
-QUERIES |= {"R6_overfetched": R6_overfetched, "R11_tfidf_topk": R11_tfidf_topk, "R12_pair_cosine": R12_pair_cosine}
+QUERIES |= {"R6_overfetched": R6_overfetched}
 ORACLES["R6_overfetched"] = f"""WITH {_bm25(_DOCS, _ASKED, False)}, w AS ({_TOP.format('scored', 25)}), p AS (SELECT w.query, w.doc, {sql.official_words('d.text')} AS p, {sql.official_words('q.text')} AS h FROM w JOIN d ON d.doc = w.doc JOIN q ON q.query = w.query),
     s AS (SELECT query, doc, CASE WHEN len(h) = 0 THEN 0.0 ELSE {sql.overlap('h', 'p')} / len(h) END AS score, count(*) OVER (PARTITION BY query) AS n FROM p)
     SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN n > 5 THEN round(score, 9) END DESC NULLS LAST, doc) AS rank FROM s QUALIFY rank <= 5"""
@@ -198,7 +183,7 @@ ORACLES["R12_pair_cosine"] = f"""WITH r AS {sql.once('trajectories', 'result_id'
     s AS (SELECT result_id, CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / sqrt(sum(x * x) * sum(y * y)) ELSE 0.0 END AS c FROM w GROUP BY 1) SELECT r.result_id, round(coalesce(c, 0.0), 6) AS cosine FROM r LEFT JOIN s USING (result_id)"""
 
 
-# ---- TF-IDF with titles, stop words and words of any alphabet ---------------------------------
+# ---- TF-IDF -----------------------------------------------------------------------------------
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,27 +196,18 @@ def _titled_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.withColumn("evid_id", F.col("evid_id").cast("bigint"))
 
 
-def R10_tfidf_titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def R10_tfidf_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _titled_ranking(spark, sf_dir).select("question_id", "evid_id", F.round("score", 6).alias("score"))
 
 
-def R11_tfidf_titled_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def R11_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = top_k(_titled_ranking(spark, sf_dir), ["question_id"], "score", "evid_id", 2)
     return best.select("question_id", "evid_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-def R12_pair_cosine_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def R12_pair_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_of_each(table(spark, sf_dir, "trajectories", "result_id", "question", "pred_answer_raw"), "result_id")
     return pair_cosine(rows, "result_id", "question", "pred_answer_raw").select("result_id", F.round("cosine", 6).alias("cosine"))
 
 
-QUERIES |= {"R10_tfidf_titled": R10_tfidf_titled, "R11_tfidf_titled_topk": R11_tfidf_titled_topk, "R12_pair_cosine_words": R12_pair_cosine_words}
-_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_VECTOR_TOKENS = lambda x: rf"list_filter(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOPS}))"
-_TITLED_DOCS = f"""SELECT evid_id AS doc, question_id AS grp, coalesce(title, '') || '. ' || coalesce(context_text, '') AS text
-    FROM {sql.once('evidence_docs', 'evid_id', 'question_id', 'title', 'context_text')} WHERE question_id IS NOT NULL"""
-for _old, _new in (("R10_tfidf_ranking", "R10_tfidf_titled"), ("R11_tfidf_topk", "R11_tfidf_titled_topk")):
-    ORACLES[_new] = ORACLES[_old].replace(_GROUP_DOCS, _TITLED_DOCS).replace(_TFIDF_TOKENS("text"), _VECTOR_TOKENS("text"))
-ORACLES["R12_pair_cosine_words"] = ORACLES["R12_pair_cosine"]
-for _c in ("coalesce(question, '')", "coalesce(pred_answer_raw, '')"):
-    ORACLES["R12_pair_cosine_words"] = ORACLES["R12_pair_cosine_words"].replace(_TFIDF_TOKENS(_c), _VECTOR_TOKENS(_c))
+QUERIES |= {"R10_tfidf_ranking": R10_tfidf_ranking, "R11_tfidf_topk": R11_tfidf_topk, "R12_pair_cosine": R12_pair_cosine}

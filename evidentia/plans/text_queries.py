@@ -43,8 +43,7 @@ scalar("A23_cut_at_word", "evidence_docs", "evid_id", ["context_text"], lambda:
 
 _OPENERS = "|".join(text.YES_NO_OPENERS)
 _YES_NO_Q = rf"regexp_matches(lower(trim(question, ' ')), '^({_OPENERS})\b')"
-scalar("A17_yes_no_question", "eval_items", "item_id", ["text"], lambda: text.is_yes_no_question("text"), _YES_NO_Q.replace("question", "text"))
-scalar("A17_yes_no_question_examples", "examples", "example_id", ["question"], lambda: text.is_yes_no_question("question"), _YES_NO_Q)
+scalar("A17_yes_no_question", "examples", "example_id", ["question"], lambda: text.is_yes_no_question("question"), _YES_NO_Q)
 
 
 def _yes_or_no_sql(x: str) -> str:

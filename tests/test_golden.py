@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import parse, text
-from evidentia.operators import calibration, confidence, scoring, training
+from evidentia.operators import calibration, confidence, retrieval, scoring, training
 from evidentia.operators.aggregate import bucket, tool_needed
 from evidentia.operators.chunking import windows
 from evidentia.operators.retrieval import Bm25Index
@@ -110,6 +110,21 @@ def test_nvc(spark):
     assert {r.ex: r.nvc for r in confidence.nvc(c, pairs).collect()}[1] == pytest.approx(0.675, abs=1e-8)
 
 
+def test_nvc_stops_at_padding(spark):
+    c = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.5), (1, 2, -1.0), (1, 3, 0.4)], "ex int, j int, ptrue double")
+    pairs = spark.createDataFrame([(1, i, j, 0.0, 1.0) for i in range(4) for j in range(4) if i != j], "ex int, i int, j int, entail double, contra double")
+    assert confidence.nvc(c, pairs, 0.0, sentinel=True).first().nvc == pytest.approx(0.9 / 1.4)  # what follows the padding does not count
+    assert confidence.nvc(c, pairs, 0.0).first().nvc == pytest.approx(0.9 / 1.8)
+
+
+def test_vector_cosine(spark):
+    side = lambda *ws: strings(*ws)
+    one = math.log(1.5) + 1
+    assert value(spark, retrieval.vector_cosine(side("a", "a", "b"), side("a", "c"))) == pytest.approx(2 / math.sqrt((4 + one**2) * (1 + one**2)))
+    assert value(spark, retrieval.vector_cosine(side("a"), side("a", "a"))) == pytest.approx(1.0)
+    assert value(spark, retrieval.vector_cosine(side("a"), side())) == 0.0 and value(spark, retrieval.vector_cosine(side("a"), side("b"))) == 0.0
+
+
 def test_confidence_parts(spark):
     assert value(spark, confidence.self_consistency(F.array(*map(F.lit, [1.0, 0.95, 0.9, 0.2, 0.0])))) == 0.5
     logs = lambda *ps: F.array(*[F.lit(math.log(p)) for p in ps])

@@ -107,7 +107,11 @@ def test_graphs(spark):
     assert {tuple(r) for r in dag.closure(edges.where("id <> 'd'"), []).collect()} == {("b", "a"), ("c", "b"), ("c", "a")}
     assert {tuple(r) for r in dag.broken_references(nodes, edges, []).collect()} == {("d", "d", "self"), ("d", "x", "missing")}
     plan = spark.createDataFrame([("p", "1", "Who?", ["1", "2", "9"], 0), ("p", "2", "who", [], 1), ("p", "3", "Why?", ["1"], 2)], "p string, id string, q string, deps array<string>, o int")
-    assert {r.id: r.deps for r in dag.sound_plan(plan, "p", "id", "q", "deps", "o").collect()} == {"1": [], "3": ["1"]}
+    asked = spark.createDataFrame([("p", "All?"), ("none", "Alone?")], "p string, asked string")
+    sound = dag.sound_plan(plan, "p", "id", "q", "deps", "o", asked, "asked").collect()
+    assert {(r.p, r.id, r.q): r.deps for r in sound} == {("p", "1", "Who?"): [], ("p", "3", "Why?"): ["1"], ("none", "sg1", "Alone?"): []}
+    many = spark.createDataFrame([("p", f"n{i}", f"Q{i}?", [f"n{i + 1}", f"n{i - 1}"], i) for i in range(6)], plan.schema)
+    assert {r.id: r.deps for r in dag.sound_plan(many, "p", "id", "q", "deps", "o", asked.where("p = 'p'"), "asked").collect()} == {"n0": ["n1"], "n1": ["n2", "n0"], "n2": ["n3", "n1"], "n3": ["n2"]}
     one = spark.range(1).select(dag.clean_node_id(F.lit(" SG-1! ")).alias("i"), dag.referenced_nodes(F.lit("is {sg1} or sg2_a or sg1?")).alias("r"), dag.effective_question(F.lit(" "), F.lit("q")).alias("e")).first()
     assert (one.i, one.r, one.e) == ("sg_1", ["sg1", "sg2_a"], "q")
 
@@ -122,6 +126,26 @@ def test_agent_loop(spark):
     assert [(r.k, r.turn, r.action) for r in got] == [("a", 0, "retrieve"), ("a", 1, "retrieve"), ("a", 2, "commit"), ("b", 0, "retrieve"), ("b", 1, "retrieve"), ("b", 2, "retrieve"), ("c", 0, "decompose")]
 
 
+def test_agent_loop_guards(spark):
+    one = spark.createDataFrame([("a",)], "k string")
+    acts = lambda plan, **more: [r.action for r in policy.run_agent(one, "k", plan, 3, **more).orderBy("turn").collect()]
+    assert acts(lambda k, h: {"action": "refine"}) == ["retrieve", "refine", "refine"]
+    assert acts(lambda k, h: {"action": "refine"}, retrieve=lambda k, step: 0) == ["retrieve"] * 3
+    assert acts(lambda k, h: {"action": "commit", "answer": "The insufficient evidence."}) == ["retrieve", "retrieve", "commit"]
+    long = lambda k, h: {"action": "decompose" if len(h) > 1 else "retrieve", "answer": "x" * 400}
+    assert acts(long) == ["retrieve", "retrieve", "decompose"] and acts(long, most_tokens=50) == ["retrieve"] * 3
+
+
+def test_exhausted_and_guarded_actions(spark):
+    rows = [(True, 0.1, "Paris", "commit"), (True, 0.99, " ", "decompose"), (False, 0.95, "Insufficient evidence.", "decompose"), (False, 0.95, "Rome", "commit"), (False, 0.89, "Rome", "decompose"), (None, None, "Rome", "decompose"), (True, None, None, "decompose")]
+    df = spark.createDataFrame(rows, "s boolean, c double, a string, want string")
+    got = df.select(policy.exhausted_action(F.col("s"), F.col("c"), F.col("a")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    acts = spark.createDataFrame([("commit", "Insufficient, evidence!", False, True, "retrieve"), ("commit", "", True, True, "commit"), ("refine", "x", False, False, "retrieve"), ("refine", "x", True, True, "refine"), ("decompose", "", False, False, "decompose")], "t string, a string, last boolean, hits boolean, want string")
+    got = acts.select(policy.guarded_action(F.col("t"), F.col("a"), F.col("last"), F.col("hits")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_scorers(spark):
     scorers.register("model", scorers.model_scorer(lambda: lambda ps, hs: [float(h in p) for p, h in zip(ps, hs)]))
     row = spark.createDataFrame([("a b c", "b c")], "p string, h string").select(scorers.scorer("model")(F.col("p"), F.col("h")).alias("m"), scorers.scorer("coverage")(F.col("p"), F.col("h")).alias("c")).first()
@@ -131,11 +155,17 @@ def test_scorers(spark):
 
 
 def test_distractors(spark):
-    rows = [(1, "a", 0, 0.1, [1.0, 0.0]), (1, "b", 1, 0.1, [0.99, 0.01]), (1, "c", 2, 0.9, [0.0, 1.0]), (1, "d", 3, 0.2, [0.0, 1.0])]
-    df = spark.createDataFrame(rows, "ex int, t string, place int, e double, v array<double>")
-    assert [r.t for r in confidence.semantic_distractors(df, "ex", "t", "place", "e", "v").orderBy("place").collect()] == ["a", "d"]
-    best = confidence.shortest_equal_beam(df, "ex", "t", "e").first()
-    assert best.t == "c"
+    rows = [(1, "Old Mill", 0), (1, "the old mill", 1), (1, "river bank", 2), (1, "river bank and the bridge", 3), (1, "river bank river bank", 4), (1, "bridge", 5), (2, "alone", 0), (3, "x", 0), (3, "quay", 1)]
+    df = spark.createDataFrame(rows, "ex int, t string, place int")
+    got = confidence.semantic_distractors(df, "ex", "t", "place", scorers.scorer("coverage")).orderBy("ex", "place").collect()
+    # 1 says what the answer says; 4 has the vector of 2; 3 entails 2 and 5, but not the other way round
+    assert [(r.ex, r.t) for r in got] == [(1, "river bank"), (1, "river bank and the bridge"), (1, "bridge"), (3, "quay")]
+    never = lambda p, h: F.lit(0.0)
+    assert [r.place for r in confidence.semantic_distractors(df.where("ex = 1"), "ex", "t", "place", never).orderBy("place").collect()] == [1, 2, 3, 5]
+    assert confidence.semantic_distractors(df.limit(0), "ex", "t", "place", never).count() == 0
+    beams = df.withColumn("e", F.when(F.col("place") == 2, 0.9).otherwise(0.1))
+    assert confidence.shortest_equal_beam(beams, "ex", "t", "e").first().t == "river bank"
+
 
 
 def test_pareto_keeps_one(spark):

@@ -38,9 +38,9 @@ def test_safe_casts_read_every_line(spark, tmp_path):
         c = (c or "").strip()
         return int(c) if re.fullmatch(r"[+-]?[0-9]+", c) and -(2**31) <= int(c) < 2**31 else 0
 
-    got, want = both(spark, folder, QUERIES["P22_safe_casts_all"], ORACLES["P22_safe_casts_all"])
+    got, want = both(spark, folder, QUERIES["P22_safe_casts"], ORACLES["P22_safe_casts"])
     assert got == want
-    assert {r.raw_id: r.n for r in QUERIES["P22_safe_casts_all"](spark, folder).collect()} == {i: cast(c) for i, c in enumerate([*cells, None])}
+    assert {r.raw_id: r.n for r in QUERIES["P22_safe_casts"](spark, folder).collect()} == {i: cast(c) for i, c in enumerate([*cells, None])}
 
 
 def test_tfidf_reads_titles_and_words_of_any_alphabet_without_stop_words(spark, tmp_path):
@@ -48,14 +48,14 @@ def test_tfidf_reads_titles_and_words_of_any_alphabet_without_stop_words(spark,
     asked = {"example_id": [1], "question_id": ["q"], "question": ["Which of the islands is São Tomé?"]}
     runs = {"result_id": [1, 2, 3], "question": ["what is the São", "which of the", "São"], "pred_answer_raw": ["são", "which of the", "So"]}
     folder = tables(tmp_path, evidence_docs=docs, examples=asked, trajectories=runs)
-    for name in ("R10_tfidf_titled", "R11_tfidf_titled_topk", "R12_pair_cosine_words"):
+    for name in ("R10_tfidf_ranking", "R11_tfidf_topk", "R12_pair_cosine"):
         got, want = both(spark, folder, QUERIES[name], ORACLES[name])
         assert got == want
     # 'islands', 'são', 'tomé' are asked; of five terms in four texts, two are in two
     two, one = math.log(5 / 3) + 1, math.log(5 / 2) + 1
-    score = {r.evid_id: r.score for r in QUERIES["R10_tfidf_titled"](spark, folder).collect()}
+    score = {r.evid_id: r.score for r in QUERIES["R10_tfidf_ranking"](spark, folder).collect()}
     assert score == {1: round(2 * two * two / (2 * two * two + one * one), 6), 2: 0.0, 3: 0.0}
-    assert {r.result_id: r.cosine for r in QUERIES["R12_pair_cosine_words"](spark, folder).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert {r.result_id: r.cosine for r in QUERIES["R12_pair_cosine"](spark, folder).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
 
 
 def test_stop_words():
@@ -70,7 +70,7 @@ def test_contexts_of_unequal_lists_go_as_far_as_the_shorter(spark, tmp_path):
         {"example_id": 4, "question": "q", "answer": "a", "context": {"title": [], "sentences": [["z"]]}, "supporting_facts": None},
     ]
     folder = tables(tmp_path, examples=pa.Table.from_pylist(rows))
-    for name in ("P2_from_pairs_all", "P3_from_paragraphs_all"):
+    for name in ("P2_from_pairs", "P3_from_paragraphs"):
         got, want = both(spark, folder, QUERIES[name], ORACLES[name])
         assert got == want
         assert sorted(map(tuple, QUERIES[name](spark, folder).collect())) == [(1, 0, "T", "s1 s2"), (2, 0, "V", "x")]
@@ -84,9 +84,9 @@ def test_agent_loop_asks_every_question_of_the_examples(spark, tmp_path):
 
 def test_yes_no_questions_of_the_examples(spark, tmp_path):
     folder = tables(tmp_path, examples={"example_id": [1, 2, 3, 4], "question": ["  Is it so?", "Which is it?", None, ""]})
-    got, want = both(spark, folder, QUERIES["A17_yes_no_question_examples"], ORACLES["A17_yes_no_question_examples"])
+    got, want = both(spark, folder, QUERIES["A17_yes_no_question"], ORACLES["A17_yes_no_question"])
     assert got == want
-    assert {r.example_id: r.out for r in QUERIES["A17_yes_no_question_examples"](spark, folder).collect()} == {1: True, 2: False, 3: None, 4: False}
+    assert {r.example_id: r.out for r in QUERIES["A17_yes_no_question"](spark, folder).collect()} == {1: True, 2: False, 3: None, 4: False}
 
 
 def test_accepted_children_of_planned_nodes(spark):
