@@ -4,22 +4,27 @@ Five defects are told apart: ``empty``, ``truncated``, ``refusal``, ``copy`` of
 ``other_language``. The classifier is trained where it is used: a bounded sample of the pairs
 (about ``sample_rows`` of each table, by a hash of their key) is taken as sound and spoilt on
 purpose: cut at a random place, replaced by the question in a frame, by a refusal, by another
-language, or by nothing; sound examples are also varied (small letters, no final stop, question
-repeated before the answer, and swapped between pairs, which is none of the five). As the sample
-has true defects in it, a first model drops those it finds and a second one is fitted without
-them. Each label's threshold is calibrated on synthetic pairs held back from training.
+language, or by nothing, some by two of these at once; sound examples are also varied (small
+letters, no final stop, question repeated before the answer, and swapped between pairs, which is
+none of the five). Wordings are composed from pieces (``phrases``), foreign sentences from a
+language's function words and made-up words. As the sample has true defects in it, a first model
+drops those it finds and a second one is fitted without them. Each label's threshold is calibrated
+by a model of its own, on pairs held back from it and spoilt with wordings and languages that it has
+not seen; the model in use is then fitted on all of them.
 
 Features of a response: n-grams of its sentences' words, where words outside the sample's common
 vocabulary are masked; its last words; and of the pair: which words the response adds to the
-question, whether its last word is the beginning of a word of the pair, what is left open, how
-many function words are English. A sentence's share of the scores depends on the masked sentence
-alone and is remembered, so scoring costs little more than masking. All rows of all tables are
-scored, whole, in map-only passes.
+question and where, whether its last word is the beginning of a word of the pair, what is left
+open, how many function words are English, how many words and letters are strange, and whether it
+denies that something is known or said. A sentence's share of the scores depends on the masked
+sentence alone and is remembered, so scoring costs little more than masking. All rows of all tables
+are scored, whole, in map-only passes.
 
 Defined results: a null response is empty; a null question makes pair features vanish, nothing
-else; a complete action object is judged by its reason, anything else as a whole; a pair has one
-defect, that of the greatest margin; re-delivered rows count once, rows without key not at all;
-an empty table gives an empty result, and where all are empty nothing is fitted.
+else; a complete action object is judged by its reason, anything else as a whole; ``defects`` names
+all defects of a pair, the greatest margin first, and ``defect`` that one; re-delivered rows count
+once, rows without key not at all; an empty table gives an empty result, and where all are empty
+nothing is fitted.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.llm import phrases
 from evidentia.llm.language import LANGS, SEED
 from evidentia.session import bounded_sample, first_of_each, ship_package, spread
 
@@ -45,59 +51,36 @@ LABELS = ("empty", "truncated", "refusal", "copy", "other_language")
 BITS = 15
 SAMPLE_ROWS = 1500
 #: Sampled rows that the first model gives a higher score for any defect are no training examples.
-CLEAN_BELOW = -0.8
+CLEAN_BELOW = -1.2
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[^\w\s]")
+_MASKED = re.compile(r"\x02|" + _TOKEN.pattern)
+_WRAPPED = re.compile(r"(?:^|:)[\s*]*(?:\[[^\[\]]*\]|<[^<>]*>|\([^()]*\)|\{[^{}]*\})[\s*]*$")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=\S)|\n+")
 _QUOTED = re.compile(r"[\"“][^\"“”]{1,80}[\"”]")
 _FENCE = re.compile(r"^\s*```[a-z]*\s*|\s*```\s*$", re.I)
+_SMALL = re.compile(r"(?<![^\W\d_'’])[^\W\dA-ZÀ-Þ_]{2,}")
+_WORD_SMALL = re.compile(r"(?<![^\W\d_'’-])[^\W\dA-ZÀ-Þ_][^\W\d_]*(?:['’-][^\W\d_]+)*")
+_NAME = re.compile(r"(?<=[^.!?] )[A-ZÀ-Þ][^\W\d_]{2,}")
 _ENGLISH = frozenset(SEED["en"].split())
 _OTHERS = frozenset(w for code in LANGS[1:] for w in SEED[code].split() if len(w) > 1) - _ENGLISH
 _FRAME = frozenset("question answer the is asked you to find out i need my response final so here it".split())
 
-_FRAME_ONLY = frozenset("the final answer response is a reply".split())
+_FRAME_ONLY = frozenset("the final answer response is a reply my result output so text".split())
 _NOTHING = frozenset(("", "null", "none", "n/a", "na", "nan", "nil", "undefined", "unknown", "_", "empty", "/", "//"))
 
-# Frames, refusals, placeholders and foreign sentences from which training pairs are made.
-COPIES = (
-    "{q}", "{q} {q}", '"{q}"', "Question: {q}", "The question is: {q}", "You asked: {q}", "To find out: {q}", "I need to answer: {q}",
-    "> {q}", "Answer: {q}", "{q}...", "Q: {q}", "You want to know: {q}", "**{q}**", "The user asks: {q}",
-)
-REFUSALS = (
-    "I'm sorry, but I can't help with that question.", "I apologize, but I cannot answer this.", "I am unable to answer this based on the given passages.",
-    "I cannot answer", "Sorry, I cannot provide an answer here.", "As an AI language model, I do not have access to that information.",
-    "No answer can be given without further context.", "I must decline to respond to this request.", "I won't speculate about this person.",
-    "Insufficient evidence.", "insufficient evidence", "Unable to determine from context", "Unfortunately, there is not enough information in the passages to answer.",
-    "It is not possible for me to determine the answer.", "The passages do not say, so I would rather not answer.", "I don't know who that would be.",
-    "I do not know.", "That is something I'm not comfortable answering.", "I apologize, however answering would require information I lack.",
-    "I can't assist with that.", "The answer cannot be determined from the given context.", "I have no information about this.", "I'm not able to say.",
-    "I refuse to answer.", "There is no way to tell from the passages.", "The context does not contain the answer.", "I'd prefer not to answer this question.",
-    "My apologies, I cannot help.", "I am not sure and cannot give an answer.", "Cannot be answered with the information provided.", "cannot answer",
-)
-TAILS = ("", "", "", " Please consult another source.", " The question concerns {n}.", " Passages on {n} might help.", " I hope you understand.", " Please ask about {n} again.")
-EMPTY = (
-    "", " ", "\n", "...", "…", "-", "--", "null", "None", "N/A", "n/a", "nan", '""', "''", "{}", "[]", "<answer></answer>", "**Answer:** ", "Answer:", "Answer: ",
-    'Answer: ""', "The answer:", "Final answer:", "​", ".", "?", "undefined", "```\n```", "<|endoftext|>", "()", "_", "*", "A:", "The answer is:",
-)
-FOREIGN = {
-    "de": ("Die Antwort lautet {n}, weil die alte Mühle laut dem Abschnitt in {n} steht.", "Das war {n}, und zwar im Jahr {y}.", "Ich bin mir sicher, dass {n} gemeint ist, denn beide Quellen nennen {n}.", "Die Belege sind noch zu schwach, deshalb suche ich weiter nach {n}.", "Es gibt keinen Hinweis auf {n}, also brauche ich eine weitere Quelle."),
-    "fr": ("La réponse est {n}, car le vieux moulin se trouve à {n} selon le passage.", "C'était {n}, au cours de l'année {y}.", "Je suis certain qu'il s'agit de {n}, puisque les deux sources citent {n}.", "Les preuves sont encore trop faibles, je cherche donc d'autres passages sur {n}.", "Il n'y a aucune indication sur {n}, il me faut donc une autre source."),
-    "es": ("La respuesta es {n}, porque el viejo molino está en {n} según el pasaje.", "Fue {n}, durante el año {y}.", "Estoy seguro de que se trata de {n}, ya que las dos fuentes nombran {n}.", "Las pruebas todavía son débiles, por eso busco más pasajes sobre {n}.", "No hay ninguna indicación sobre {n}, así que necesito otra fuente."),
-    "it": ("La risposta è {n}, perché il vecchio mulino si trova a {n} secondo il brano.", "È stato {n}, nel corso dell'anno {y}.", "Sono sicuro che si tratta di {n}, dato che le due fonti parlano di {n}.", "Le prove sono ancora troppo deboli, quindi cerco altri brani su {n}.", "Non c'è alcuna indicazione su {n}, quindi mi serve un'altra fonte."),
-    "pt": ("A resposta é {n}, porque o velho moinho fica em {n} segundo a passagem.", "Foi {n}, durante o ano de {y}.", "Tenho a certeza de que é {n}, pois as duas fontes falam de {n}.", "As provas ainda são fracas, por isso procuro mais passagens sobre {n}.", "Não há nenhuma indicação sobre {n}, por isso preciso de outra fonte."),
-    "nl": ("Het antwoord is {n}, omdat de oude molen volgens de passage in {n} staat.", "Dat was {n}, in de loop van het jaar {y}.", "Ik weet zeker dat het om {n} gaat, want beide bronnen noemen {n}.", "Het bewijs is nog te zwak, daarom zoek ik verder naar {n}.", "Er is geen aanwijzing over {n}, dus heb ik een andere bron nodig."),
-}
-
-_SPOKEN = frozenset(w for t in (*REFUSALS, *TAILS, *COPIES) for w in re.findall(r"[^\W\d_]+", t.lower()))
-_FOREIGN_WORDS = (
-    _OTHERS | {w for group in FOREIGN.values() for t in group for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) > 1}
-) - _ENGLISH - _SPOKEN
+#: Languages whose sentences are held out of training.
+HELD_LANGS = ("pt", "nl")
+# Words that deny, words of knowing and saying, and names of what is read.
+_DENIES = frozenset("not no never none nothing nobody neither nor cannot unable without lack lacks lacking refuse decline insufficient impossible unknown unclear unavailable unanswered unanswerable silent missing rather".split())
+_KNOWS = frozenset("answer answered answering answers say said says tell told know known knows determine determined find found provide provided help respond response decide settle comment discuss idea clue sure certain speculate information data evidence detail enough conclusion".split())
+_READS = frozenset("passage passages context document documents text source sources evidence material information excerpts".split())
+_SELVES = frozenset("i we me my assistant model".split())
 
 
-def tongues(response: str) -> tuple[int, int]:
-    """How many words, quoted titles aside, are English function words, and known foreign words."""
-    said = _words(_QUOTED.sub(" ", response))
-    return sum(w in _ENGLISH for w in said), sum(w in _FOREIGN_WORDS for w in said)
+def tongues(said: Sequence[str]) -> tuple[int, int]:
+    """How many words are English function words, and foreign ones."""
+    return len([w for w in said if w in _ENGLISH]), len([w for w in said if w in _OTHERS])
 
 
 def judged_text(target: str | None) -> str | None:
@@ -133,8 +116,17 @@ def _hash(kind: str, *parts: str) -> int:
     return zlib.crc32("\x1f".join((kind, *parts)).encode()) & ((1 << BITS) - 1)
 
 
+_RUN = re.compile(r"[^\W_]+")
+
+
 def _words(text: str | None) -> list[str]:
-    return [m.group().lower() for m in re.finditer(r"[^\W_]+", text or "")]
+    return _RUN.findall(text.lower()) if text else []
+
+
+@lru_cache(1 << 12)
+def _question_words(question: str | None) -> tuple[list[str], Counter]:
+    words = _words(question)
+    return words, Counter(words)
 
 
 class Features:
@@ -142,27 +134,42 @@ class Features:
 
     def __init__(self, vocabulary: frozenset[str]):
         self.vocabulary = vocabulary
+        self._memo: dict[str, tuple[str, str]] = {}
+
+    def __getstate__(self):
+        return self.vocabulary
+
+    def __setstate__(self, state):
+        self.__init__(state)
+
+    def _tags(self, w: str) -> tuple[str, str]:
+        """The mask of a word inside a cased sentence, and elsewhere."""
+        low = w.lower()
+        if w == "\x02":
+            tag = "<T>"
+        elif w[0].isdigit():
+            tag = f"<{min(len(w), 5)}>"
+        elif not w[0].isalpha():
+            tag = w
+        elif w[0].isupper():
+            return ("<N>" if low not in ("i", "i'm", "i'd", "i've", "ai") else low), (low if low in self.vocabulary else "<N>")
+        else:
+            return (low, low) if low in self.vocabulary else ("<u>", "<N>")
+        return tag, tag
 
     def mask(self, sentence: str, cased: bool) -> list[str]:
-        text = _QUOTED.sub(" \x02 ", sentence)
-        out: list[str] = []
-        for m in re.finditer(r"\x02|" + _TOKEN.pattern, text):
-            w = m.group()
-            low = w.lower()
-            if w == "\x02":
-                tag = "<T>"
-            elif w[0].isdigit():
-                tag = f"<{min(len(w), 5)}>"
-            elif not w[0].isalpha():
-                tag = w
-            elif cased and w[0].isupper() and out:
-                tag = "<N>" if low not in ("i", "i'm", "i'd", "i've", "ai") else low
-            elif low in self.vocabulary:
-                tag = low
-            elif w[0].isupper() or not cased:
-                tag = "<N>"
+        text = _QUOTED.sub(" \x02 ", sentence) if '"' in sentence or "“" in sentence else sentence
+        memo, out = self._memo, []
+        for w in _MASKED.findall(text):
+            tags = memo.get(w)
+            if tags is None:
+                tags = self._tags(w)
+                if len(memo) < 100_000:
+                    memo[w] = tags
+            if not cased or (not out and w[0].isupper()):
+                tag = tags[1]  # at its beginning a capital tells nothing
             else:
-                tag = "<u>"
+                tag = tags[0]
             if tag == "<N>" and out and out[-1] == "<N>":
                 continue
             out.append(tag)
@@ -186,45 +193,48 @@ class Features:
         tail = ["^", *tokens[-4:]] if len(tokens) < 4 else list(tokens[-4:])
         return [_hash("e", *tail[-n:]) for n in range(1, len(tail) + 1)] + [_hash("stop", str(bool(tokens) and tokens[-1] in ".!?…"))]
 
-    @staticmethod
-    def pair(question: str | None, response: str) -> list[int]:
-        q, r = _words(question), _words(response)
+    def pair(self, question: str | None, response: str) -> list[int]:
+        (q, have), r = _question_words(question), _words(response)
         out = [_hash("n", str(min(len(r), 4)))]
-        if not any(c.isalpha() for c in response):
+        if not any(map(str.isalpha, response)):
             out.append(_hash("wordless"))
-        bare = re.sub(r"[^\w\s/]", " ", re.sub(r"</?\w+>|```\w*", " ", response)).strip().lower()
-        if bare in _NOTHING:
+        bare = re.sub(r"[^\w\s/]", " ", re.sub(r"</?\w+>|```\w*", " ", response) if "<" in response or "`" in response else response).strip().lower()
+        if len(r) < 8 and " ".join(w for w in bare.split() if w not in _FRAME_ONLY) in _NOTHING:
             out.append(_hash("placeholder"))
         elif r and all(w in _FRAME_ONLY for w in r):
             out.append(_hash("frame-only"))
-        have = Counter(q)
-        added = list((Counter(r) - have).elements())
-        core = [w for w in added if w not in _FRAME]
-        covered = sum((have & Counter(r)).values()) / len(q) if q else 0.0
-        rest, repeats = r, 0
-        if q and len(q) <= len(r):
-            rest, i = [], 0
+        if len(r) < 6 and _WRAPPED.search(response):
+            out.append(_hash("wrapped"))
+        open_ones, core = dict(have), []
+        for w in r:
+            if open_ones.get(w, 0):
+                open_ones[w] -= 1
+            elif w not in _FRAME:
+                core.append(w)
+        covered = 1.0 - sum(open_ones.values()) / len(q) if q else 0.0
+        before, after, repeats = r, [], 0
+        if q and len(q) <= len(r) and q[0] in r:
+            before, after, i = [], [], 0
             while i < len(r):
                 if r[i] == q[0] and r[i : i + len(q)] == q:
                     i += len(q)
                     repeats += 1
                 else:
-                    rest.append(r[i])
+                    (after if repeats else before).append(r[i])
                     i += 1
-        left = [w for w in rest if w not in _FRAME] if repeats else core
+        left = [w for w in before + after if w not in _FRAME] if repeats else core
         out.append(_hash("cover", str(int(covered * 5)), str(min(len(left), 3)), str(min(repeats, 2))))
         out.append(_hash("added", str(min(len(core), 6))))
-        if repeats and not left:
-            out.append(_hash("only-question"))
-        if repeats and left:
-            out.append(_hash("question-and-more"))
+        if repeats:
+            out.append(_hash("question-and-more" if left else "only-question"))
+            # What stands around the question: known words are a frame, strange ones, numbers and yes or no an answer.
+            tells = [w for w in before + after if w[0].isdigit() or w in ("yes", "no") or w not in self.vocabulary]
+            out.append(_hash("around", "tells" if tells else "frame", str(min(len(before), 4)), str(min(len(after), 3))))
         if r:
             last = r[-1]
-            before = set(r[:-1])
-            begins = lambda words: any(w != last and w.startswith(last) for w in words)
-            if last not in have and begins(have):
+            if last not in have and any([w.startswith(last) for w in have]):
                 out.append(_hash("begins-question-word"))
-            if last not in before and len(last) > 1 and begins(before):
+            if len(last) > 1 and r.count(last) == 1 and any([w.startswith(last) for w in r[:-1]]):
                 out.append(_hash("begins-own-word"))
         stripped = response.rstrip()
         if stripped.count('"') % 2 or stripped.count("“") > stripped.count("”"):
@@ -235,15 +245,27 @@ class Features:
             out.append(_hash("open-object"))
         if stripped and stripped[-1] in ",;:(\"'“[{":
             out.append(_hash("ends-open", stripped[-1]))
-        english, other = tongues(response)
-        out.append(_hash("tongue", str(int(5 * english / max(len(r), 1))), str(int(5 * other / max(len(r), 1)))))
+        said = _words(_QUOTED.sub(" ", response)) if '"' in response or "“" in response else r
+        english, other = tongues(said)
+        out.append(_hash("tongue", str(int(5 * english / max(len(said), 1))), str(int(5 * other / max(len(said), 1)))))
         out.append(_hash("foreign" if other > english and other > 1 else "native"))
+        small = [w for w in _SMALL.findall(response) if w not in have]
+        strange = len([w for w in small if w not in self.vocabulary])
+        out.append(_hash("strange", str(int(4 * strange / max(len(small), 1))), str(min(len(small), 4)), str(min(english, 2))))
+        if not response.isascii():
+            letters = [c for c in response if c.isalpha()]
+            out.append(_hash("letters", str(int(4 * sum(c > "\u024f" for c in letters) / max(len(letters), 1)))))
+        denies = len([w for w in r if w in _DENIES]) + response.count("n't") + response.count("n’t")
+        if denies:
+            known = set(r)
+            kinds = "".join("1" if known & group else "0" for group in (_KNOWS, _READS, _SELVES))
+            out += [_hash("denies", kinds), _hash("denies", kinds, str(min(len(r) // 4, 4))), _hash("denies-share", str(min(int(20 * denies / len(r)) if r else 9, 6)))]
+            out.append(_hash("denies-names", str(min(len(_NAME.findall(response)), 2)), kinds))
         return out
 
     def parts(self, response: str) -> tuple[list[tuple[str, ...]], tuple[str, ...]]:
         """Masked sentences, and the last one."""
-        letters = [c for c in response if c.isalpha()]
-        cased = any(c.islower() for c in letters) and any(c.isupper() for c in letters)
+        cased = response != response.lower() and response != response.upper()
         masked = [tuple(self.mask(s, cased)) for s in _SENTENCE.split(response) if s and s.strip()]
         return masked, masked[-1] if masked else ()
 
@@ -262,10 +284,9 @@ _SUSPECT = frozenset(
 )
 
 
-def plausible(question: str | None, response: str) -> bool:
+def plausible(features: Features, question: str | None, response: str) -> bool:
     """May the pair stand as a sound example? Not where its pair features alone speak against it."""
-    numbers = set(Features.pair(question, response))
-    return not numbers & _SUSPECT
+    return _SUSPECT.isdisjoint(features.pair(question, response))
 
 
 class PairClassifier:
@@ -298,50 +319,72 @@ class PairClassifier:
             total = total + self._part("s", s)
         return total
 
-    def defect(self, question: str | None, response: str | None) -> str | None:
+    def defects(self, question: str | None, response: str | None) -> list[str]:
+        """All defects, that of the greatest margin first."""
         if response is None:
-            return "empty"
+            return ["empty"]
         margin = self.scores(question, response) - self.thresholds
-        best = int(np.argmax(margin))
-        return LABELS[best] if margin[best] > 0 else None
+        return [LABELS[j] for j in np.argsort(-margin, kind="stable") if margin[j] > 0]
+
+    def defect(self, question: str | None, response: str | None) -> str | None:
+        return next(iter(self.defects(question, response)), None)
 
 
-def synthetic_pairs(sample: Sequence[tuple[str | None, str]], seed: int = 7) -> list[tuple[str | None, str, int]]:
-    """(question, response, label or -1) made of sound pairs."""
+def foreign_sentence(rng: random.Random, english: Sequence[str], names: Sequence[str], held: bool | None) -> str:
+    """Function words of a language, words made up of English ones, and names; or a language nobody knows."""
+    own = SEED[rng.choice([c for c in LANGS[1:] if held is None or (c in HELD_LANGS) == held])].split()
+    out = []
+    for _ in range(rng.randint(4, 14)):
+        x = rng.random()
+        out.append(rng.choice(own) if x < 0.5 else rng.choice(names) if x > 0.85 else phrases.disguised(rng, "x " + rng.choice(english))[2:])
+    text = " ".join(out)
+    if rng.random() < 0.35:
+        text = phrases.disguised(rng, text)
+    return text[:1].upper() + text[1:] + rng.choice((".", ".", ".", "", "!"))
+
+
+def synthetic_pairs(sample: Sequence[tuple[str | None, str]], seed: int = 7, held: bool | None = False) -> list[tuple[str | None, str, tuple[int, ...]]]:
+    """(question, response, labels) made of sound pairs; ``held`` takes held-out wordings and languages only, None all."""
     rng = random.Random(seed)
-    out: list[tuple[str | None, str, int]] = []
+    out: list[tuple[str | None, str, tuple[int, ...]]] = []
     names = [m for q, _ in sample if q for m in re.findall(r"(?<!^)\b[A-ZÀ-Þ][^\W\d_]{3,}(?: [A-ZÀ-Þ][^\W\d_]{3,})?", q)] or ["Ada Lovelace"]
+    english = sorted({w for _, r in sample for w in _SMALL.findall(r) if len(w) > 3} | {"passage", "answer", "evidence", "mention"})
 
     def fill(text: str, q: str | None) -> str:
         own = re.findall(r"\b[A-ZÀ-Þ][^\W\d_]{4,}", (q or "")[1:])
         while "{n}" in text:
             text = text.replace("{n}", rng.choice(own) if own and rng.random() < 0.7 else rng.choice(names), 1)
-        return text.replace("{y}", str(rng.randint(1700, 2020)))
+        return text
 
     def vary(text: str) -> str:
         x = rng.random()
         return text.lower() if x < 0.15 else text.upper() if x < 0.18 else text
 
+    def foreign() -> str:
+        return " ".join(foreign_sentence(rng, english, names, held) for _ in range(rng.choice((1, 1, 2))))
+
     for q, r in sample:
         text = r.strip()
         if not text:
             continue
-        out.append((q, r, -1))
+        out.append((q, r, ()))
         x = rng.random()
         if x < 0.12 and text[-1:] in ".!":
-            out.append((q, text[:-1], -1))
+            out.append((q, text[:-1], ()))
         elif x < 0.22:
-            out.append((q, vary(text), -1))
+            out.append((q, vary(text), ()))
         elif x < 0.30 and q:
-            out.append((q, f"{q} {text}", -1))
+            out.append((q, f"{q} {text}", ()))
         elif x < 0.34 and q:
-            out.append((q, f"Question: {q} Answer: {text}", -1))
+            out.append((q, f"Question: {q} Answer: {text}", ()))
         elif x < 0.44:
-            out.append((q, rng.choice(sample)[1], -1))  # swapped
+            out.append((q, rng.choice(sample)[1], ()))  # swapped
         elif x < 0.66 and (own := re.findall(r"\b[A-ZÀ-Þ][^\W\d_]{4,}(?: [A-ZÀ-Þ][^\W\d_]{4,})?", (q or "")[1:])):
             other = rng.choice(names).split()[0]
             name = rng.choice((rng.choice(own), rng.choice(own), other, f"{other} {rng.choice(names)}", f"{other} O'{rng.choice(names).split()[0]}", str(rng.randint(1, 2020)), "yes"))
-            out.append((q, rng.choice((name, name, f"Answer: {name}", f"Final answer: {name}", f"{name}.", f"{q} {name}", f"{q} {name}", f"{q} Answer: {name}")), -1))
+            out.append((q, rng.choice((name, name, f"Answer: {name}", f"Final answer: {name}", f"{name}.", f"{q} {name}", f"{q} {name}", f"{q} Answer: {name}")), ()))
+        if rng.random() < 0.3:
+            out.append((q, phrases.sound(rng, names, held), ()))
         # Cut inside: neither at a sentence's end nor before its stop.
         for _ in range(2):
             cut = rng.randint(1, max(1, len(text) - 2)) if len(text) > 3 else 0
@@ -360,45 +403,43 @@ def synthetic_pairs(sample: Sequence[tuple[str | None, str]], seed: int = 7) ->
             known = len(last) > 2 and any(w != last and w.startswith(last) for w in (q or "").split())
             said = re.search(r"(?:^|\s)[a-zß-ÿ]", body) is not None or body[-1:] in "\"("
             if len(body) >= 2 and not at_end and (known or (more and said)):
-                out.append((q, piece, 1))
-        if rng.random() < 0.5:
-            out.append((q, vary(fill(rng.choice(REFUSALS) + rng.choice(TAILS), q)), 2))
+                out.append((q, piece, (1,)))
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            out.append((q, vary(fill(phrases.refusal(rng, held), q)), (2,)))
         if rng.random() < 0.35 and q:
-            copy = rng.choice(COPIES).format(q=q if rng.random() < 0.7 else rng.choice((q.rstrip("?") + ".", q.rstrip("?"), q[:1].lower() + q[1:], q.rstrip("?") + "...")))
-            out.append((q, vary(copy), 3))
-        if rng.random() < 0.5:
-            tongue = rng.choice(LANGS[1:])
-            some = rng.sample(FOREIGN[tongue], rng.choice((1, 1, 2)))
-            # Words that the sentences above lack are met as unknown ones.
-            strange = [w[::-1] if w.islower() and w not in _OTHERS and rng.random() < 0.4 else w for w in " ".join(some).split()]
-            out.append((q, vary(fill(" ".join(strange), q)), 4))
+            out.append((q, vary(phrases.copy_of(rng, q, held)), (3,)))
+        if rng.random() < 0.55:
+            out.append((q, vary(foreign()), (4,)))
         if rng.random() < 0.3:
-            out.append((q, rng.choice(EMPTY), 0))
+            out.append((q, phrases.hollow(rng, held), (0,)))
         if rng.random() < 0.25:
             step = {"action": rng.choice(("commit", "retrieve", "refine", "decompose"))}
             if rng.random() < 0.6:
                 step[rng.choice(("query", "answer"))] = rng.choice(names)
             step |= {"analysis": rng.choice(sample)[1], "reason": text}
             frame = json.dumps(step, ensure_ascii=rng.random() < 0.3, indent=rng.choice((None, 1)))
-            out.append((q, frame[: rng.randint(12, len(frame) - 3)], 1))
+            out.append((q, frame[: rng.randint(12, len(frame) - 3)], (1,)))
+        if rng.random() < 0.06:  # two defects at once
+            part, label = rng.choice(((foreign(), 4), (fill(phrases.refusal(rng, held), q), 2)))
+            if len(words := part.split(" ")) > 5:
+                cut = " ".join(words[: rng.randint(4, len(words) - 1)])
+                out.append((q, cut + rng.choice((" (", " the", ",", ' "')), (label, 1)))
     return out
 
 
-def _fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 10, rate: float = 0.8, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def _fit(rows: list[list[int]], labels: Sequence[tuple[int, ...]], epochs: int = 8, rate: float = 0.8, seed: int = 3, size: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression for each label, by AdaGrad on mini-batches."""
     rng = np.random.default_rng(seed)
     weights = np.zeros((1 << BITS, len(LABELS)), np.float32)
     bias = np.full(len(LABELS), -2.0, np.float32)
     seen = np.full_like(weights, 1e-2)
     seen_bias = np.full_like(bias, 1e-2)
-    targets = np.zeros((len(rows), len(LABELS)), np.float32)
-    hit = np.flatnonzero(labels >= 0)
-    targets[hit, labels[hit]] = 1.0
+    targets = _targets(labels)
     flat = [np.array(r, np.int64) for r in rows]
     for _ in range(epochs):
         order = rng.permutation(len(rows))
-        for i in range(0, len(order), 128):
-            batch = order[i : i + 128]
+        for i in range(0, len(order), size):
+            batch = order[i : i + size]
             sizes = np.array([len(flat[b]) for b in batch])
             index = np.concatenate([flat[b] for b in batch])
             owner = np.repeat(np.arange(len(batch)), sizes)
@@ -416,37 +457,49 @@ def _fit(rows: list[list[int]], labels: np.ndarray, epochs: int = 10, rate: floa
     return weights, bias
 
 
-def train(sample: Sequence[tuple[str | None, str | None]], seed: int = 7) -> PairClassifier | None:
-    """A classifier from pairs of which most are sound."""
-    pairs = [(q, r) for q, r in sample if r and r.strip() and plausible(q, r)]
+def _targets(labels: Sequence[tuple[int, ...]]) -> np.ndarray:
+    out = np.zeros((len(labels), len(LABELS)), np.float32)
+    for i, of in enumerate(labels):
+        out[i, list(of)] = 1.0
+    return out
+
+
+def train(sample: Sequence[tuple[str | None, str | None]], seed: int = 7, held_out: bool = False) -> PairClassifier | None:
+    """A classifier from pairs of which most are sound; ``held_out`` gives the one that the thresholds
+    come from, which has not seen the held-out wordings and languages."""
+    pairs = [(q, r) for q, r in sample if r and r.strip()]
+    counts = Counter(w for _, r in pairs for w in {m.group() for m in _WORD_SMALL.finditer(r)})
+    base = {w for w, n in counts.items() if n >= max(3, len(pairs) // 200)}
+    features = Features(frozenset(base | phrases.spoken_words() | _ENGLISH | _OTHERS))
+    pairs = [(q, r) for q, r in pairs if plausible(features, q, r)]
     if not pairs:
         return None
-    counts = Counter(w for _, r in pairs for w in {m.group() for m in re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", r) if m.group()[0].islower()})
-    base = {w for w, n in counts.items() if n >= max(3, len(pairs) // 200)}
-    for text in (*REFUSALS, *TAILS, *COPIES, *(s for group in FOREIGN.values() for s in group)):
-        base |= {m.group().lower() for m in re.finditer(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", re.sub(r"\{.\}", "", text))}
-    features = Features(frozenset(base | _ENGLISH | _OTHERS))
-    model = None
-    for turn in range(2):
-        if model is not None:
-            pairs = [(q, r) for q, r in pairs if (model.scores(q, r) < CLEAN_BELOW).all()] or pairs
-        made = synthetic_pairs(pairs, seed + turn)
-        rows = [features.of(q, r) for q, r, _ in made]
-        labels = np.array([x for _, _, x in made])
-        held = np.arange(len(rows)) % 5 == 0
-        weights, bias = _fit([r for r, h in zip(rows, held, strict=True) if not h], labels[~held])
-        logits = np.array([bias + weights[r].sum(axis=0) for r, h in zip(rows, held, strict=True) if h])
-        model = PairClassifier(features, weights, bias, _calibrated(logits, labels[held]))
-    return model
-
-
-def _calibrated(logits: np.ndarray, labels: np.ndarray, slack: float = 0.004) -> np.ndarray:
+    # A first model, of a third of the pairs, finds true defects among the sample.
+    made = synthetic_pairs(pairs[::3], seed, held=None)
+    weights, bias = _fit([features.of(q, r) for q, r, _ in made], [x for *_, x in made], 5)
+    first = PairClassifier(features, weights, bias, np.zeros(len(LABELS), np.float32))
+    pairs = [(q, r) for q, r in pairs if (first.scores(q, r) < CLEAN_BELOW).all()] or pairs
+    # Thresholds: a model that has seen neither these pairs nor these wordings and languages.
+    kept = [p for i, p in enumerate(pairs) if i % 5] or pairs
+    made = synthetic_pairs(kept[::3], seed + 1)
+    weights, bias = _fit([features.of(q, r) for q, r, _ in made], [x for *_, x in made], 6)
+    unseen = synthetic_pairs(pairs[::5], seed + 2, held=True)
+    logits = np.array([bias + weights[features.of(q, r)].sum(axis=0) for q, r, _ in unseen])
+    thresholds = _calibrated(logits, _targets([x for *_, x in unseen]))
+    if held_out:
+        return PairClassifier(features, weights, bias, thresholds)
+    made = synthetic_pairs(pairs, seed + 3, held=None)
+    weights, bias = _fit([features.of(q, r) for q, r, _ in made], [x for *_, x in made])
+    return PairClassifier(features, weights, bias, thresholds)
+
+
+def _calibrated(logits: np.ndarray, targets: np.ndarray, slack: float = 0.004) -> np.ndarray:
     """For each label, of the thresholds with (nearly) the best F1 on held-back pairs the one nearest to 0."""
     out = np.zeros(len(LABELS), np.float32)
     for j in range(len(LABELS)):
         value = np.sort(logits[:, j])[::-1]
-        true = (labels[np.argsort(-logits[:, j])] == j).cumsum()
-        f1 = 2 * true / (np.arange(1, len(value) + 1) + max(1, (labels == j).sum()))
+        true = targets[np.argsort(-logits[:, j]), j].cumsum()
+        f1 = 2 * true / (np.arange(1, len(value) + 1) + max(1, targets[:, j].sum()))
         good = np.flatnonzero(f1 >= f1.max() - slack)
         below = np.append(value[1:], value[-1] - 1)
         middle = (value[good] + below[good]) / 2
@@ -490,7 +543,7 @@ def pair_defects(sources: dict[str, tuple[DataFrame, str, Column, Column]], samp
                 return pa.array(["empty" if not (r or "").strip() else None for _, r in both], pa.string())
             return pa.array([found.defect(q, r) for q, r in both], pa.string())
 
-        udf = F.arrow_udf(_typed(judge), T.StringType())
+        udf = F.arrow_udf(_typed(judge), T.StringType()).asNondeterministic()  # its filter must not be pushed below it and judge twice
         judged = spread(rows).select("row_id", udf("question", "response").alias("defect")).where(F.col("defect").isNotNull())
         part = first_of_each(judged, "row_id").select(F.lit(name).alias("tbl"), "row_id", "defect")
         out = part if out is None else out.unionByName(part)

@@ -1,6 +1,8 @@
 import itertools
 import random
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,15 +82,66 @@ def _sound(n, seed):
         yield q, r
 
 
-def test_held_out_accuracy():
-    model = train(list(_sound(600, 1)))
-    made = synthetic_pairs(list(_sound(300, 2)), seed=5)
-    right = total = 0
-    for q, r, label in made:
-        want = LABELS[label] if label >= 0 else None
-        total += 1
-        right += model.defect(q, r) == want
-    assert right / total > 0.95
+@pytest.fixture(scope="module")
+def pairs():
+    """Pairs of the test tables, true defects among them."""
+    turns = pq.read_table(f"{DATA.replace('0.001', '0.01')}/agent_turns.parquet", columns=["turn_id", "subquestion", "action"]).to_pylist()
+    runs = pq.read_table(f"{DATA.replace('0.001', '0.01')}/trajectories.parquet", columns=["result_id", "question", "pred_answer_raw"]).to_pylist()
+    return [(r["question"], r["pred_answer_raw"]) for r in runs] + [(t["subquestion"], (t["action"] or {}).get("reason")) for t in turns]
+
+
+def test_accuracy_on_held_out_wordings_and_languages(pairs):
+    model = train(pairs, held_out=True)
+    sound = [(q, r) for q, r in _sound(300, 2)]
+    made = synthetic_pairs(sound, seed=5, held=True)
+    right, total = Counter(), Counter()
+    for q, r, labels in made:
+        if len(labels) < 2:
+            want = LABELS[labels[0]] if labels else None
+            total[want] += 1
+            right[want] += want in model.defects(q, r) if want else not model.defects(q, r)
+    for label in LABELS:
+        assert total[label] > 30 and right[label] >= 0.9 * total[label], (label, right[label], total[label])
+
+
+#: Wordings that are in no list of the package and in no table.
+UNSEEN = {
+    "refusal": (
+        "I have nothing to go on here, so I will pass.", "This cannot be worked out from what I was given.", "Honestly, no clue.", "I'd rather leave this one unanswered.", "The material provided is silent on this matter.",
+        "We lack the data to settle this.", "My training does not let me respond to such queries.", "Answering would go beyond what I am permitted to do.", "There isn't sufficient detail available for a conclusion.",
+        "Can't say.", "That information is unavailable to me.", "I'm afraid I can't tell you that.", "It remains unclear from the text, so no answer is offered.", "I am not able to figure that out.",
+        "Without additional documents, no reply is possible.", "The records do not reveal the name.", "I must respectfully refuse.", "Regretfully I am unable to name the person.", "Not enough material to say.", "Nothing in the sources settles who that was.",
+    ),
+    "other_language": (
+        "Svaret finns i det andra stycket, där bron nämns tydligt.", "Odpowiedź brzmi Warszawa, ponieważ tekst wymienia to miasto.", "Ответ находится во втором отрывке.", "Vastaus löytyy toisesta kappaleesta, jossa silta mainitaan.",
+        "Cevap ikinci paragrafta açıkça belirtilmiştir.", "Răspunsul este podul vechi, pentru că pasajul îl amintește.", "Svaret er den gamle broen, fordi teksten sier det.", "De brug werd pas later gebouwd, zoals de tekst vermeldt.",
+        "A ponte foi construída mais tarde, como diz o texto.", "Le pont fut construit plus tard, d'après le texte.", "La réponse se trouve dans le deuxième passage.", "Die Brücke wurde später gebaut.", "A válasz a második bekezdésben található.",
+    ),
+    "copy": ("{q} {q} {q}", "Let me look at it: {q}", "We have been asked the following: {q}", "The prompt says: {q}", "Restated: {q}", "Well, {q}", "I wonder: {q}", "«{q}»", "Here goes: {q}", "It is asked: {q}"),
+    "empty": ("   \n\t ", "—", "{ }", "<response></response>", "```json\n```", "....", "[]\n", "?!", "<p></p>", "My answer:", "\u200b\u200b"),
+    "truncated": (
+        "The passage says that the old mill was sold to the", "Both passages agree on the date, but the second one gi", 'The title "A long wal', "The evidence points to Norvek because the cens", "The first passage gives the year, while the other one na",
+        "I will search again because the support for the ol", '{{"action": "retrieve", "query": "old mi', "The council asked Norvek to (", "Kelgrobel is named as the tenant, and the second passage conf", "Two beams disagree about the year, so the next quer",
+    ),
+    None: (
+        "Kelgrobel", "It was Kelgrobel, who sold the mill in 1790.", "The second passage names Kelgrobel as the owner.", "No.", "1790", "Kelgrobel, although one source disagrees.", "The first passage does not mention the mill, but the second names Kelgrobel.",
+        "I will search again for Norvek because the support is weak.", "Not Norvek but Kelgrobel.", "Kelgrobel, not Norvek",
+    ),
+}
+
+
+def test_unseen_wordings(pairs):
+    model = train(pairs)
+    q = "In which year did Kelgrobel, the tenant of Norvek, sell the old mill?"
+    for label, texts in UNSEEN.items():
+        got = [(t, model.defect(q, t.format(q=q) if "{q}" in t or "{{" in t else t)) for t in texts]
+        assert sum(g == label for _, g in got) >= 0.9 * len(texts), (label, [x for x in got if x[1] != label])
+
+
+def test_two_defects_at_once(pairs):
+    model = train(pairs)
+    cut = [model.defects("Who was Kelgrobel?", r) for r in ("Die Antwort steht in der alten Mühle von Norvek (", "I cannot answer this question based on the", "La réponse se trouve dans la ville et le")]
+    assert sum(len(d) > 1 and "truncated" in d for d in cut) >= 2
 
 
 def test_defect_examples():
