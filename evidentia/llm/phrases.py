@@ -16,8 +16,8 @@ from collections.abc import Sequence
 _PREFACE = ("", "", "", "", "Sorry, ", "Unfortunately, ", "I'm sorry, but ", "I apologize, but ", "I apologize, however ", "Honestly, ", "Regrettably, ", "I'm afraid ", "As an AI language model, ", "My apologies, ", "To be honest, ", "As an assistant, ")
 _SELF = ("I", "I", "I", "I", "we", "this assistant", "this model")
 _CANNOT = ("cannot", "can't", "am unable to", "am not able to", "could not", "do not know how to", "won't", "must decline to", "would rather not", "refuse to", "am not allowed to", "decline to", "prefer not to", "am not in a position to", "will not", "don't feel able to", "am not permitted to", "have no way to", "couldn't", "see no way to")
-_DO = ("answer", "help with", "respond to", "provide an answer to", "comment on", "determine", "give an answer to", "say anything about", "assist with", "speculate about", "resolve", "settle", "decide", "address", "work out", "reply to", "offer an answer to", "tell you", "identify", "discuss")
-_IT = ("this", "that question", "this request", "it", "the question", "this one", "your question", "this query", "that", "such questions")
+_DO = ("answer", "answer", "help with", "respond to", "provide an answer to", "comment on", "determine", "give an answer to", "say anything about", "assist with", "speculate about", "resolve", "settle", "decide", "address", "work out", "reply to", "offer an answer to", "tell you", "identify", "discuss")
+_IT = ("", "this", "that question", "this request", "it", "the question", "this one", "your question", "this query", "that", "such questions")
 _FOR = ("", "", "", "", " from the given passages", " based on the context", " with the information provided", " without more context", " without further information", " here", " based on the given passages", " at this point", " because the passages do not mention it", " since the evidence is missing", " as the sources are silent", ", sorry", " with what I was given")
 _SOURCES = ("The passages", "The context", "The documents", "The given text", "The evidence", "The sources", "The provided passages", "The material", "The excerpts", "The retrieved text")
 _SILENT = ("do not say", "does not contain the answer", "do not mention this", "does not give enough information", "provide no answer", "is silent on this", "contain nothing about it", "do not tell", "offers no answer", "leave this open", "lacks the needed information", "says nothing of the kind")
@@ -64,6 +64,7 @@ _REFUSALS: tuple[tuple[tuple[str, ...], ...], ...] = (
     (_PREFACE, _SELF, (" ",), _CANNOT, (" ",), _DO, (" ",), _IT, _FOR),
     (_PREFACE, _SELF, (" ",), _CANNOT, (" ",), _DO, (" ",), _IT, _FOR),
     (_PREFACE, _SOURCES, (" ",), _SILENT),
+    (_SOURCES, (" ",), _SILENT, (", so ", " and ", ", hence ", "; ", ", therefore "), ("I", "we"), (" ",), _CANNOT, (" ",), _DO, (" ",), _IT),
     (_PREFACE, _NONE, (" ",), _LACK, _ABOUT),
     (_PREFACE, _NOT_KNOWN, _WHAT),
     (_PREFACE, _IMPOSSIBLE, (" ",), _TO_TELL),
@@ -91,6 +92,7 @@ def refusal(rng: random.Random, held: bool | None) -> str:
     text = "".join(piece(rng, slot, held) for slot in rng.choice(_REFUSALS))
     # After a preface that goes on, the sentence's first word is small unless it is "I".
     text = re.sub(r"^((?:.*, |.*but |.*however |I'm afraid ))([A-Z])(?=[a-z])", lambda m: m.group(1) + m.group(2).lower(), text, count=1)
+    text = text.rstrip()
     small = text in {t.lower() for t in _SHORT}
     text = re.sub(r"\b(we|this assistant|this model) am\b", lambda m: m.group(1) + (" are" if m.group(1) == "we" else " is"), text)
     if small:
