@@ -69,8 +69,9 @@ def S4_question_set(spark, sf_dir):
 def S10_last_labels(spark, sf_dir):
     path = scratch(spark, "labels")
     rows = table(spark, sf_dir, "witqa", "qid", "row_id", "sub_pred_count").where("qid IS NOT NULL")
-    rows.orderBy("row_id").select("qid", (F.col("sub_pred_count") < 50).alias("tool_needed")).coalesce(1).write.json(path)
-    return readers.labels_last_wins(spark, path).select("qid", "tool_needed")
+    # The order is a column of the file; no task needs to see all lines.
+    rows.select("qid", "row_id", (F.col("sub_pred_count") < 50).alias("tool_needed")).write.json(path)
+    return readers.labels_last_wins(spark, path, order="row_id").select("qid", "tool_needed")
 
 
 @query("SELECT question_id FROM (SELECT DISTINCT question_id FROM trajectories WHERE question_id IS NOT NULL) t WHERE question_id IN (SELECT question_id FROM controls)")
@@ -106,6 +107,64 @@ def K6_predictions(spark, sf_dir):
     return spark.read.schema("result_id bigint, prediction string").json(path)
 
 
+@query("SELECT example_id, question FROM examples WHERE split = 'validation'")
+def S3_saved_split(spark, sf_dir):
+    """One split of a saved set, found by its name."""
+    path = scratch(spark, "set")
+    rows = table(spark, sf_dir, "examples", "example_id", "question", "split")
+    for split in ("train", "validation"):
+        writers.write_table(rows.where(F.col("split") == split), f"{path}/{split}.parquet")
+    return readers.split_table(spark, path, "validation").select("example_id", "question")
+
+
+@query("SELECT CAST(example_id AS VARCHAR) AS question_id, question, answer FROM examples WHERE split = 'validation'")
+def S5_pair_set(spark, sf_dir):
+    """A set of title and sentences pairs, written and read under the split's other name."""
+    path = scratch(spark, "pairs")
+    rows = table(spark, sf_dir, "examples", "example_id", "question", "answer", "split").where("split = 'validation'")
+    writers.write_json_lines(rows.select(F.col("example_id").cast("string").alias("_id"), "question", "answer"), f"{path}/dev.jsonl")
+    return readers.pair_set(spark, path, "validation").select("question_id", "question", "answer")
+
+
+@query("SELECT CAST(example_id AS VARCHAR) AS question_id, question FROM examples WHERE split = 'test'")
+def S6_paragraph_set(spark, sf_dir):
+    path = scratch(spark, "paragraphs")
+    rows = table(spark, sf_dir, "examples", "example_id", "question", "answer", "split").where("split = 'test'")
+    writers.write_json_lines(rows.select(F.col("example_id").cast("string").alias("id"), "question", "answer"), path)
+    return readers.paragraph_set(spark, path).select("question_id", "question")
+
+
+@query(rq.ORACLES["R1_index_terms"])
+def S9_loaded_index(spark, sf_dir):
+    path = scratch(spark, "index")
+    rq._index(spark, sf_dir).save(path)
+    return Bm25Index.load(spark, path).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"SELECT count(*) AS n, round(avg(em), 6) AS em FROM {_ANY('trajectories', 'result_id', 'em')}")
+def K1_summary(spark, sf_dir):
+    """A summary written as one pretty-printed object and read again."""
+    path = f"{scratch(spark, 'summary')}.json"
+    writers.write_summary(runs(spark, sf_dir, "em").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("em")).alias("em")), path)
+    return spark.read.schema("n bigint, em double").option("multiLine", True).json(path)
+
+
+@query("SELECT 2 * count(*) AS rows, count(*) AS written FROM trajectories")
+def K3_appended_lines(spark, sf_dir):
+    """Lines appended in two runs; the number of rows written is returned."""
+    path = scratch(spark, "lines")
+    rows = table(spark, sf_dir, "trajectories", "result_id")
+    n = [writers.append_json_lines(rows, path) for _ in range(2)][1]
+    return spark.read.schema("result_id bigint").json(path).agg(F.count(F.lit(1)).alias("rows"), F.lit(n).cast("bigint").alias("written"))
+
+
+@query("SELECT result_id, question FROM trajectories")
+def K7_written_table(spark, sf_dir):
+    path = scratch(spark, "table")
+    writers.write_table(table(spark, sf_dir, "trajectories", "result_id", "question"), path)
+    return spark.read.parquet(path)
+
+
 # ---- reshaping -------------------------------------------------------------------------------
 
 _FLAT = """SELECT example_id, CAST(i - 1 AS INTEGER) AS pos, context.title[i] AS title, array_to_string(context.sentences[i], ' ') AS text
@@ -271,6 +330,30 @@ def E11_skipped_support(spark, sf_dir):
     return runs(spark, sf_dir, "pred_answer").where("pred_answer IS NULL").select("result_id", scoring.skipped_support()["g_mean"].alias("g_mean"))
 
 
+@query(f"""WITH {rq._bm25(rq._GROUP_DOCS, "SELECT question_id AS query, 'none' AS grp, question AS text FROM controls", True)} SELECT query, doc FROM scored WHERE grp = 'none'""")
+def R5_unknown_groups(spark, sf_dir):
+    """Questions of a group that the index does not have find nothing."""
+    index = Bm25Index(rq._passages(spark, sf_dir), "evid_id", "context_text", "question_id")
+    asked = table(spark, sf_dir, "controls", "question_id", "question").withColumn("grp", F.lit("none"))
+    return index.search(asked, "question_id", "question", 3, "grp").select("query", "doc")
+
+
+@query(f"""WITH {rq._bm25(rq._DOCS, rq._ASKED, False)} SELECT query, count(*) > 0 AS found FROM scored WHERE query = (SELECT min(query) FROM q WHERE text IS NOT NULL) AND score > 0 GROUP BY 1""")
+def R14_index_probe(spark, sf_dir):
+    """The first question must find something before anything costly runs."""
+    index, asked = rq._index(spark, sf_dir), rq._asked(spark, sf_dir).where("question IS NOT NULL")
+    index.probe(asked, "example_id", "question")
+    return asked.agg(F.min("example_id").alias("query"), F.lit(True).alias("found"))
+
+
+@query(f"""WITH r AS (SELECT result_id, {sql.reward_words("regexp_extract(pred_answer_raw, '(?i)(?:final[ ]+answer|answer)[ ]*[:=][ ]*([^' || chr(10) || ']+)', 1)")} AS p, {sql.reward_words('gold_answer')} AS g
+    FROM {_R('pred_answer_raw', 'gold_answer')} WHERE starts_with(pred_answer_raw, 'Answer: ')) SELECT result_id, round({sql.f1('p', 'g')}, 6) AS score FROM r""".replace("'(?i)(?:final[ ]+answer|answer)[ ]*[:=][ ]*([^' || chr(10) || ']+)'", "'^Answer: (.*)'"))
+def X3_marked_answers(spark, sf_dir):
+    """The reward without floor of answers behind a marker."""
+    rows = runs(spark, sf_dir, "pred_answer_raw", "gold_answer").where(F.startswith("pred_answer_raw", F.lit("Answer: ")))
+    return rows.select("result_id", r6(scoring.f1_reward(parse.boxed_answer("pred_answer_raw"), F.col("gold_answer"), floor=False)).alias("score"))
+
+
 # ---- confidence ------------------------------------------------------------------------------
 
 _LOGS = f"""WITH t AS (SELECT turn_id, list_transform({_SUPPORTS}, lambda x: greatest(x, 1e-6) / 2) AS s FROM {_ANY('agent_turns', 'turn_id', 'claim_supports')}),
@@ -328,6 +411,11 @@ def M1_usable_rows(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("n"), r6(F.min("p")).alias("least"), r6(F.max("p")).alias("most"))
 
 
+@query(f"SELECT turn_id, round(({_NUM('nvc')} + {_NUM('sc_conf')}) / 2, 6) AS dinco FROM {_ANY('agent_turns', 'turn_id', 'nvc', 'sc_conf')}")
+def C14_blended(spark, sf_dir):
+    return turns(spark, sf_dir, "nvc", "sc_conf").select("turn_id", r6(confidence.blend(number("nvc"), number("sc_conf"))).alias("dinco"))
+
+
 # ---- aggregates and policies -----------------------------------------------------------------
 
 

@@ -41,14 +41,44 @@ def ship_package(spark: SparkSession) -> None:
     sc._evidentia_shipped = True
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, as Spark itself reaches it, and the path in it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return bool(fs.exists(at))
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    fs, at = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, replaced where it exists."""
+    fs, at = _file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of our own only in a local session without it."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"evidentia-checkpoint-{uuid.uuid4().hex}")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()

@@ -14,7 +14,7 @@ from evidentia.functions.text import join_aliases
 from evidentia.operators.aggregate import bucket, last_labels, tool_needed
 from evidentia.operators.packed_values import ONLY_IF_ALONE, values_udf
 from evidentia.operators.reshape import from_paragraphs, int_or_zero, is_pair_set, is_paragraph_set, pairs_to_columns, subset
-from evidentia.session import ship_package
+from evidentia.session import listed, path_exists, ship_package
 
 # The required columns of the tab-separated set, and other names of its splits.
 REQUIRED_COLUMNS = (
@@ -56,10 +56,10 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType | str, stric
 
 def split_table(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """Parquet of one split of a saved set; a missing split names those that exist."""
-    for candidate in (os.path.join(folder, split), os.path.join(folder, f"{split}.parquet")):
-        if os.path.exists(candidate):
+    for candidate in (f"{folder}/{split}", f"{folder}/{split}.parquet"):
+        if path_exists(spark, candidate):
             return spark.read.parquet(candidate)
-    found = sorted(os.path.splitext(x)[0] for x in os.listdir(folder)) if os.path.isdir(folder) else []
+    found = sorted(os.path.splitext(x)[0] for x in listed(spark, folder))
     raise FileNotFoundError(f"no split {split!r} in {folder}; available: {', '.join(found) or 'none'}")
 
 
@@ -94,8 +94,8 @@ def pair_set(spark: SparkSession, folder: str, split: str) -> DataFrame:
     """A set whose contexts are ``[title, [sentence]]`` pairs, from JSON or JSON lines under any of its split's names."""
     for name in SPLIT_NAMES.get(split, (split,)):
         for ending, whole in ((".jsonl", False), (".json", True)):
-            path = os.path.join(folder, name + ending)
-            if os.path.exists(path):
+            path = f"{folder}/{name}{ending}"
+            if path_exists(spark, path):
                 schema = "_id string, id string, question string, answer string, type string, context string, supporting_facts string"
                 rows = spark.read.schema(schema).option("multiLine", whole).json(path)
                 facts = F.transform(F.from_json("supporting_facts", "array<string>"), lambda r: F.from_json(r, "array<string>"))
@@ -137,10 +137,12 @@ def examples(
     return rows.orderBy("question_id").limit(limit) if limit and limit > 0 else rows
 
 
-def labels_last_wins(spark: SparkSession, path: str) -> DataFrame:
-    """Tool-needed labels; bad lines are skipped and of repeated ids the last line holds."""
-    rows = json_lines(spark, path, "qid string, tool_needed boolean, n_correct int", strict=False)
-    return last_labels(rows.where("qid IS NOT NULL"), "qid", "_source_line").select("qid", "tool_needed", "n_correct")
+def labels_last_wins(spark: SparkSession, path: str, order: str | None = None) -> DataFrame:
+    """Tool-needed labels; bad lines are skipped and of repeated ids the last line holds, or the one
+    of the greatest ``order`` where the lines have such a number."""
+    number = f", `{order}` bigint" if order else ""
+    rows = json_lines(spark, path, f"qid string, tool_needed boolean, n_correct int{number}", strict=False, line=None if order else "_source_line")
+    return last_labels(rows.where("qid IS NOT NULL"), "qid", order or "_source_line").select("qid", "tool_needed", "n_correct")
 
 
 def by_id_file(spark: SparkSession, rows: DataFrame, key: str, path: str) -> tuple[DataFrame, DataFrame]:

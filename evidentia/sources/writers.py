@@ -6,22 +6,22 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evidentia.session import write_text
 
-def write_json(row: dict, path: str) -> None:
+
+def write_json(spark: SparkSession, row: dict, path: str) -> None:
     """One pretty-printed object, ASCII-escaped; for summaries of one row."""
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(row, out, indent=2, ensure_ascii=True, default=str)
-        out.write("\n")
+    write_text(spark, json.dumps(row, indent=2, ensure_ascii=True, default=str) + "\n", path)
 
 
 def write_summary(df: DataFrame, path: str) -> dict:
     row = df.first()
     found = row.asDict(recursive=True) if row else {}
-    write_json(found, path)
+    write_json(df.sparkSession, found, path)
     return found
 
 
