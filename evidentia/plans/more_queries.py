@@ -338,10 +338,10 @@ def R5_unknown_groups(spark, sf_dir):
     return index.search(asked, "question_id", "question", 3, "grp").select("query", "doc")
 
 
-@query(f"""WITH {rq._bm25(rq._DOCS, rq._ASKED, False)} SELECT query, count(*) > 0 AS found FROM scored WHERE query = (SELECT min(query) FROM q WHERE text IS NOT NULL) AND score > 0 GROUP BY 1""")
+@query(f"""WITH {rq._bm25(rq._DOCS, "SELECT example_id AS query, '' AS grp, question AS text FROM examples WHERE question IS NOT NULL ORDER BY 1 LIMIT 1", False)} SELECT query, count(*) > 0 AS found FROM scored WHERE query = (SELECT min(query) FROM q WHERE text IS NOT NULL) AND score > 0 GROUP BY 1""")
 def R14_index_probe(spark, sf_dir):
     """The first question must find something before anything costly runs."""
-    index, asked = rq._index(spark, sf_dir), rq._asked(spark, sf_dir).where("question IS NOT NULL")
+    index, asked = rq._index(spark, sf_dir), table(spark, sf_dir, "examples", "example_id", "question").where("question IS NOT NULL")
     index.probe(asked, "example_id", "question")
     return asked.agg(F.min("example_id").alias("query"), F.lit(True).alias("found"))
 
