@@ -487,7 +487,7 @@ def train(sample: Sequence[tuple[str | None, str | None]], seed: int = 7, held_o
     pairs = kept or pairs
     # Thresholds: a model that has seen neither these pairs nor these wordings and languages.
     kept = [p for i, p in enumerate(pairs) if i % 5] or pairs
-    made = synthetic_pairs(kept[::3], seed + 1)
+    made = synthetic_pairs(kept, seed + 1)
     weights, bias = _fit([features.of(q, r) for q, r, _ in made], [x for *_, x in made], 6)
     unseen = synthetic_pairs(pairs[::5], seed + 2, held=True)
     logits = np.array([bias + weights[features.of(q, r)].sum(axis=0) for q, r, _ in unseen])
