@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators.best_hits import Best, Questions, best_hits
+from evidentia.operators.best_hits import Best, Questions
 from evidentia.operators.retrieval import Bm25Index, top_k
 from evidentia.plans import ORACLES, QUERIES
 from tests.compare import both
@@ -86,9 +86,12 @@ def test_portions_leave_nothing_out(spark):
     index = Bm25Index(docs, "doc", "t")
     every = top_k(index.scores(ask, "query", "t"), ["query"], "score", "doc", 4)
     want = sorted((r.query or "", r.doc, round(r.score, 8)) for r in every.collect())
-    asked = index._asked(ask, "query", "t")
     for portions in ({}, {"portion_queries": 2}, {"portion_pairs": 5}):
-        found = top_k(best_hits(index.scanned, asked, 60, 6.0, 4, 1.5, 0.75, **portions), ["query"], "score", "doc", 4)
+        found = top_k(index._hits(ask, "query", "t", 4, **portions), ["query"], "score", "doc", 4)
         assert sorted((r.query or "", r.doc, round(r.score, 8)) for r in found.collect()) == want
     nothing = ask.where(F.lit(False))
     assert index.search(nothing, "query", "t", 4).count() == index.search(ask, "query", "t", 0).count() == 0
+
+
+def test_whole_texts_shuffle_no_pairs(spark, folder):
+    assert compared(spark, folder, "R8_hybrid_whole_text") < 12 * 597 / 2  # the dense side shuffles its own hits
