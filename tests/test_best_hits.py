@@ -95,3 +95,7 @@ def test_portions_leave_nothing_out(spark):
 
 def test_whole_texts_shuffle_no_pairs(spark, folder):
     assert compared(spark, folder, "R8_hybrid_whole_text") < 12 * 597 / 2  # the dense side shuffles its own hits
+
+
+def test_fused_questions_shuffle_no_pairs(spark, folder):
+    assert compared(spark, folder, "R8_hybrid_fusion") < 12 * 597 / 2
