@@ -99,3 +99,7 @@ def test_whole_texts_shuffle_no_pairs(spark, folder):
 
 def test_fused_questions_shuffle_no_pairs(spark, folder):
     assert compared(spark, folder, "R8_hybrid_fusion") < 12 * 597 / 2
+
+
+def test_saved_index_is_searched_without_pairs(spark, folder):
+    assert compared(spark, folder, "K5_saved_index") < 98 * 597 / 4
