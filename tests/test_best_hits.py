@@ -103,3 +103,7 @@ def test_fused_questions_shuffle_no_pairs(spark, folder):
 
 def test_saved_index_is_searched_without_pairs(spark, folder):
     assert compared(spark, folder, "K5_saved_index") < 98 * 597 / 4
+
+
+def test_overfetched_search_shuffles_no_pairs(spark, folder):
+    assert compared(spark, folder, "R6_overfetched") < 98 * 597 / 4
